@@ -29,6 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHARED: dict = {}
+
+
+def shared(kind):
+    """Persist a table several queries start from, once per session and directory."""
+
+    def wrap(fn):
+        def get(self):
+            key = (self.spark.sparkContext.applicationId, self.dir, kind)
+            if key not in _SHARED:
+                _SHARED[key] = fn(self).persist()
+            return _SHARED[key]
+
+        return get
+
+    return wrap
+
+
+def forget_shared() -> None:
+    """Unpersist what ``shared`` holds."""
+    for df in _SHARED.values():
+        df.unpersist()
+    _SHARED.clear()
+
+
 class OrderTables:
     """Binding T."""
 
@@ -161,23 +186,62 @@ class OrderTables:
         """Projects that stay in the study (all but those of one nation key class)."""
         return self._t("nation").where(F.col("n_nationkey") % 8 != 7).select(F.col("n_name").alias("project"))
 
+    @shared("labels")
+    def labels(self) -> DataFrame:
+        """Primary labels of the modelling rows."""
+        from waitline.operators.labels import label, modelling_rows
+
+        return label(modelling_rows(self.subjects(), self.settings), self.responses(), self.settings)
+
+    @shared("features")
+    def feature_table(self) -> DataFrame:
+        from waitline.operators import atopen, features
+
+        rows = self.subjects()
+        return features.build(
+            rows, self.history(), self.responses(), self.timeline(), atopen.commits_at_open(rows, self.commits()),
+            self.project_meta(), self.kept(), self.settings,
+        )
+
+    @shared("predictions")
     def predictions(self) -> DataFrame:
         """Scored modelling rows: outcome by the primary definition, two scores from order columns."""
-        from waitline.operators.labels import label, modelling_rows
+        from waitline.operators.labels import modelling_rows
 
-        rows = modelling_rows(self.subjects(), self.settings)
-        marks = label(rows, self.responses(), self.settings).select("id", "is_slow", "wait_h", "first_event_at")
-        scored = rows.join(marks, "id")
-        return scored.selectExpr(
+        marks = self.labels().select("id", "is_slow", "wait_h", "first_event_at")
+        return modelling_rows(self.subjects(), self.settings).join(marks, "id").selectExpr(
             "id", "project", "number", "created_at", "closed_at", "url", "title_current as title", "is_slow",
             "wait_h", "first_event_at as first_response_at",
-            "least(0.999, greatest(0.001, round(o_totalprice / 500000, 3))) as p_hat",
+            "least(0.999D, greatest(0.001D, floor(o_totalprice / 500) / 1000.0D)) as p_hat",
             "(number % 97 + 1) / 100.0D as baseline_score",
             "coalesce(actor_login, '') < 'c5' as is_first_here",
             "cast(number % 24 as int) as created_hour",
             "number % 5 = 0 as diff_is_exact",
         )
 
+    def scenarios(self) -> DataFrame:
+        """Test rows of both scenarios: A after the cutoff, B each project in its own fold."""
+        from waitline.functions.columns import instant
+        from waitline.operators.splits import group_folds
+
+        p = self.predictions()
+        a = p.where(F.col("created_at") >= instant(self.settings.cutoff)).withColumns(
+            {"scenario": F.lit("A"), "fold": F.lit(0)})
+        b = p.join(group_folds(p, 5).select("project", "fold"), "project").withColumn("scenario", F.lit("B"))
+        return a.unionByName(b)
+
+    @shared("scored")
+    def scored(self) -> DataFrame:
+        """The scenario rows once per feature set, each set with its own score."""
+        sets = {
+            "FULL": "p_hat", "NO_SNAPSHOT": "p_hat * 0.5D + diff_is_exact_d * 0.1D",
+            "NO_LABEL_REPLAY": "p_hat * 0.5D + baseline_score * 0.25D", "SUBJECT_ONLY": "created_hour / 25.0D",
+        }
+        base = self.scenarios().withColumn("diff_is_exact_d", F.col("diff_is_exact").cast("double"))
+        cells = ", ".join(f"'{k}', {v}" for k, v in sets.items())
+        keep = [c for c in base.columns if c not in ("p_hat", "diff_is_exact_d")]
+        return base.selectExpr(*keep, f"stack({len(sets)}, {cells}) as (featureset, p_hat)")
+
 
 class EventTables:
     """Binding E."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("labels", "replay")
+MODULES = ("labels", "replay", "features")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

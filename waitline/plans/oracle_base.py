@@ -131,15 +131,92 @@ mrows as (select * from subj where not coalesce(actor_is_bot, false) and c_us be
 
 PREDICTIONS = ", ".join([
     SUBJECTS, RESPONSES, ELIGIBLE, MODEL_ROWS, label_cte(source="mrows"),
-    f"""
-pred as (select m.id, m.project, m.number, m.c_us, m.x_us, m.url_title as title, l.is_slow, l.wait_h, l.fe_us,
-                least(0.999, greatest(0.001, round(m.o_totalprice / 500000, 3))) as p_hat,
-                (m.number % 97 + 1) / 100.0 as baseline_score,
+    """
+pred as (select m.id, m.project, m.number, m.c_us, m.x_us, m.title_current as title,
+                concat('https://example.com/', m.project, '/', m.number) as url, l.is_slow, l.wait_h, l.fe_us,
+                least(0.999::double, greatest(0.001::double, floor(m.o_totalprice / 500) / 1000.0::double)) as p_hat,
+                (m.number % 97 + 1) / 100.0::double as baseline_score,
                 coalesce(m.actor_login, '') < 'c5' as is_first_here,
                 cast(m.number % 24 as integer) as created_hour, m.number % 5 = 0 as diff_is_exact, m.created_at
-         from (select *, title_current as url_title from mrows) m join lab l using (id))""",
+         from mrows m join lab l using (id))""",
 ])
 
 
+def folds_cte(source: str, name: str = "folds", k: int = 5) -> str:
+    """Greedy balanced folds: size descending, name descending, to the first lightest fold."""
+    zeros = ", ".join(["0"] * k)
+    return f"""
+{name}_g as (select project, count(*) as n, row_number() over (order by count(*) desc, project desc) as rn
+             from {source} group by project),
+{name}_r as (select cast(0 as bigint) as rn, cast([{zeros}] as bigint[]) as load, cast('' as varchar) as project,
+                    cast(0 as bigint) as n, cast(-1 as bigint) as fold
+             union all
+             select g.rn, list_transform(r.load, lambda v, i:
+                      case when i = list_position(r.load, list_min(r.load)) then v + g.n else v end),
+                    g.project, g.n, list_position(r.load, list_min(r.load)) - 1
+             from {name}_r r join {name}_g g on g.rn = r.rn + 1),
+{name} as (select project, n, fold from {name}_r where rn > 0)"""
+
+
+SCENARIOS = ", ".join([PREDICTIONS, folds_cte("pred"), f"""
+scen as (select 'A' as scenario, cast(0 as bigint) as fold, p.* from pred p where c_us >= {CUT}
+         union all select 'B', f.fold, p.* from pred p join folds f using (project))"""])
+
+SCORED = ", ".join([SCENARIOS, """
+sets as (select 'FULL' as featureset, * from scen
+         union all select 'NO_SNAPSHOT', * replace (p_hat * 0.5::double + (case when diff_is_exact then 1.0::double else 0.0::double end) * 0.1::double as p_hat) from scen
+         union all select 'NO_LABEL_REPLAY', * replace (p_hat * 0.5::double + baseline_score * 0.25::double as p_hat) from scen
+         union all select 'SUBJECT_ONLY', * replace (created_hour / 25.0::double as p_hat) from scen)"""])
+
+
+def _on(keys, a, b):
+    return " and ".join(f"{a}.{k} = {b}.{k}" for k in keys) or "true"
+
+
+def _cols(keys, prefix=""):
+    return "".join(f"{prefix}{k}, " for k in keys)
+
+
+def part(keys):
+    return "partition by " + ", ".join(keys) if keys else ""
+
+
+def grouped(keys):
+    return "group by " + ", ".join(keys) if keys else ""
+
+
+def ap_cte(name: str, source: str, keys=(), score: str = "p_hat", outcome: str = "is_slow") -> str:
+    return f"""
+{name}_c as (select {_cols(keys)}{score} as s, count(*) filter ({outcome}) as pos, count(*) as n
+             from {source} group by {_cols(keys)}s),
+{name}_r as (select *, sum(pos) over ({part(keys)} order by s desc) as cp, sum(n) over ({part(keys)} order by s desc) as cn
+             from {name}_c),
+{name} as (select {_cols(keys)}sum(pos * cp / cn) / nullif(sum(pos), 0) as auc_pr from {name}_r {grouped(keys)})"""
+
+
+def patk_cte(name: str, source: str, keys=(), k: int = 10, seed: int = 20260912, score: str = "p_hat") -> str:
+    pk = [*keys, "project"]
+    return f"""
+{name}_k as (select {_cols(pk)}is_slow, row_number() over ({part(pk)} order by {score} desc, md5(concat_ws(':', '{seed}', id)), id) as rk
+             from {source}),
+{name}_p as (select {_cols(pk)}avg(case when is_slow then 1.0 else 0.0 end) as precision from {name}_k where rk <= {k} {grouped(pk)}),
+{name} as (select {_cols(keys)}avg(precision) as precision_at_k from {name}_p {grouped(keys)})"""
+
+
+def boot_cte(name: str, source: str, keys=(), value: str = "v", draws: int = 2000, seed: int = 20260912,
+             group: str = "project") -> str:
+    gb = ", ".join([*keys, "draw"])
+    return f"""
+{name}_g as (select {_cols(keys)}{group}, {value} as v,
+                    row_number() over ({part(keys)} order by md5({group}), {group}) - 1 as slot,
+                    count(*) over ({part(keys)}) as n from {source} where {value} is not null),
+{name}_d as (select {_cols(keys, "g.")}d.draw as draw,
+                    ('0x' || substr(md5(concat_ws(':', '{seed}', d.draw, g.slot)), 1, 8))::bigint % g.n as pick
+             from {name}_g g, range({draws}) d(draw)),
+{name}_m as (select {_cols(keys, "d.")}d.draw, avg(g.v) as m from {name}_d d join {name}_g g on {_on(keys, "d", "g")} and g.slot = d.pick
+             group by {_cols(keys, "d.")}d.draw),
+{name} as (select {_cols(keys)}quantile_cont(m, 0.025) as ci_lo, quantile_cont(m, 0.975) as ci_hi from {name}_m {grouped(keys)})"""
+
+
 def with_(*ctes: str) -> str:
-    return "with " + ", ".join(ctes) + "\n"
+    return "with recursive " + ", ".join(ctes) + "\n"
