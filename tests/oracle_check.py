@@ -74,7 +74,7 @@ def main(argv):
     from waitline import get_session
 
     spark = get_session("oracle-check", "local[8]", spark__sql__shuffle__partitions="8",
-                        spark__ui__enabled="false", spark__driver__memory="12g")
+                        spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
     con = connect(sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("labels", "replay", "features")
+MODULES = ("labels", "replay", "features", "evaluation")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
