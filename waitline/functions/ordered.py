@@ -58,25 +58,32 @@ def running_totals(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "row_no"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "row_no",
+    total: str | None = None,
 ) -> DataFrame:
-    """Number rows 1..n per keys in the total order ``order``; ``bucket`` is monotone in its head."""
+    """Number rows 1..n per keys in the total order ``order``; ``bucket`` is monotone in its head.
+
+    ``total`` also adds the number of rows per keys.
+    """
     cut = df.withColumn("_bucket", bucket)
     sums = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    carry = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                        *([F.sum("_n").over(W.partitionBy(*keys)).alias(total)] if total else []))
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         cut.withColumn("_rn", F.row_number().over(inside))
         .join(carry, [*keys, "_bucket"])
-        .select(*df.columns, (F.col("_rn") + F.col("_before")).alias(name))
+        .select(*df.columns, (F.col("_rn") + F.col("_before")).alias(name), *([total] if total else []))
     )
 
 
-def hash_numbers(df: DataFrame, key: str, keys: Sequence[str] = (), name: str = "slot") -> DataFrame:
+def hash_numbers(
+    df: DataFrame, key: str, keys: Sequence[str] = (), name: str = "slot", total: str | None = None
+) -> DataFrame:
     """Number rows 0..n-1 in md5 order of ``key``: a dense index without a global sort."""
     hashed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    out = row_numbers(hashed, list(keys), ["_h", key], F.substring("_h", 1, 2), name)
+    out = row_numbers(hashed, list(keys), ["_h", key], F.substring("_h", 1, 2), name, total)
     return out.withColumn(name, F.col(name) - 1).drop("_h")
 
 

@@ -13,39 +13,49 @@ from pyspark.sql import functions as F
 
 from waitline.functions.columns import seeded_int
 from waitline.functions.ordered import hash_numbers
+from waitline.session import written
 
 
 def draw_weights(
     groups: DataFrame, keys: Sequence[str], draws: int, seed: int, group: str = "project"
 ) -> DataFrame:
-    """(keys, draw, group, weight): how often each group occurs in each draw; absent means zero."""
-    numbered = hash_numbers(groups.select(*keys, group), group, keys)
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # A constant key lets the ungrouped case use the same equi-join.
+    """(keys, draw, group, weight, ...): how often each group occurs in each draw; absent means zero.
+
+    Further columns of ``groups`` travel along.  Groups must be distinct per keys.
+    """
+    # A constant key lets the ungrouped case use the same equi-joins.
     ks = list(keys) or ["_all"]
-    if not keys:
-        numbered, sizes = numbered.withColumn("_all", F.lit(0)), sizes.withColumn("_all", F.lit(0))
-    slots = numbered.join(sizes, ks).select(
-        *ks, "_n", "slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    )
-    picked = slots.select(*ks, "draw", (seeded_int(seed, "draw", "slot") % F.col("_n")).alias("slot"))
+    numbered = hash_numbers(groups if keys else groups.withColumn("_all", F.lit(0)), group, ks, total="_groups")
+    # A few rows become draws x groups rows, so they are spread over the cluster first, by block of draws.
+    width = groups.sparkSession.sparkContext.defaultParallelism
+    block = -(-draws // width)
+    blocks = numbered.select(
+        *ks, "_groups", "slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(block))).alias("_first")
+    ).repartition(width, "_first", "slot")
+    last = F.least(F.col("_first") + (block - 1), F.lit(draws - 1))
+    slots = blocks.select(*ks, "_groups", "slot", F.explode(F.sequence(F.col("_first"), last)).alias("draw"))
+    picked = slots.select(*ks, "draw", (seeded_int(seed, "draw", "slot") % F.col("_groups")).alias("slot"))
     weights = picked.groupBy(*ks, "draw", "slot").agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(numbered, [*ks, "slot"]).select(*keys, "draw", group, "weight")
+    extra = [c for c in groups.columns if c not in (*keys, group)]
+    return weights.join(numbered, [*ks, "slot"]).select(*keys, "draw", group, "weight", *extra)
 
 
 def cluster_bootstrap(
     per_group: DataFrame,
     keys: Sequence[str],
     value: str,
-    settings_seed: int,
+    seed: int,
     draws: int = 2000,
     level: float = 0.95,
     group: str = "project",
 ) -> DataFrame:
-    """(keys, ci_lo, ci_hi): interval of the mean of ``value`` over resampled groups."""
-    usable = per_group.where(F.col(value).isNotNull()).select(*keys, group, value)
-    weights = draw_weights(usable, keys, draws, settings_seed, group)
-    means = weights.join(usable, [*keys, group]).groupBy(*keys, "draw").agg(
+    """(keys, ci_lo, ci_hi): interval of the mean of ``value`` over resampled groups.
+
+    The per-group values (one row per group) are written first: they are read several times and
+    whatever produced them should run once.
+    """
+    values = written(per_group.where(F.col(value).isNotNull()).select(*keys, group, value), "groups")
+    means = draw_weights(values, keys, draws, seed, group).groupBy(*keys, "draw").agg(
         (F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("m")
     )
     tail = (1.0 - level) / 2.0

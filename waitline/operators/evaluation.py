@@ -19,18 +19,22 @@ from waitline.functions.ordered import exact_quantiles, score_bucket
 from waitline.operators import metrics as M
 from waitline.operators.bootstrap import cluster_bootstrap
 from waitline.operators.gates import checks
+from waitline.session import written
 
 RUN = ("scenario", "fold", "featureset")
 
 
 def evaluate(scored: DataFrame, keys: Sequence[str], settings: Settings, draws: int = 2000, k: int = 10) -> DataFrame:
-    """One row per slice: sizes, P@k with its group-bootstrap interval, AP, and the baseline on the same rows."""
+    """One row per slice: sizes, P@k with its group-bootstrap interval, AP, and the baseline on the same rows.
+
+    ``scored`` is read once per metric: pass a written or persisted table.
+    """
     keys = list(keys)
     size = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_test"), F.count_distinct("project").alias("n_test_projects"),
         F.avg(F.col("is_slow").cast("double")).alias("base_rate"),
     )
-    per = M.precision_per_project(scored, keys, settings.seed, k)
+    per = written(M.precision_per_project(scored, keys, settings.seed, k), "precision")
     mean = per.groupBy(*keys).agg(F.avg("precision").alias("precision_at_10"))
     interval = cluster_bootstrap(per, keys, "precision", settings.seed, draws).select(
         *keys, F.col("ci_lo").alias("p10_ci_lo"), F.col("ci_hi").alias("p10_ci_hi"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waitline.conf import Settings, utc
-from waitline.session import use_utc
+from waitline.session import use_utc, written
 
 SETTINGS_T = Settings(
     threshold_h=360 * 24.0, censor_h=1080 * 24.0, trailing_days=720,
@@ -33,13 +33,17 @@ _SHARED: dict = {}
 
 
 def shared(kind):
-    """Persist a table several queries start from, once per session and directory."""
+    """Write a table several queries start from, once per session and directory.
+
+    Labels, features and predictions are tables in their own right; writing them also keeps the
+    plans built on top of them short.
+    """
 
     def wrap(fn):
         def get(self):
             key = (self.spark.sparkContext.applicationId, self.dir, kind)
             if key not in _SHARED:
-                _SHARED[key] = fn(self).persist()
+                _SHARED[key] = written(fn(self), kind)
             return _SHARED[key]
 
         return get
@@ -48,9 +52,7 @@ def shared(kind):
 
 
 def forget_shared() -> None:
-    """Unpersist what ``shared`` holds."""
-    for df in _SHARED.values():
-        df.unpersist()
+    """Make the next query write its starting tables anew."""
     _SHARED.clear()
 
 
@@ -186,6 +188,39 @@ class OrderTables:
         """Projects that stay in the study (all but those of one nation key class)."""
         return self._t("nation").where(F.col("n_nationkey") % 8 != 7).select(F.col("n_name").alias("project"))
 
+    def manifest(self) -> DataFrame:
+        """Order rows as page records: pages, give-ups, bypass notes and error pages."""
+        return self._orders().selectExpr(
+            "project", "cast(o_orderkey % 3 as int) as tier", "o_orderkey as page_index",
+            "if(o_custkey % 9 = 0, null, concat('k', o_custkey % 200)) as cursor_before",
+            "if(o_orderpriority = '1-URGENT', 'timeout', null) as fatal_transient",
+            "o_orderpriority = '2-HIGH' and o_orderkey % 5 = 0 as bypass",
+            "if(o_orderpriority = '2-HIGH' and o_orderkey % 5 = 0, array(o_custkey, o_custkey % 10), null) as dead_numbers",
+            "if(o_orderkey % 11 = 0, null, o_orderpriority = '3-MEDIUM' and o_orderkey % 7 = 0) as has_graphql_errors",
+            "if(o_orderkey % 4 = 0, 'v2', 'v1') as query_version",
+            "o_custkey % 50 as pr_count", "if(o_orderkey % 6 = 0, null, o_orderkey % 8) as rate_limit_cost",
+            "cast(o_totalprice as bigint) as bytes",
+        )
+
+    def candidates(self) -> DataFrame:
+        """Customers as candidate projects: languages sized by the quantity per return flag."""
+        sizes = self._lines().groupBy("o_custkey", F.col("l_returnflag").alias("name")).agg(
+            F.sum("l_quantity").cast("long").alias("size"))
+        # At most three flags per customer.
+        langs = sizes.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("name", "size"))).alias("languages"))
+        volume = self._t("orders").groupBy(F.col("o_custkey").alias("_c")).agg(
+            F.count("*").alias("n_all"), F.count_if(F.col("o_orderdate").cast("timestamp") >= F.lit("1998-01-01").cast("timestamp")).alias("n_window"),
+            F.max(F.col("o_orderdate").cast("timestamp")).alias("pushed_at"))
+        c = self._t("customer").join(langs, F.col("c_custkey") == F.col("o_custkey"), "left").join(
+            volume, F.col("c_custkey") == F.col("_c"), "left")
+        return c.selectExpr(
+            "cast(c_custkey as string) as id", "c_mktsegment as primary_language", "languages",
+            "cast(c_acctbal as bigint) as stars", "pushed_at", "coalesce(n_all, 0) as n_all", "coalesce(n_window, 0) as n_window",
+            "c_custkey % 10 = 0 as is_fork", "if(c_custkey % 4 = 0, null, c_custkey % 11 = 0) as is_archived",
+            "c_custkey % 13 = 0 as is_mirror", "c_custkey % 17 = 0 as is_private",
+            "concat(c_mktsegment, ':', case when c_acctbal < 2000 then 'low' when c_acctbal < 6000 then 'mid' else 'high' end) as cell",
+        )
+
     @shared("labels")
     def labels(self) -> DataFrame:
         """Primary labels of the modelling rows."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("labels", "replay", "features", "evaluation")
+MODULES = ("labels", "replay", "features", "evaluation", "study")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -76,6 +76,28 @@ cohort as (select n_name as project, case when n_nationkey % 6 = 5 then 'ASIA' e
 
 KEPT = "kept as (select n_name as project from nation where n_nationkey % 8 <> 7)"
 
+MANIFEST = """
+man as (select project, cast(o_orderkey % 3 as integer) as tier, o_orderkey as page_index,
+   case when o_custkey % 9 <> 0 then concat('k', o_custkey % 200) end as cursor_before,
+   case when o_orderpriority = '1-URGENT' then 'timeout' end as fatal_transient,
+   o_orderpriority = '2-HIGH' and o_orderkey % 5 = 0 as bypass,
+   case when o_orderpriority = '2-HIGH' and o_orderkey % 5 = 0 then [o_custkey, o_custkey % 10] end as dead_numbers,
+   case when o_orderkey % 11 <> 0 then o_orderpriority = '3-MEDIUM' and o_orderkey % 7 = 0 end as has_graphql_errors,
+   case when o_orderkey % 4 = 0 then 'v2' else 'v1' end as query_version, o_custkey % 50 as pr_count,
+   case when o_orderkey % 6 <> 0 then o_orderkey % 8 end as rate_limit_cost, floor(o_totalprice)::bigint as bytes from ord)"""
+
+CANDIDATES = LINES + """,
+lsz as (select o_custkey, l_returnflag as name, floor(sum(l_quantity))::bigint as size from lin group by all),
+ldom as (select o_custkey, name from (select *, row_number() over (partition by o_custkey order by size desc, name) as rn from lsz) where rn = 1),
+vol as (select o_custkey, count(*) as n_all, count(*) filter (o_orderdate >= timestamp '1998-01-01') as n_window,
+               max(o_orderdate) as pushed_at from orders group by o_custkey),
+cand as (select cast(c_custkey as varchar) as id, c_mktsegment as primary_language, coalesce(ldom.name, c_mktsegment) as dominant,
+   trunc(c_acctbal)::bigint as stars, pushed_at, coalesce(n_all, 0) as n_all, coalesce(n_window, 0) as n_window,
+   c_custkey % 10 = 0 as is_fork, case when c_custkey % 4 <> 0 then c_custkey % 11 = 0 end as is_archived,
+   c_custkey % 13 = 0 as is_mirror, c_custkey % 17 = 0 as is_private,
+   concat(c_mktsegment, ':', case when c_acctbal < 2000 then 'low' when c_acctbal < 6000 then 'mid' else 'high' end) as cell
+  from customer c left join ldom on ldom.o_custkey = c_custkey left join vol on vol.o_custkey = c_custkey)"""
+
 # Window, cutoff, threshold, censor and trailing length of binding T.
 WSTART, WEND, CUT = "epoch_us(timestamp '1996-01-01')", "epoch_us(timestamp '2000-12-31 23:59:59')", "epoch_us(timestamp '2000-01-01')"
 THR_H, CENSOR_H, TRAIL_D = 8640.0, 25920.0, 720

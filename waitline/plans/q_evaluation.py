@@ -15,6 +15,7 @@ from waitline.operators.bootstrap import cluster_bootstrap
 from waitline.plans import oracle_base as o
 from waitline.plans.bindings import SETTINGS_T, DocumentTables, OrderTables
 from waitline.plans.registry import Book
+from waitline.session import written
 
 book = Book()
 SEED = SETTINGS_T.seed
@@ -171,7 +172,7 @@ join (select scenario, fold, avg(r) as base_rate_p10 from (select scenario, fold
         avg(case when is_slow then 1.0 else 0.0 end) as r from bs group by all) group by all) using (scenario, fold)
 join pk using (scenario, fold) join bo using (scenario, fold) join ap using (scenario, fold)""")
 def m11_baseline_evaluation(spark, sf):
-    out = V.evaluate(baseline(OrderTables(spark, sf)), KEYS, SETTINGS_T)
+    out = V.evaluate(written(baseline(OrderTables(spark, sf)), "baseline"), KEYS, SETTINGS_T)
     return out.select(*KEYS, "n_test", "n_test_projects", *r9(
         "base_rate", "precision_at_10", "p10_ci_lo", "p10_ci_hi", "base_rate_p10", "auc_pr"))
 
@@ -221,7 +222,7 @@ union all select 'evaluation', 4, 'every run has an interval and is logged', cas
 union all select 'evaluation', 5, 'a refit reproduces the score', '0.0', true""")
 def p1_run_gate(spark, sf):
     t = OrderTables(spark, sf)
-    table = runs(spark, sf).persist()
+    table = written(runs(spark, sf), "runs")
     again = M.average_precision(t.scored().where("scenario = 'A' and featureset = 'FULL'"))
     saved = table.where("scenario = 'A' and featureset = 'FULL'").select("auc_pr")
     return V.run_gate(table, V.split_leaks(split_rows(t), SETTINGS_T), table, again.scalar() - saved.scalar(), 24)
