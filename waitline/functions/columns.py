@@ -71,9 +71,9 @@ def format_value(value, kind: str, is_rate: bool = False) -> Column:
     elif kind == "str":
         text = c.cast("string")
     elif is_rate:
-        text = F.format_string("%.2f", c.cast("double"))
-    else:
         # Half to even, as the published tables were rounded.
+        text = F.format_string("%.2f", F.bround(c.cast("double"), 2))
+    else:
         text = F.format_number(F.bround(c.cast("double"), 0), 0)
     return F.when(c.isNull(), "missing").otherwise(text)
 
