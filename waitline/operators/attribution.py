@@ -7,26 +7,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waitline import registry
 from waitline.functions.columns import seeded
-from waitline.functions.ordered import average_ranks, score_bucket, with_scalars
+from waitline.functions.ordered import average_ranks
 
 
 def names_array(features: Sequence[str]):
     return F.array(*[F.lit(f) for f in features])
 
 
-def long_form(contributions: DataFrame, features: Sequence[str], keep: Sequence[str] = ("id",)) -> DataFrame:
-    """One row per (row, feature); the generator sits right below a partial aggregation in every use."""
-    cells = F.posexplode("contributions").alias("position", "push")
-    return contributions.select(*keep, cells).withColumn(
-        "feature", F.element_at(names_array(features), F.col("position") + 1))
-
-
 def sample_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """At most ``n`` rows by hash order: a distributed top-n, no full sort."""
     return rows.orderBy(seeded(seed, "id"), "id").limit(n)
@@ -35,15 +30,16 @@ def sample_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
 def importance(contributions: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, feature, mean_abs, share): mean size of the pushes and its share of the total.
 
-    Averages are taken per array position in one aggregation, without exploding the rows.
+    The vector mean is one aggregate over the whole array; rows are never exploded.
     """
-    mean = [F.avg(F.abs(F.element_at("contributions", i + 1))).alias(f"m{i}") for i in range(len(features))]
-    wide = contributions.groupBy(*keys).agg(*mean)
-    total = sum((F.col(f"m{i}") for i in range(1, len(features))), F.col("m0"))
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean_abs")) for i, f in enumerate(features)])
-    out = wide.select(*keys, total.alias("_total"), F.explode(cells).alias("c"))
-    share = F.coalesce(F.col("c.mean_abs") / F.nullif("_total", F.lit(0.0)), F.lit(0.0))
-    return out.select(*keys, "c.feature", "c.mean_abs", share.alias("share"))
+    sizes = array_to_vector(F.transform("contributions", F.abs))
+    mean = contributions.groupBy(*keys).agg(Summarizer.mean(sizes).alias("_m")).select(
+        *keys, vector_to_array("_m").alias("_m"))
+    total = F.aggregate("_m", F.lit(0.0), lambda a, v: a + v)
+    cells = mean.select(*keys, total.alias("_total"), F.posexplode("_m").alias("_i", "mean_abs"))
+    share = F.coalesce(F.col("mean_abs") / F.nullif("_total", F.lit(0.0)), F.lit(0.0))
+    return cells.select(
+        *keys, F.element_at(names_array(features), F.col("_i") + 1).alias("feature"), "mean_abs", share.alias("share"))
 
 
 def shift(a: DataFrame, b: DataFrame) -> DataFrame:
