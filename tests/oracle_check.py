@@ -42,9 +42,12 @@ def canon(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
-def types_differ(a: pd.DataFrame, b: pd.DataFrame) -> list[str]:
-    kind = lambda d: "num" if d.kind in "iuf" else d.kind
-    return [c for c in a.columns if c in b.columns and kind(a[c].dtype) != kind(b[c].dtype)]
+DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def types_differ(spark_types, description) -> list[str]:
+    want = {d[0]: str(d[1]) for d in description}
+    return [f"{c}: {t} / {want[c]}" for c, t in spark_types if c in want and DUCK.get(t) != want[c]]
 
 
 def compare(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
@@ -84,7 +87,8 @@ def main(argv):
             continue
         t0 = time.time()
         try:
-            got = fn(spark, sf_dir).toPandas()
+            df = fn(spark, sf_dir)
+            got = df.toPandas()
         except Exception as e:  # noqa: BLE001 - report and go on
             print(f"ERR  {name}: {str(e)[:1500]}")
             bad.append(name)
@@ -94,15 +98,17 @@ def main(argv):
             print(f"rows {name}: {len(got)} rows {t1 - t0:.2f}s")
             continue
         try:
-            want = con.execute(oracles[name]).df()
+            res = con.execute(oracles[name])
+            described = res.description
+            want = res.df()
         except Exception as e:  # noqa: BLE001
             print(f"SQL  {name}: {str(e)[:1500]}")
             bad.append(name)
             continue
         t2 = time.time()
         why = compare(got, want)
-        drift = types_differ(got, want)
-        note = f" dtype drift {drift}" if drift else ""
+        drift = types_differ(df.dtypes, described)
+        note = f" type drift {drift}" if drift else ""
         print(f"{'FAIL' if why else 'ok  '} {name}: {len(got)} rows spark {t1 - t0:.2f}s sql {t2 - t1:.2f}s{note}" + (f"\n   {why}" if why else ""))
         if why:
             bad.append(name)

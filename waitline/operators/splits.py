@@ -30,7 +30,7 @@ def scenario_a(rows: DataFrame, settings: Settings) -> DataFrame:
     train = cap_per_project(rows.where(F.col("created_at") < cutoff), settings)
     test = rows.where(F.col("created_at") >= cutoff)
     return train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test"))).withColumn(
-        "fold", F.lit(0)
+        "fold", F.lit(0).cast("long")
     )
 
 
@@ -56,7 +56,7 @@ def group_folds(rows: DataFrame, k: int, group: str = "project") -> DataFrame:
 
     placed = queue.withColumn("folds", F.aggregate("queue", start, place, lambda s: s["folds"]))
     return placed.select(F.explode(F.arrays_zip("queue", "folds")).alias("z")).select(
-        F.col(f"z.queue.{group}").alias(group), F.col("z.queue.n").alias("n"), F.col("z.folds").alias("fold")
+        F.col(f"z.queue.{group}").alias(group), F.col("z.queue.n").alias("n"), F.col("z.folds").cast("long").alias("fold")
     )
 
 
@@ -73,7 +73,7 @@ def scenario_b(rows: DataFrame, settings: Settings) -> DataFrame:
         F.greatest(F.lit(1), F.floor((F.col("_total") - F.col("_held")) * settings.cap_fraction)).alias("_cap"),
     )
     numbered = draw_order(rows, settings.seed).join(folds.select("project", F.col("fold").alias("_own")), "project")
-    each = numbered.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(settings.folds - 1))))
+    each = numbered.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(settings.folds - 1)).cast("array<long>")))
     role = F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")
     return (
         each.withColumn("role", role).join(caps, "fold")

@@ -261,7 +261,7 @@ class OrderTables:
 
         p = self.predictions()
         a = p.where(F.col("created_at") >= instant(self.settings.cutoff)).withColumns(
-            {"scenario": F.lit("A"), "fold": F.lit(0)})
+            {"scenario": F.lit("A"), "fold": F.lit(0).cast("long")})
         b = p.join(group_folds(p, 5).select("project", "fold"), "project").withColumn("scenario", F.lit("B"))
         return a.unionByName(b)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("labels", "replay", "features", "evaluation", "study", "triage", "interpretation", "ingest")
+MODULES = ("labels", "replay", "features", "evaluation", "study", "triage", "interpretation", "ingest", "model")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -146,7 +146,7 @@ def m9_baseline_score(spark, sf):
 
 
 @book.query("m10_baseline_audit", o.with_(o.PREDICTIONS, f"late as (select * from pred where c_us >= {o.CUT})") + """
-select least(count(*), 200) as n, 0.0 as max_abs_diff_rate, 0::bigint as max_abs_diff_backlog, true as pass from late""")
+select least(count(*), 200) as n, 0.0::double as max_abs_diff_rate, 0::bigint as max_abs_diff_backlog, true as pass from late""")
 def m10_baseline_audit(spark, sf):
     t = OrderTables(spark, sf)
     late = t.predictions().where(F.col("created_at") >= instant(t.settings.cutoff))
@@ -179,7 +179,7 @@ def m11_baseline_evaluation(spark, sf):
 
 @book.query("m15_time_folds", o.with_(o.PREDICTIONS, """
 num as (select id, row_number() over (order by c_us, id) - 1 as position, count(*) over () as n from pred)""") + """
-select id, position, case when position >= n - 3 * (n // 4) then (position - (n - 3 * (n // 4))) // (n // 4) end as valid_fold from num""")
+select id, position, cast(case when position >= n - 3 * (n // 4) then (position - (n - 3 * (n // 4))) // (n // 4) end as double) as valid_fold from num""")
 def m15_time_folds(spark, sf):
     rows = OrderTables(spark, sf).predictions().select("id", "created_at")
     return S.time_folds(rows, 3, SETTINGS_T).select("id", "position", F.col("valid_fold").cast("double").alias("valid_fold"))

@@ -18,10 +18,10 @@ from waitline.plans.registry import Book
 book = Book()
 
 STATIC_SQL = f"""
-st as (select id, hour(created_at) as created_hour_utc, isodow(created_at) - 1 as created_dayofweek,
+st as (select id, cast(hour(created_at) as integer) as created_hour_utc, cast(isodow(created_at) - 1 as integer) as created_dayofweek,
               isodow(created_at) >= 6 as is_weekend, coalesce(is_cross, false) as is_cross_project,
               (c_us - a_us) / {float(o.DAY)} as actor_account_age_days,
-              length(coalesce(body_current, '')) as body_len, length(coalesce(body_current, '')) > 0 as has_body,
+              cast(length(coalesce(body_current, '')) as integer) as body_len, length(coalesce(body_current, '')) > 0 as has_body,
               edited as body_edited from subj)"""
 
 AT_OPEN_SQL = f"""
@@ -48,7 +48,7 @@ diff as (select s.id, sum(case when w_us <= s.c_us then coalesce(additions, 0) e
          from com c join subj s using (id) group by s.id),
 ao as (select s.id, s.is_draft_current <> (flips % 2 = 1) as is_draft_at_open,
    cast(greatest(0, n_labels_current - added + removed) as bigint) as n_labels_at_open,
-   length(coalesce(ren.previous_title, title_current, '')) as title_len_at_open,
+   cast(length(coalesce(ren.previous_title, title_current, '')) as integer) as title_len_at_open,
    coalesce(coalesce(reb.previous_ref, base_ref_current) = default_branch, false) as base_is_default,
    req > 0 as reviewer_requested_at_open, req as n_reviewers_requested_at_open, team > 0 as requested_team_at_open,
    cast(additions_at_open as double) as additions_at_open, cast(deletions_at_open as double) as deletions_at_open,

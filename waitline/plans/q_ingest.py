@@ -118,12 +118,12 @@ def s8_first_nodes(spark, sf):
 
 @book.query("s9_history_rows", o.with_(RAW, "cnt as (select id, count(*) filter (l_returnflag = 'R') as r, count(*) filter (l_returnflag = 'A') as a, count(*) filter (l_returnflag = 'N') as n from ln group by id)") + """
 select project, id, number, cast(c_us as varchar) as c_us, cast(x_us as varchar) as x_us, cast(m_us as varchar) as m_us, actor_login, actor_login is null as actor_is_deleted,
-  actor_is_bot, association_current, coalesce(r, 0) + case when number % 41 = 0 then 60 else 0 end as n_reviews, coalesce(n, 0) as n_comments, coalesce(a, 0) as n_threads
+  cast(actor_is_bot as varchar) as actor_is_bot, association_current, coalesce(r, 0) + case when number % 41 = 0 then 60 else 0 end as n_reviews, coalesce(n, 0) as n_comments, coalesce(a, 0) as n_threads
 from s1 left join cnt using (id)""")
 def s9_history_rows(spark, sf):
     return P.history_rows(nodes(spark, sf)).select(
         "project", "id", "number", us("created_at", "c_us"), us("closed_at", "x_us"), us("merged_at", "m_us"), "actor_login",
-        "actor_is_deleted", "actor_is_bot", "association_current", "n_reviews", "n_comments", "n_threads")
+        "actor_is_deleted", F.col("actor_is_bot").cast("string").alias("actor_is_bot"), "association_current", "n_reviews", "n_comments", "n_threads")
 
 
 DIFF = """
@@ -143,10 +143,10 @@ def s10_subject_rows(spark, sf):
 
 
 @book.query("s11_actor", o.with_(RAW) + """
-select actor_login, actor_login is null as actor_is_deleted, actor_is_bot, count(*) as n from s1 group by all""")
+select actor_login, actor_login is null as actor_is_deleted, cast(actor_is_bot as varchar) as actor_is_bot, count(*) as n from s1 group by all""")
 def s11_actor(spark, sf):
     rows = nodes(spark, sf).where("tier = 1").select(*P.actor_columns("node.author"))
-    return rows.groupBy("actor_login", "actor_is_deleted", "actor_is_bot").agg(F.count("*").alias("n"))
+    return rows.groupBy("actor_login", "actor_is_deleted", F.col("actor_is_bot").cast("string").alias("actor_is_bot")).agg(F.count("*").alias("n"))
 
 
 @book.query("s12_connection", o.with_(RAW, DIFF) + """

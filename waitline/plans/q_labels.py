@@ -25,9 +25,9 @@ def l1_is_bot(spark, sf):
 
 
 @book.query("l2_visible_at", o.with_(o.RESPONSES) + """
-select stream, v_us, count(*) as n from resp group by all""")
+select stream, cast(v_us as varchar) as v_us, count(*) as n from resp group by all""")
 def l2_visible_at(spark, sf):
-    r = OrderTables(spark, sf).responses().select("stream", micros(L.visible_at()).alias("v_us"))
+    r = OrderTables(spark, sf).responses().select("stream", micros(L.visible_at()).cast("string").alias("v_us"))
     return r.groupBy("stream", "v_us").agg(F.count("*").alias("n"))
 
 
@@ -54,12 +54,12 @@ def l4_first_event(spark, sf):
     return f.select("id", micros("first_D5").alias("first_us")).where("first_us is not null")
 
 
-LABEL_SQL = """select project, id, c_us, fe_us as first_us, round(wait_h, 9) as wait_h, never_answered, is_slow,
+LABEL_SQL = """select project, id, c_us, cast(fe_us as varchar) as first_us, round(wait_h, 9) as wait_h, never_answered, is_slow,
  round(wait_h_censored, 9) as wait_h_censored, event_observed from lab"""
 
 
 def _label_out(df):
-    return df.select("project", "id", micros("created_at").alias("c_us"), micros("first_event_at").alias("first_us"),
+    return df.select("project", "id", micros("created_at").alias("c_us"), micros("first_event_at").cast("string").alias("first_us"),
                      R9("wait_h"), "never_answered", "is_slow", R9("wait_h_censored"), "event_observed")
 
 
@@ -69,11 +69,16 @@ def l5_label(spark, sf):
     return _label_out(L.label(t.subjects(), t.responses(), t.settings))
 
 
-@book.query("l5_label_events", o.with_(o.E_SUBJECTS, o.E_RESPONSES, o.ELIGIBLE,
-                                       o.label_cte(thr=24.0, censor=168.0)) + LABEL_SQL)
+# Microsecond waits are compared as whole microseconds, where rounding is exact.
+@book.query("l5_label_events", o.with_(o.E_SUBJECTS, o.E_RESPONSES, o.ELIGIBLE, o.label_cte(thr=24.0, censor=168.0)) + f"""
+select project, id, c_us, cast(fe_us as varchar) as first_us, round(wait_h * {float(o.HOUR)}, 0) as wait_us, never_answered, is_slow,
+  round(wait_h_censored * {float(o.HOUR)}, 0) as wait_censored_us, event_observed from lab""")
 def l5_label_events(spark, sf):
     t = EventTables(spark, sf)
-    return _label_out(L.label(t.subjects(), t.responses(), t.settings))
+    whole = lambda c, name: F.round(F.col(c) * float(o.HOUR), 0).alias(name)
+    return L.label(t.subjects(), t.responses(), t.settings).select(
+        "project", "id", micros("created_at").alias("c_us"), micros("first_event_at").cast("string").alias("first_us"),
+        whole("wait_h", "wait_us"), "never_answered", "is_slow", whole("wait_h_censored", "wait_censored_us"), "event_observed")
 
 
 @book.query("l6_label_all", o.with_(
@@ -94,13 +99,13 @@ def l7_modelling_rows(spark, sf):
 
 @book.query("l8_prepare_rows", o.with_(o.SUBJECTS, o.RESPONSES, o.ELIGIBLE, o.MODEL_ROWS, o.KEPT,
                                        o.label_cte(source="mrows")) + """
-select m.id, m.project, l.is_slow, l.fe_us as first_us, round(l.wait_h, 9) as wait_h
+select m.id, m.project, l.is_slow, cast(l.fe_us as varchar) as first_us, round(l.wait_h, 9) as wait_h
 from mrows m join lab l using (id) where m.project in (select project from kept)""")
 def l8_prepare_rows(spark, sf):
     t = OrderTables(spark, sf)
     rows = L.modelling_rows(t.subjects(), t.settings)
     out = L.prepare_rows(t.subjects(), L.label(rows, t.responses(), t.settings), t.kept(), t.settings)
-    return out.select("id", "project", "is_slow", micros("first_event_at").alias("first_us"), R9("wait_h"))
+    return out.select("id", "project", "is_slow", micros("first_event_at").cast("string").alias("first_us"), R9("wait_h"))
 
 
 QUERIES, ORACLES = book.queries, book.oracles

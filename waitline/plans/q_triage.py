@@ -166,7 +166,7 @@ def d2_format_drivers(spark, sf):
     return explained(spark, sf).select("id", T.format_drivers("contributions", "labels", "values").alias("drivers"))
 
 
-@book.query("d4_logit_gap", o.with_(EMB) + "select 0.0 as gap, count(distinct id) as n from cell")
+@book.query("d4_logit_gap", o.with_(EMB) + "select 0.0::double as gap, count(distinct id) as n from cell")
 def d4_logit_gap(spark, sf):
     e = explained(spark, sf).withColumn("margin", F.expr("base + aggregate(contributions, 0D, (a, v) -> a + v)"))
     scored = e.withColumn("score", 1 / (1 + F.exp(-F.col("margin"))))

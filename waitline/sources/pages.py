@@ -59,9 +59,11 @@ PAGE_PATH = r"/([^/]+)/tier(\d+)/page_(\d+)\.json\.gz$"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest records with a ``torn`` flag for lines that do not parse."""
-    raw = spark.read.schema(MANIFEST_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return raw.withColumn("torn", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    """Manifest records with a ``torn`` flag for lines that do not parse; blank lines are no records."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", " ".join(MANIFEST_SCHEMA.split()), options).alias("r")).select("r.*")
+    return parsed.withColumn("torn", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 
 def is_giveup() -> Column:
