@@ -31,11 +31,11 @@ def ask(spark, probes, **changes):
     return {r.probe_id: r.asDict() for r in out.collect()}
 
 
-@pytest.mark.parametrize("days", [1, 7, 400])
-def test_worked_example(spark, days):
+@pytest.mark.parametrize("days, above", [(1, 0), (7, 0), (400, 0), (7, 10**6)])
+def test_worked_example(spark, days, above):
     t = d("2024-04-21")
     got = ask(spark, [("u1", "p", t, "u1"), ("u2", "p", t, "u2"), ("u0", "p", t, "u0"), ("new", "p", t, "nobody"), ("gone", "p", t, None),
-                      ("early", "p", d("2024-02-01"), "u1")], bucket_days=days, actor_bucket_days=days)
+                      ("early", "p", d("2024-02-01"), "u1")], bucket_days=days, actor_bucket_days=days, split_above=above)
     a = got["u1"]
     assert (a["open_backlog_at_t"], a["trailing_n"], a["opened_trailing_7d"], a["trailing_window_complete"]) == (4, 3, 2, True)
     assert a["trailing_90d_slow_rate"] == pytest.approx(0.4375)
@@ -88,10 +88,10 @@ def rows_of(df):
     return {r.probe_id: tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(cols).collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force_on_skewed_ties(spark, seed):
+@pytest.mark.parametrize("seed, above", [(1, 0), (2, 0), (2, 10**6)])
+def test_equals_brute_force_on_skewed_ties(spark, seed, above):
     h, l, p = random_frames(spark, seed)
-    s = Settings().but(bucket_days=3, actor_bucket_days=20)
+    s = Settings().but(bucket_days=3, actor_bucket_days=20, split_above=above)
     fast = rows_of(R.features_at(h, l, p, s, 0.3, 0.2))
     assert len(fast) == 250
     assert fast == rows_of(R.brute_force_features(h, l, p, s, 0.3, 0.2))
@@ -102,12 +102,12 @@ def test_does_not_depend_on_partitioning(spark):
     got = []
     for n in (1, 8, 40):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        got.append(rows_of(R.features_at(h.repartition(n), l, p, Settings(), 0.3, 0.2)))
+        got.append(rows_of(R.features_at(h.repartition(n), l, p, Settings().but(split_above=0), 0.3, 0.2)))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1] == got[2]
 
 
 def test_replay_plan_has_no_pairwise_join(spark):
     h, l, p = random_frames(spark, 4, 20)
-    plan = R.features_at(h, l, p, Settings(), 0.3, 0.2)._jdf.queryExecution().executedPlan().toString()
+    plan = R.features_at(h, l, p, Settings().but(split_above=0), 0.3, 0.2)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan

@@ -79,8 +79,9 @@ class Settings:
     folds: int = 5
     request_grace_s: int = 60
     timeline_cap: int = 60
-    # Width of the time buckets that split one project's (or one actor's) history over many
-    # tasks.  Results do not depend on it; make it smaller where one project is very busy.
+    # A project or actor with more history and probe rows than ``split_above`` is split over time
+    # buckets of these widths, so no task holds it whole.  Results depend on none of the three.
+    split_above: int = 1_000_000
     bucket_days: int = 7
     actor_bucket_days: int = 180
 

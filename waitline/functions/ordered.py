@@ -32,13 +32,20 @@ def running_totals(
     descending: bool = False,
     prefix: str = "cum_",
     minima: Sequence[str] = (),
+    split: bool = True,
 ) -> DataFrame:
     """Add ``prefix + c``: the sum of ``c`` over rows of the same keys up to and with this order value.
 
     Rows with an equal order value see each other.  ``bucket`` must be monotone in ``order``.
     Keys must not be null.  ``minima`` names columns whose running minimum is wanted instead.
+    ``split=False`` is for callers that have counted that every key is small: one window, no carry.
     """
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    if not split:
+        whole = W.partitionBy(*keys).orderBy(way(order)).rangeBetween(W.unboundedPreceding, W.currentRow)
+        return df.select(
+            "*", *[F.sum(c).over(whole).alias(prefix + c) for c in totals],
+            *[F.min(c).over(whole).alias(prefix + c) for c in minima])
     cut = df.withColumn("_bucket", bucket)
     folds = [(c, F.sum) for c in totals] + [(c, F.min) for c in minima]
     sums = cut.groupBy(*keys, "_bucket").agg(*[f(c).alias(f"_b_{c}") for c, f in folds])

@@ -9,6 +9,7 @@ from waitline import registry
 from waitline.conf import Settings
 from waitline.functions.columns import instant, truthy
 from waitline.operators import atopen, labels, replay
+from waitline.session import written
 
 
 def priors(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -33,12 +34,14 @@ def build(
     kept: DataFrame,
     settings: Settings,
 ) -> DataFrame:
-    """One row per modelling subject with every registered column, joined on the subject id."""
+    """One row per modelling subject with every registered column, joined on the subject id.
+
+    The labels feed four places, so they are written once.
+    """
     chosen = labels.modelling_rows(subjects, settings).join(kept.select("project"), "project", "left_semi")
-    marks = labels.label(chosen, responses, settings)
+    marks = written(labels.label(chosen, responses, settings), "labels")
     rows = chosen.join(marks.select("id", "is_slow"), "id")
-    base = priors(rows, settings)
-    g, g_merge = base.select("g").scalar(), base.select("g_merge").scalar()
+    g, g_merge = priors(rows, settings).first()
     outcome = marks.select("id", "wait_h", "wait_h_censored", "event_observed", "never_answered")
     table = (
         rows.select("project", "id", "number", "created_at", "is_slow")

@@ -51,9 +51,10 @@ def shared(kind):
     return wrap
 
 
-def forget_shared() -> None:
-    """Make the next query write its starting tables anew."""
-    _SHARED.clear()
+def forget_shared(keep: tuple[str, ...] = ()) -> None:
+    """Make the next query write its starting tables anew, all but the kinds in ``keep``."""
+    for key in [k for k in _SHARED if k[2] not in keep]:
+        del _SHARED[key]
 
 
 class OrderTables:

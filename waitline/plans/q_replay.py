@@ -65,8 +65,7 @@ def cols_df(names):
 
 
 def inputs(t):
-    rows = L.modelling_rows(t.subjects(), t.settings)
-    return t.history(), L.label(rows, t.responses(), t.settings)
+    return t.history(), t.labels()
 
 
 def _rows_query(names):
@@ -140,8 +139,7 @@ def r10_brute_force_sample(spark, sf):
     replay_sql("pr", o.THR_H, o.TRAIL_D, 7, o.WSTART)) + f"select pid as id, {cols_sql(R.REPLAY_COLUMNS)} from rep")
 def r11_replay_features(spark, sf):
     t = OrderTables(spark, sf)
-    rows = L.modelling_rows(t.subjects(), t.settings)
-    lab = L.label(rows, t.responses(), t.settings)
+    rows, lab = L.modelling_rows(t.subjects(), t.settings), t.labels()
     out = R.replay_features(rows, t.history(), lab, t.settings, PRIOR, MERGE_PRIOR)
     return out.select("id", *cols_df(R.REPLAY_COLUMNS))
 
@@ -167,8 +165,7 @@ def flagship_waiting_by_risk(spark, sf):
 
     t = OrderTables(spark, sf)
     at = instant(t.settings.cutoff)
-    rows = L.modelling_rows(t.subjects(), t.settings)
-    lab = L.label(rows, t.responses(), t.settings)
+    rows, lab = L.modelling_rows(t.subjects(), t.settings), t.labels()
     open_rows = awaiting(
         rows.join(lab.select("id", F.col("first_event_at").alias("first_response_at")), "id"), at
     ).select("id", "project", "number", "created_at", "actor_login")

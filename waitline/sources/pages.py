@@ -340,6 +340,7 @@ def order_violations(nodes: DataFrame) -> DataFrame:
 def conservation(manifest: DataFrame, status: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
     """One row of counts that must reconcile, with the failures by name.
 
+    ``nodes`` is read several times: pass a written table.
     ``unique_subjects`` adds both tiers, so an id present in both counts twice.
     """
     torn = F.coalesce(F.col("torn"), F.lit(False)) if "torn" in manifest.columns else F.lit(False)
