@@ -142,7 +142,7 @@ def explain(history: DataFrame, marks: DataFrame, asked: DataFrame, settings: Se
     m = marks.select("id", "first_event_at", "is_slow")
     h = history.select("project", "id", "actor_login", "created_at", "closed_at").join(m, "id", "left")
     q = asked.select("probe_id", F.col("project").alias("_p"), "at", F.col("actor_login").alias("_who"))
-    near = h.join(F.broadcast(q), (F.col("project") == F.col("_p")) & (F.col("created_at") < F.col("at")))
+    near = h.join(q, (F.col("project") == F.col("_p")) & (F.col("created_at") < F.col("at")))
     ago = lambda unit, n: F.expr(f"timestampadd({unit}, -{n}, at)")
     labelled = F.col("is_slow").isNotNull()
     usable = labelled & (

@@ -219,8 +219,8 @@ def brute_force_features(
 ) -> DataFrame:
     """The same columns from their definitions, for auditing; shares nothing with the step sums.
 
-    ``probes`` must be a bounded sample (see ``sample_probes``): it is broadcast, the history is
-    read where it lies and combined per probe before anything is shuffled.
+    ``probes`` is meant to be a limited sample (see ``sample_probes``): Spark then knows its size and
+    broadcasts it, the history is read where it lies and combined per probe before the shuffle.
     """
     marks = labels.select("id", "first_event_at", "is_slow")
     h = history.select("project", "id", "actor_login", "created_at", "closed_at", "merged_at").join(marks, "id", "left")
@@ -235,7 +235,7 @@ def brute_force_features(
     )
     mine = F.coalesce(F.col("actor_login") == F.col("q_actor"), F.lit(False))
     seen = F.col("project").isNotNull()
-    pairs = F.broadcast(q).join(h, (F.col("project") == F.col("q_project")) & (F.col("created_at") < t), "left")
+    pairs = q.join(h, (F.col("project") == F.col("q_project")) & (F.col("created_at") < t), "left")
     count = lambda cond: F.count_if(seen & cond)
     slow = F.col("is_slow")
     n = pairs.groupBy("probe_id", "q_project", "at").agg(
