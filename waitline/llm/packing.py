@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waitline.llm.common import WORD, hash_mod, id_and_text, map_texts, numbered
+from waitline.llm.common import hash_mod, map_texts, numbered
 
 #: Buckets, tokens of a batch, most bins of the histogram, cells of a bucket for numbering.
 BUCKETS, BUDGET, BINS, CELLS = 16, 65_536, 65_536, 4096
@@ -30,11 +30,10 @@ def _tokenizer(path: str):
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens: words, or tokens of the tokenizer file at that path, and one for the end of the text."""
-    if tokenizer is None:
-        n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
-        return id_and_text(docs).select("doc_id", (n + 1).cast("long").alias("n_tokens"))
 
     def count(texts: list) -> dict:
+        if tokenizer is None:  # bytes split at space and the control characters 9 to 13
+            return {"n_tokens": [len((x or "").encode().split()) + 1 for x in texts]}
         found = _tokenizer(tokenizer).encode_batch([x or "" for x in texts], add_special_tokens=False)
         return {"n_tokens": [len(x.ids) + 1 for x in found]}
 

@@ -1,8 +1,8 @@
 """Severity grades by a cumulative-link ordinal regression over sparse word features.
 
 One weight vector serves all ordered thresholds: P(grade >= k) = s(w.x - t_k).  The labels only say toxic or not, so
-that grades 1 to 3 of toxic documents are weak labels: thirds by how large a part of their words is tied to toxicity.
-Features are chosen by a chi-square test on documents.  The model is fitted on at most ``SAMPLE`` labelled rows, taken
+that grades 1 to 3 of toxic documents are weak labels: thirds by how often they use what is tied to toxicity.
+Features are words and the beginnings of longer words, which catch compounds; a chi-square test on documents chooses them.  The model is fitted on at most ``SAMPLE`` labelled rows, taken
 in hash order; every row is scored, whole.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from waitline.llm.common import id_and_text, map_texts
 from waitline.session import written
 
-#: Labelled rows for the fit, words kept as features, least documents of a word, least chi-square.
+#: Letters of a word's beginnings that are features beside the word.
+PREFIXES = (4, 5, 6, 7)
+#: Labelled rows for the fit, words and beginnings kept as features, least documents of a word, least chi-square.
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_CHI2 = 20_000, 4096, 5, 25.0
 #: Grades above 0; a document goes when P(grade >= 1) reaches this.
 GRADES, REJECT = 3, 0.5
@@ -38,6 +41,30 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def traits(word: str) -> list[str]:
+    """The features of a word: itself, and its beginnings marked by a dash."""
+    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
+
+
+class Counts:
+    """Counts of the chosen features in a text; what a word holds of them is remembered, for a million words at most."""
+
+    def __init__(self, place: dict[str, int]):
+        self.place, self.seen = place, {}
+
+    def __call__(self, found: list[str]) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for word, n in Counter(found).items():
+            held = self.seen.get(word)
+            if held is None:
+                if len(self.seen) >= 1_000_000:
+                    self.seen.clear()
+                held = self.seen[word] = tuple(self.place[t] for t in traits(word) if t in self.place)
+            for k in held:
+                out[k] = out.get(k, 0) + n
+        return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """doc_id, toxic, text of labelled documents; a document counts as toxic if any of its labels says so."""
     said = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -50,12 +77,16 @@ def choose(marked: DataFrame, n: list[int]) -> tuple[list[str], list[str]]:
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            n, t = Counter(), Counter()
             for toxic, text in zip(rows["toxic"], rows["text"], strict=True):
-                found = sorted(set(words(text)))
-                yield pd.DataFrame({"word": found, "toxic": np.full(len(found), min(1, max(0, toxic)), np.int64)})
-
-    held = marked.select("toxic", "text").mapInPandas(distinct, "word string, toxic long").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= LEAST_DOCS)
+                found = {t for w in set(words(text)) for t in traits(w)}
+                n.update(found)
+                if toxic > 0:
+                    t.update(found)
+            yield pd.DataFrame({"word": list(n), "n": list(n.values()), "t": [t[w] for w in n]}).astype({"n": "int64", "t": "int64"})
+
+    held = marked.select("toxic", "text").mapInPandas(distinct, "word string, n long, t long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST_DOCS)
     total, bad = float(sum(n)), float(n[1])
     a, b = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double")
     c, d = F.lit(bad) - a, F.lit(total - bad) - b
@@ -75,27 +106,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model | None:
     features, markers = choose(marked, n)
     if not features:
         return None
-    place, bad = {w: i for i, w in enumerate(features)}, set(markers)
+    place = {w: i for i, w in enumerate(features)}
+    bad = {place[w] for w in markers}
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = Counts(place)
         for part in batches:
-            for doc, toxic, text in zip(part["doc_id"], part["toxic"], part["text"], strict=True):
-                found = words(text)
-                hits = Counter(filter(place.__contains__, found))
-                rate = sum(v for k, v in hits.items() if k in bad) / max(1, len(found))
-                yield pd.DataFrame({"doc_id": [doc], "toxic": [int(toxic > 0)], "rate": [rate],
-                                    "at": [[place[k] for k in hits]], "value": [list(np.log1p(list(hits.values())))]})
-
-    got = marked.mapInPandas(sparse, "doc_id long, toxic int, rate double, at array<int>, value array<double>").toPandas()
-    got = got.sort_values(["doc_id", "rate"], ignore_index=True)
-    toxic, rate = got["toxic"].to_numpy(), got["rate"].to_numpy()
-    cuts = np.quantile(rate[toxic == 1], [k / GRADES for k in range(1, GRADES)])
-    grade = np.where(toxic == 1, 1 + (rate[:, None] > cuts).sum(axis=1), 0)
+            hits = [dict(sorted(count(words(x)).items())) for x in part["text"]]
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"], "toxic": (part["toxic"] > 0).astype("int32"),
+                "use": [sum(np.log1p(v) for k, v in h.items() if k in bad) for h in hits],
+                "at": [list(h) for h in hits], "value": [np.log1p(list(h.values())).tolist() for h in hits]})
+
+    got = marked.mapInPandas(sparse, "doc_id long, toxic int, use double, at array<int>, value array<double>").toPandas()
+    got = got.sort_values(["doc_id", "use"], ignore_index=True)
+    toxic, use = got["toxic"].to_numpy(), got["use"].to_numpy()
+    cuts = np.quantile(use[toxic == 1], [k / GRADES for k in range(1, GRADES)])
+    grade = np.where(toxic == 1, 1 + (use[:, None] > cuts).sum(axis=1), 0)
     row = np.repeat(np.arange(len(got)), [len(x) for x in got["at"]])
     at = np.concatenate([np.asarray(x, np.int64) for x in got["at"]])
     value = np.concatenate([np.asarray(x, np.float64) for x in got["value"]])
     w, t = ordinal(row, at, value, grade, len(features))
-    return Model(dict(zip(features, w.tolist(), strict=True)), t.tolist())
+    return Model(dict(zip(features, w.round(9).tolist(), strict=True)), t.round(9).tolist())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,12 +170,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"), F.lit(False).alias("rejected"))
-    weights, t = model.weights, np.array(model.thresholds)
+    place, w, t = {k: i for i, k in enumerate(model.weights)}, list(model.weights.values()), np.array(model.thresholds)
 
     def each(texts: list) -> dict:
-        s = np.array([
-            sum(weights[k] * np.log1p(c) for k, c in sorted(Counter(filter(weights.__contains__, words(x))).items()))
-            for x in texts], np.float64)
+        count = Counts(place)
+        s = np.array([sum(w[k] * log1p(n) for k, n in sorted(count(words(x)).items())) for x in texts], np.float64)
         above = _sigmoid(s[:, None] - t)
         return {"severity": above.sum(axis=1).round(6), "p_toxic": above[:, 0].round(6),
                 "grade": (above >= 0.5).sum(axis=1), "rejected": above[:, 0] >= REJECT}
