@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.llm import exact_dedup, license_scan, packing, secrets, sharding, simhash, toxicity
+from waitline.llm import decontamination, exact_dedup, license_scan, packing, secrets, sharding, simhash, toxicity
 from waitline.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_sharding, op3_license_scan, op5_exact_dedup, op7_simhash, op9_secret_scan, op10_packing)}
+    op1_toxicity, op2_sharding, op3_license_scan, op5_exact_dedup, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing)}
 
 ORACLES: dict[str, str] = {}
