@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.llm import decontamination, exact_dedup, license_scan, packing, secrets, sharding, simhash, toxicity
+from waitline.llm import decontamination, exact_dedup, license_scan, packing, secrets, sharding, simhash, substring_dedup, toxicity
 from waitline.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     """Half of the documents, by a hash of the id, stand for the snapshot; the others come in."""
     half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -44,6 +48,6 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_sharding, op3_license_scan, op5_exact_dedup, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing)}
+    op1_toxicity, op2_sharding, op3_license_scan, op4_substring_dedup, op5_exact_dedup, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing)}
 
 ORACLES: dict[str, str] = {}
