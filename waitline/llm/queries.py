@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.llm import decontamination, exact_dedup, license_scan, packing, secrets, sharding, simhash, substring_dedup, toxicity
+from waitline.llm import decontamination, exact_dedup, language_id, license_scan, packing, secrets, sharding, simhash, substring_dedup, toxicity
 from waitline.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), half)
 
 
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_sharding, op3_license_scan, op4_substring_dedup, op5_exact_dedup, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing)}
+    op1_toxicity, op2_sharding, op3_license_scan, op4_substring_dedup, op5_exact_dedup,
+    op6_language_id, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing)}
 
 ORACLES: dict[str, str] = {}
