@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,14 @@ def snapshot(rows: DataFrame, bucket_keys: int = BUCKET_KEYS) -> Snapshot:
 def screened(batch: DataFrame, old: Snapshot) -> DataFrame:
     """The distinct digests of the batch with ``positive``: whether the filter of their bucket has them."""
 
-    def screen(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        passed = fuse.contains(held["filter"].iloc[0], rows["key"].to_numpy()) if len(held) and len(rows) else False
-        return rows[["text_sha256", "n", "last"]].assign(positive=passed)
+    def screen(rows: pa.Table, held: pa.Table) -> pa.Table:
+        passed = np.zeros(rows.num_rows, bool)
+        if rows.num_rows and held.num_rows:
+            passed = fuse.contains(held["filter"][0].as_py(), rows["key"].to_numpy())
+        return rows.select(["text_sha256", "n", "last"]).append_column("positive", pa.array(passed))
 
     new = distinct_digests(batch, old.buckets).withColumn("key", F.xxhash64("text_sha256"))
-    return new.groupBy("bucket").cogroup(old.filters.groupBy("bucket")).applyInPandas(
+    return new.groupBy("bucket").cogroup(old.filters.groupBy("bucket")).applyInArrow(
         screen, "text_sha256 string, n long, last long, positive boolean")
 
 
