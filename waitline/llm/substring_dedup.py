@@ -36,6 +36,9 @@ _PIECES = np.dtype([("key", "<u4"), ("doc", "<u4"), ("start", "<u4"), ("windows"
 _SENT = "bucket long, doc_id long, row long, start long, windows long, pieces binary"
 
 
+_NONE = pd.DataFrame({"key": np.zeros(0, np.uint64), **{k: np.zeros(0, np.int64) for k in ("doc", "start", "windows", "a", "b")}})
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
@@ -66,7 +69,7 @@ def cut(texts: list[bytes], window: int = WINDOW) -> pd.DataFrame:
     doc = np.searchsorted(heads, starts, "right") - 1
     n = len(starts) - window + 1
     if n <= 0:
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "doc", "start", "windows", "a", "b")})
+        return _NONE
     low = (np.uint64(15) - np.minimum(ends - starts, 15).astype(np.uint64)) << np.uint64(60) | h >> np.uint64(4)
     span, best = 1, low
     while 2 * span <= window:
@@ -75,7 +78,7 @@ def cut(texts: list[bytes], window: int = WINDOW) -> pd.DataFrame:
     best = np.minimum(best[:n], best[window - span: window - span + n])
     at = np.flatnonzero(doc[:n] == doc[window - 1:])
     if not len(at):
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("key", "doc", "start", "windows", "a", "b")})
+        return _NONE
     new = np.concatenate([[True], (np.diff(at) != 1) | (best[at[1:]] != best[at[:-1]])])
     run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
     new |= (np.arange(len(at)) - run) % PIECE == 0
@@ -106,10 +109,10 @@ def _blocks(ids: list, rows: list, texts: list) -> Iterator[tuple]:
             at, held = i + 1, 0
 
 
-def _send(block: tuple, shards: int, packer) -> pd.DataFrame:
+def _send(block: tuple, shards: int, packer, window: int = WINDOW) -> pd.DataFrame:
     """Rows of a block: packed pieces for each shard, and windows already known to repeat."""
     ids, rows, texts = block
-    pieces = cut(texts)
+    pieces = cut(texts, window)
     data = b" ".join(texts)
     key, doc = pieces["key"].to_numpy(), pieces["doc"].to_numpy()
     a, b = pieces["a"].tolist(), pieces["b"].tolist()
@@ -237,7 +240,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
         for part in batches:
             texts = [t.encode() for t in part["text"]]
             for block in _blocks(part["doc_id"].tolist(), part["row"].tolist(), texts):
-                yield _send(block, shards, packer)
+                yield _send(block, shards, packer, window)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         packed = group["pieces"].notna()
