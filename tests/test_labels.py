@@ -1,7 +1,7 @@
 from conftest import at
 from pyspark.sql import functions as F
 
-from waitline.conf import DEFINITIONS, Settings
+from waitline.conf import RULES, Settings
 from waitline.functions.columns import is_bot
 from waitline.operators import labels as L
 
@@ -60,7 +60,7 @@ def test_wait_beyond_censor(spark):
 def test_unknown_opener_lets_everyone_count(spark):
     subjects, responses = frames(spark)
     unknown = subjects.withColumn("actor_login", F.lit(None).cast("string"))
-    assert waits(L.label(unknown, responses, Settings(), DEFINITIONS["D3"]))["C"][0] == 5.0
+    assert waits(L.label(unknown, responses, Settings(), RULES["D3"]))["C"][0] == 5.0
 
 
 def test_is_bot(spark):

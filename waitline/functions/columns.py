@@ -63,6 +63,21 @@ def rate(part, whole) -> Column:
     return part.cast("double") / whole
 
 
+def nearest(value, digits: int) -> Column:
+    """The decimal of so many digits that lies nearest to the double itself; of two equally near ones the even.
+
+    2.675 as a double lies below its decimal text and becomes 2.67.  ``bround`` rounds the text.
+    """
+    c, scale = F.abs(as_col(value)), 10**digits
+    whole = F.floor(c * scale).cast("long")
+    middle = (2 * whole + 1) / F.lit(2.0 * scale)
+    # Where the double is the one next to the middle, both are compared as integers, exactly.
+    power = F.pow(F.lit(2.0), 52 - F.floor(F.log2(c)))
+    own, other = (c * power).cast("long") * (2 * scale), (2 * whole + 1) * power.cast("long")
+    up = F.when(c != middle, c > middle).when(own != other, own > other).otherwise(whole % 2 == 1)
+    return F.signum(as_col(value)) * (whole + up.cast("long")) / F.lit(float(scale))
+
+
 def format_value(value, kind: str, is_rate: bool = False) -> Column:
     """Text of one feature value: missing, yes/no, two decimals for rates, grouped integer."""
     c = as_col(value)
@@ -71,8 +86,7 @@ def format_value(value, kind: str, is_rate: bool = False) -> Column:
     elif kind == "str":
         text = c.cast("string")
     elif is_rate:
-        # Half to even, as the published tables were rounded.
-        text = F.format_string("%.2f", F.bround(c.cast("double"), 2))
+        text = F.format_string("%.2f", nearest(c.cast("double"), 2))
     else:
         text = F.format_number(F.bround(c.cast("double"), 0), 0)
     return F.when(c.isNull(), "missing").otherwise(text)

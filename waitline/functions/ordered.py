@@ -10,6 +10,8 @@ over the rows themselves only spans one bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,6 +25,13 @@ def score_bucket(value, low: float = 0.0, high: float = 1.0, n: int = BUCKETS) -
     return F.width_bucket(value.cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(n)).cast("int")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equality join that lets a null key meet a null key; the keys of the left side stay."""
+    there = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(there, reduce(and_, same)).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,20 +41,14 @@ def running_totals(
     descending: bool = False,
     prefix: str = "cum_",
     minima: Sequence[str] = (),
-    split: bool = True,
 ) -> DataFrame:
     """Add ``prefix + c``: the sum of ``c`` over rows of the same keys up to and with this order value.
 
     Rows with an equal order value see each other.  ``bucket`` must be monotone in ``order``.
-    Keys must not be null.  ``minima`` names columns whose running minimum is wanted instead.
-    ``split=False`` is for callers that have counted that every key is small: one window, no carry.
+    Null keys form a key of their own, null order values come first (last when descending).
+    ``minima`` names columns whose running minimum is wanted instead.
     """
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    if not split:
-        whole = W.partitionBy(*keys).orderBy(way(order)).rangeBetween(W.unboundedPreceding, W.currentRow)
-        return df.select(
-            "*", *[F.sum(c).over(whole).alias(prefix + c) for c in totals],
-            *[F.min(c).over(whole).alias(prefix + c) for c in minima])
     cut = df.withColumn("_bucket", bucket)
     folds = [(c, F.sum) for c in totals] + [(c, F.min) for c in minima]
     sums = cut.groupBy(*keys, "_bucket").agg(*[f(c).alias(f"_b_{c}") for c, f in folds])
@@ -57,7 +60,7 @@ def running_totals(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(way(order)).rangeBetween(W.unboundedPreceding, W.currentRow)
     local = cut.select("*", *[f(c).over(inside).alias(f"_l_{c}") for c, f in folds])
-    return local.join(carry, [*keys, "_bucket"]).select(
+    return join_null_safe(local, carry, [*keys, "_bucket"]).select(
         *df.columns,
         *[(F.col(f"_l_{c}") + F.col(f"_c_{c}")).alias(prefix + c) for c in totals],
         *[F.least(f"_l_{c}", f"_c_{c}").alias(prefix + c) for c in minima],
@@ -79,8 +82,7 @@ def row_numbers(
                         *([F.sum("_n").over(W.partitionBy(*keys)).alias(total)] if total else []))
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(carry, [*keys, "_bucket"])
+        join_null_safe(cut.withColumn("_rn", F.row_number().over(inside)), carry, [*keys, "_bucket"])
         .select(*df.columns, (F.col("_rn") + F.col("_before")).alias(name), *([total] if total else []))
     )
 
@@ -110,7 +112,7 @@ def exact_quantiles(
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counts, keys, value, ["_n"], bucket)
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(sizes, list(keys)) if keys else _with_total(ranked, sizes)
+    ranked = join_null_safe(ranked, sizes, keys) if keys else _with_total(ranked, sizes)
     aggs = []
     for p, name in zip(probabilities, names):
         position = F.lit(float(p)) * (F.col("_total") - 1)
@@ -142,4 +144,4 @@ def average_ranks(
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counts, keys, value, ["_n"], score_bucket(F.col(value), -1, 1) if bucket is None else bucket)
     ranks = ranked.select(*keys, value, (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*keys, value])
+    return join_null_safe(df, ranks, [*keys, value])

@@ -54,9 +54,14 @@ def timeline_summary(rows: DataFrame, timeline: DataFrame, settings: Settings) -
 
 def require_meta(rows: DataFrame, project_meta: DataFrame) -> None:
     """Raise when a project has no metadata row, naming a few of them."""
-    missing = rows.select("project").distinct().join(project_meta, "project", "left_anti").limit(6).collect()
+    missing = missing_meta(rows, project_meta).limit(6).collect()
     if missing:
-        raise KeyError(f"no metadata for project(s) {sorted(r.project for r in missing)[:5]}")
+        raise KeyError(f"no metadata for project(s) {sorted(str(r.project) for r in missing)[:5]}")
+
+
+def missing_meta(rows: DataFrame, project_meta: DataFrame) -> DataFrame:
+    """(project): the projects of ``rows`` without a metadata row."""
+    return rows.select("project").distinct().join(project_meta.select("project"), "project", "left_anti")
 
 
 def at_open_features(
@@ -106,9 +111,12 @@ def commits_at_open(rows: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def project_features(rows: DataFrame, project_meta: DataFrame) -> DataFrame:
-    """Project-level snapshots and the project's age at opening; metadata is one row per project."""
+    """Project-level snapshots and the project's age at opening; metadata is one row per project.
+
+    A project without metadata keeps its rows, with nulls; ``require_meta`` is the check before.
+    """
     meta = project_meta.withColumnRenamed("created_at", "project_created_at")
-    return rows.select("id", "project", "created_at").join(meta, "project").select(
+    return rows.select("id", "project", "created_at").join(meta, "project", "left").select(
         "id",
         F.col("n_assignable_users").cast("long").alias("n_assignable_users"),
         F.col("n_mentionable_users").cast("long").alias("n_mentionable_users"),

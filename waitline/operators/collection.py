@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +11,26 @@ from waitline.conf import Settings
 from waitline.functions.columns import instant
 
 
-def coverage(subjects: DataFrame, settings: Settings) -> DataFrame:
-    """Date range, rows inside the window and the share outside."""
+def in_window(subjects: DataFrame, settings: Settings) -> DataFrame:
+    """Subjects opened inside the window, which the gate's rates are about."""
+    return subjects.where(F.col("created_at").between(instant(settings.window_start), instant(settings.window_end)))
+
+
+def coverage(subjects: DataFrame, settings: Settings, keys: Sequence[str] = ()) -> DataFrame:
+    """Date range, rows inside the window and the share outside, of all rows or per ``keys``."""
     inside = F.col("created_at").between(instant(settings.window_start), instant(settings.window_end))
-    return subjects.agg(
+    return subjects.groupBy(*keys).agg(
         F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("n"),
         F.count_if(inside).alias("n_in_window"), F.avg((~inside).cast("double")).alias("outside_share"))
 
 
-def truncation_rate(subjects: DataFrame) -> DataFrame:
-    return subjects.agg(F.avg(F.col("is_truncated").cast("double")).alias("truncation_rate"))
+def truncation_rate(subjects: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return subjects.groupBy(*keys).agg(F.avg(F.col("is_truncated").cast("double")).alias("truncation_rate"))
 
 
-def degeneracy(labels: DataFrame) -> DataFrame:
+def degeneracy(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Never and slow rate and whether both lie in the usable ranges."""
-    r = labels.agg(F.avg(F.col("never_answered").cast("double")).alias("never"), F.avg(F.col("is_slow").cast("double")).alias("slow"))
+    r = labels.groupBy(*keys).agg(F.avg(F.col("never_answered").cast("double")).alias("never"), F.avg(F.col("is_slow").cast("double")).alias("slow"))
     return r.withColumn("pass", F.col("never").between(0.10, 0.35) & F.col("slow").between(0.05, 0.60))
 
 
@@ -46,25 +53,25 @@ def diff_rates(diffs: DataFrame, commit_counts: DataFrame) -> DataFrame:
 
 
 def warm_up(history: DataFrame, settings: Settings, early_days: int = 90) -> DataFrame:
-    """Rows open when the window starts, and early rows whose actor already had history."""
+    """Rows open when the window starts, and early rows whose actor already had history in the same project."""
     start = instant(settings.window_start)
     end = F.expr(f"timestampadd(DAY, {early_days}, _start)")
     h = history.withColumn("_start", start)
     old = h.where(F.col("created_at") < F.col("_start"))
     open_ = old.where(F.col("closed_at").isNull() | (F.col("closed_at") > F.col("_start")))
     early = h.where((F.col("created_at") >= F.col("_start")) & (F.col("created_at") < end))
-    veterans = old.select("actor_login").where("actor_login is not null").distinct().withColumn("veteran", F.lit(1))
-    share = early.join(veterans, "actor_login", "left").agg(F.avg(F.coalesce("veteran", F.lit(0)).cast("double")).alias("s"))
+    veterans = old.select("project", "actor_login").where("actor_login is not null").distinct().withColumn("veteran", F.lit(1))
+    share = early.join(veterans, ["project", "actor_login"], "left").agg(F.avg(F.coalesce("veteran", F.lit(0)).cast("double")).alias("s"))
     return open_.agg(F.count(F.lit(1)).alias("open_at_window_start")).withColumn("early_actors_with_history", share.scalar())
 
 
 def mutability(history: DataFrame, status: str = "CONTRIBUTOR") -> DataFrame:
-    """Share of actors whose first known status is one that only later rows could have earned.
+    """Share of a project's actors whose first known status there is one that only later rows could have earned.
 
     The first non-null status in (created_at, id) order; an ordered minimum, so no window is needed.
     """
     known = F.when(F.col("association_current").isNotNull(), F.struct("created_at", "id"))
-    first = history.where("actor_login is not null").groupBy("actor_login").agg(
+    first = history.where("actor_login is not null").groupBy("project", "actor_login").agg(
         F.min_by("association_current", known).alias("first_status"))
     return first.agg(
         F.count(F.lit(1)).alias("n_actors"), F.count_if(F.col("first_status") == status).alias("n_status"),

@@ -36,9 +36,10 @@ def build(
 ) -> DataFrame:
     """One row per modelling subject with every registered column, joined on the subject id.
 
-    The labels feed four places, so they are written once.
+    Raises if a project has no metadata.  The labels feed four places, so they are written once.
     """
     chosen = labels.modelling_rows(subjects, settings).join(kept.select("project"), "project", "left_semi")
+    atopen.require_meta(chosen, project_meta)
     marks = written(labels.label(chosen, responses, settings), "labels")
     rows = chosen.join(marks.select("id", "is_slow"), "id")
     g, g_merge = priors(rows, settings).first()

@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waitline.conf import DEFINITIONS, PRIMARY, Definition, Settings
+from waitline.conf import RULES, PRIMARY, Rule, Settings
 from waitline.functions.columns import hours_between, instant, is_bot, truthy
 
 
@@ -24,14 +24,9 @@ def visible_at() -> Column:
     )
 
 
-def qualifies(definition: Definition) -> Column:
-    """The part of a definition that needs the response alone."""
-    ok = F.col("stream").isin(*definition.streams)
-    if definition.exclude_associations:
-        ok = ok & ~F.coalesce("association", F.lit("")).isin(*definition.exclude_associations)
-    if definition.exclude_minimized:
-        ok = ok & ~truthy("is_minimized")
-    return ok
+def qualifies(rule: Rule) -> Column:
+    """The part of a rule that needs the response alone; a response without a stream never counts."""
+    return F.coalesce(F.expr(rule.counts), F.lit(False))
 
 
 def human_responses(responses: DataFrame) -> DataFrame:
@@ -48,9 +43,9 @@ def not_own() -> Column:
     return ~F.col("login").eqNullSafe(F.col("actor_login"))
 
 
-def eligible_events(subjects: DataFrame, responses: DataFrame, definition: Definition) -> DataFrame:
-    """Every response that could end a wait under ``definition``."""
-    found = human_responses(responses).where(qualifies(definition))
+def eligible_events(subjects: DataFrame, responses: DataFrame, rule: Rule) -> DataFrame:
+    """Every response that could end a wait under ``rule``."""
+    found = human_responses(responses).where(qualifies(rule))
     openers = subjects.select("id", "actor_login")
     return found.join(openers, "id", "left").where(not_own()).select(
         "id", "stream", "visible_at", "login", "association", "is_minimized"
@@ -58,18 +53,18 @@ def eligible_events(subjects: DataFrame, responses: DataFrame, definition: Defin
 
 
 def first_events(
-    subjects: DataFrame, responses: DataFrame, definitions: Iterable[Definition] = tuple(DEFINITIONS.values())
+    subjects: DataFrame, responses: DataFrame, rules: Iterable[Rule] = tuple(RULES.values())
 ) -> DataFrame:
-    """First qualifying instant per subject, one column ``first_<name>`` per definition.
+    """First qualifying instant per subject, one column ``first_<name>`` per rule.
 
     Responses are reduced to one row per (subject, responder) before they meet the openers, so a
     subject with a flood of responses is combined on the map side and never travels whole.
     """
-    definitions = list(definitions)
-    names = [d.name for d in definitions]
-    any_of = reduce(or_, [qualifies(d) for d in definitions])
+    rules = list(rules)
+    names = [d.name for d in rules]
+    any_of = reduce(or_, [qualifies(d) for d in rules])
     found = human_responses(responses.where(any_of)).groupBy("id", "login").agg(
-        *[F.min(F.when(qualifies(d), F.col("visible_at"))).alias(f"first_{d.name}") for d in definitions]
+        *[F.min(F.when(qualifies(d), F.col("visible_at"))).alias(f"first_{d.name}") for d in rules]
     )
     openers = subjects.select("id", "actor_login")
     return (
@@ -98,22 +93,22 @@ def label(
     subjects: DataFrame,
     responses: DataFrame,
     settings: Settings,
-    definition: Definition = DEFINITIONS[PRIMARY],
+    rule: Rule = RULES[PRIMARY],
 ) -> DataFrame:
     """One row per subject: wait, never / slow / observed flags and the censored wait."""
-    firsts = first_events(subjects, responses, [definition])
+    firsts = first_events(subjects, responses, [rule])
     return subjects.select("project", "id", "created_at").join(firsts, "id", "left").select(
-        "project", "id", "created_at", *outcome_columns(F.col(f"first_{definition.name}"), settings)
+        "project", "id", "created_at", *outcome_columns(F.col(f"first_{rule.name}"), settings)
     )
 
 
 def label_all(subjects: DataFrame, responses: DataFrame, settings: Settings) -> DataFrame:
-    """All definitions at once, long form with a ``definition`` column; responses are read once."""
+    """All rules at once, long form with a ``definition`` column; responses are read once."""
     firsts = first_events(subjects, responses)
-    pairs = ", ".join(f"'{n}', first_{n}" for n in DEFINITIONS)
+    pairs = ", ".join(f"'{n}', first_{n}" for n in RULES)
     wide = subjects.select("project", "id", "created_at").join(firsts, "id", "left")
     long = wide.selectExpr(
-        "project", "id", "created_at", f"stack({len(DEFINITIONS)}, {pairs}) as (definition, _first)"
+        "project", "id", "created_at", f"stack({len(RULES)}, {pairs}) as (definition, _first)"
     )
     return long.select("definition", "project", "id", "created_at", *outcome_columns(F.col("_first"), settings))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waitline.functions.columns import seeded
-from waitline.functions.ordered import running_totals, score_bucket
+from waitline.functions.ordered import join_null_safe, running_totals, score_bucket
 
 
 def precision_per_project(
@@ -43,10 +43,12 @@ def score_steps(
 ) -> DataFrame:
     """Per distinct score, from the top: positives, rows and their running totals.
 
-    ``bucket`` splits the score axis over tasks (default: equal widths over [0, 1]).
+    ``bucket`` splits the score axis over tasks (default: equal widths over [0, 1]).  A missing score
+    cannot be ranked and fails the job.
     """
+    ranked = F.when(F.col(score).isNull(), F.raise_error(F.lit(f"a row has no {score}"))).otherwise(F.col(score))
     one = F.col(weight) if weight else F.lit(1)
-    counts = scored.groupBy(*keys, score).agg(
+    counts = scored.withColumn(score, ranked).groupBy(*keys, score).agg(
         F.sum(F.when(F.col(outcome).cast("boolean"), one).otherwise(F.lit(0))).alias("pos"), F.sum(one).alias("n")
     )
     cut = score_bucket(F.col(score)) if bucket is None else bucket
@@ -82,7 +84,7 @@ def curve(scored: DataFrame, keys: Sequence[str] = (), score: str = "p_hat", buc
     steps = score_steps(scored, keys, score, bucket=bucket)
     total = steps.groupBy(*keys).agg(F.sum("pos").alias("_pos"))
     if keys:
-        both = steps.join(total, list(keys))
+        both = join_null_safe(steps, total, keys)
     else:
         both = steps.withColumn("_pos", total.scalar())
     return both.select(

@@ -34,18 +34,23 @@ MISSING = -1.0
 # The tunable names and their defaults.
 DEFAULT_PARAMS = {
     "num_leaves": 31, "learning_rate": 0.05, "n_estimators": 200, "min_child_samples": 10,
-    "feature_fraction": 0.9, "bagging_fraction": 0.9, "bagging_freq": 1, "lambda_l2": 1.0,
+    "feature_fraction": 0.9, "bagging_fraction": 0.9,
 }
+# What the built-in learner has no counterpart for; refused rather than ignored.
+NOT_SUPPORTED = ("lambda_l2", "bagging_freq")
 
 # The search ranges (low, high, kind).
 SEARCH_SPACE = {
     "num_leaves": (8, 128, "int"), "learning_rate": (0.01, 0.2, "log"), "n_estimators": (100, 1000, "int"),
     "min_child_samples": (10, 200, "int"), "feature_fraction": (0.5, 1.0, "uniform"),
-    "bagging_fraction": (0.5, 1.0, "uniform"), "lambda_l2": (1e-3, 10.0, "log"),
+    "bagging_fraction": (0.5, 1.0, "uniform"),
 }
 
 
 def check_params(params: dict) -> dict:
+    idle = set(params) & set(NOT_SUPPORTED)
+    if idle:
+        raise KeyError(f"the built-in learner has no {sorted(idle)}")
     unknown = set(params) - set(DEFAULT_PARAMS)
     if unknown:
         raise KeyError(f"unknown params: {sorted(unknown)}")
@@ -64,15 +69,14 @@ def numeric(table: DataFrame, features: Sequence[str]) -> DataFrame:
         f: F.coalesce(F.col(f).cast("double"), F.lit(MISSING)) for f in features if f != CATEGORICAL})
 
 
-def learner(params: dict, seed: int) -> GBTClassifier:
+def learner(params: dict, seed: int, categories: int = 0) -> GBTClassifier:
     """The built-in learner grows level-wise, so the leaf budget becomes a depth.
 
-    It has no L2 term and resamples every round: lambda_l2 and bagging_freq are accepted for the
-    sake of one vocabulary and have no effect.
+    It resamples every round and needs as many bins as the categorical has values.
     """
     p = check_params(params)
     return GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", seed=seed, maxBins=64,
+        featuresCol="features", labelCol="label", weightCol="weight", seed=seed, maxBins=max(64, categories),
         maxIter=int(p["n_estimators"]), maxDepth=max(1, math.ceil(math.log2(p["num_leaves"]))), stepSize=p["learning_rate"],
         minInstancesPerNode=int(p["min_child_samples"]), subsamplingRate=p["bagging_fraction"],
         featureSubsetStrategy="all" if p["feature_fraction"] >= 1 else str(p["feature_fraction"]),
@@ -90,7 +94,9 @@ def fit(train: DataFrame, features: Sequence[str], params: dict, seed: int) -> P
     if CATEGORICAL in features:
         stages.append(StringIndexer(inputCol=CATEGORICAL, outputCol="_category", handleInvalid="keep", stringOrderType="alphabetAsc"))
         inputs[inputs.index(CATEGORICAL)] = "_category"
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), learner(params, seed)]
+    # One value more: the indexer's place for what training has not seen.
+    categories = rows.agg(F.count_distinct(CATEGORICAL)).first()[0] + 1 if CATEGORICAL in features else 0
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), learner(params, seed, categories)]
     return Pipeline(stages=stages).fit(rows)
 
 

@@ -61,7 +61,7 @@ def _step(at: Column, names, **amounts) -> Column:
 def _steps(rows: DataFrame, keys, names, steps) -> DataFrame:
     """Explode the steps and add up those that share an instant (combined on the map side)."""
     flat = rows.select(*keys, F.explode(F.array(*steps)).alias("s")).select(*keys, "s.*")
-    return flat.where(F.col("at_us").isNotNull()).groupBy(*keys, "at_us").agg(*[F.sum(n).alias(n) for n in names])
+    return flat.where(F.col("at_us").isNotNull() & F.col("project").isNotNull()).groupBy(*keys, "at_us").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def project_steps(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -93,19 +93,7 @@ def actor_steps(rows: DataFrame, settings: Settings) -> DataFrame:
     ])
 
 
-def largest_keys(rows: DataFrame, probes: DataFrame) -> tuple[int, int]:
-    """Most history and probe rows of one project and of one (project, actor); null actors are spread."""
-    keys = rows.select("project", "actor_login").unionByName(probes.select("project", "actor_login"))
-    per = keys.groupBy("project", "actor_login").agg(F.count(F.lit(1)).alias("n"))
-    known = F.when(F.col("actor_login").isNotNull(), F.col("n"))
-    top = per.groupBy("project").agg(F.sum("n").alias("p"), F.max(known).alias("a")).agg(
-        F.coalesce(F.max("p"), F.lit(0)).alias("p"), F.coalesce(F.max("a"), F.lit(0)).alias("a")).first()
-    return top.p, top.a
-
-
-def _at_probes(
-    probes: DataFrame, steps: DataFrame, keys, names, bucket_days: int, minima=(), split: bool = True
-) -> DataFrame:
+def _at_probes(probes: DataFrame, steps: DataFrame, keys, names, bucket_days: int, minima=()) -> DataFrame:
     """Totals of ``steps`` at the probes' instants, added to the probe rows."""
     payload = [c for c in probes.columns if c not in (*keys, "at_us")]
     width = bucket_days * DAY_US
@@ -114,7 +102,7 @@ def _at_probes(
     told = steps.select(*keys, "at_us", *names, *minima).withColumn("_asked", F.lit(False))
     both = told.unionByName(asked, allowMissingColumns=True)
     bucket = F.floor(F.col("at_us") / width).cast("long")
-    ran = running_totals(both, keys, "at_us", names, bucket, minima=minima, split=split)
+    ran = running_totals(both, keys, "at_us", names, bucket, minima=minima)
     return ran.where("_asked").select(*keys, "at_us", *payload, *[f"cum_{n}" for n in (*names, *minima)])
 
 
@@ -128,26 +116,22 @@ def features_at(
 ) -> DataFrame:
     """Every replay column for every probe, in one pass over the history.
 
-    Probes may lie at any instant.  A probe without an actor gets the values of a first subject.
+    Probes may lie at any instant.  A probe without an actor gets the values of a first subject, one
+    without a project or an instant meets no history at all; history without a project is seen by nobody.
     Two independent passes, one by (project, time bucket) and one by (project, actor, time bucket),
     meet on the probe id, which must be unique.  The narrow labelled history is written first: both
     passes read it, and whatever made the labels runs once.
     """
     rows = written(labelled_history(history, labels), "history")
-    project_rows, actor_rows = largest_keys(rows, probes)
     asked = probes.select("probe_id", "project", micros("at").alias("at_us"))
     # A missing actor becomes a key of its own: no history, and no pile-up on one null key.
     who = F.coalesce("actor_login", F.concat(F.lit("\u0000"), F.col("probe_id").cast("string")))
     asked_who = probes.select("probe_id", "project", micros("at").alias("at_us"), who.alias("actor_key"))
     by_project = _at_probes(
-        asked, project_steps(rows, settings), ["project"], PROJECT_STEPS, settings.bucket_days,
-        split=project_rows > settings.split_above,
-    )
+        asked, project_steps(rows, settings), ["project"], PROJECT_STEPS, settings.bucket_days)
     steps = actor_steps(rows, settings).withColumn("first_us", F.when(F.col("prior") > 0, F.col("at_us") - 1))
     by_actor = _at_probes(
-        asked_who, steps, ["project", "actor_key"], ACTOR_STEPS, settings.actor_bucket_days, minima=["first_us"],
-        split=actor_rows > settings.split_above,
-    )
+        asked_who, steps, ["project", "actor_key"], ACTOR_STEPS, settings.actor_bucket_days, minima=["first_us"])
     both = by_project.join(by_actor.drop("project", "actor_key", "at_us"), "probe_id")
 
     a = F.lit(float(settings.alpha))

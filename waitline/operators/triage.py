@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waitline.conf import DAY_US, Settings
-from waitline.functions.columns import as_col, days_between, format_value, instant, iso_week, micros, seeded, seeded_int
-from waitline.functions.ordered import hash_numbers, running_totals, score_bucket, with_scalars
+from waitline.functions.columns import as_col, days_between, instant, iso_week, micros, nearest, seeded, seeded_int
+from waitline.functions.ordered import hash_numbers, row_numbers, running_totals, score_bucket, with_scalars
 
 # The exhaustive wait buckets; the last three are the stalled ones.
 WAIT_BUCKETS = (
@@ -68,7 +68,7 @@ def default_project(counts: DataFrame) -> DataFrame:
 
 def outcome() -> Column:
     """What happened: answered, closed without an answer, or neither, and whether it stalled."""
-    days = lambda end: F.format_string("%.1f", F.bround(days_between("created_at", end), 1))
+    days = lambda end: F.format_string("%.1f", nearest(days_between("created_at", end), 1))
     text = (
         F.when(F.col("first_response_at").isNotNull(), F.concat(F.lit("reviewed after "), days("first_response_at"), F.lit(" days")))
         .when(F.col("closed_at").isNotNull(), F.concat(F.lit("closed after "), days("closed_at"), F.lit(" days without a review")))
@@ -78,11 +78,16 @@ def outcome() -> Column:
 
 
 def ranked(rows: DataFrame, at: Column, top: int | None = None) -> DataFrame:
-    """Each project's waiting subjects by risk, then age, then number.  ``top`` keeps a top-k report."""
-    w = W.partitionBy("project").orderBy(F.desc("p_hat"), "created_at", "number")
-    out = awaiting(rows, at).withColumn("rank", F.row_number().over(w))
-    if top is not None:
-        out = out.where(F.col("rank") <= top)
+    """Each project's waiting subjects by risk, then age, then number.  ``top`` keeps a top-k report.
+
+    The full list is numbered in two levels, over buckets of the score; a top-k is cut in every partition first.
+    """
+    order = [F.desc("p_hat"), "created_at", "number"]
+    if top is None:
+        out = row_numbers(awaiting(rows, at), ["project"], order, -score_bucket(F.col("p_hat")), "rank")
+    else:
+        w = W.partitionBy("project").orderBy(*order)
+        out = awaiting(rows, at).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return out.select(
         "project", "id", F.col("rank").cast("long").alias("rank"), F.col("p_hat").alias("risk"), "url", "title",
         days_between("created_at", at).alias("days_waited"), outcome().alias("outcome"), F.col("is_slow").alias("stalled"))
@@ -94,15 +99,15 @@ def tally(rows: DataFrame, at: Column, k: int = 3) -> DataFrame:
 
 
 def parse_reference(text, default_project) -> Column:
-    """(project, number) from a link, ``owner/name#N`` or a bare number; null when it is none of them."""
+    """(project, number) from a link, ``owner/name#N`` or a bare number; null when it is none of them or the number does not fit."""
     t = F.trim(as_col(text))
     part = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
     project = F.coalesce(part(LINK_PATTERN, 1), part(SHORT_PATTERN, 1))
     number = F.coalesce(part(LINK_PATTERN, 2), part(SHORT_PATTERN, 2))
     bare = part(BARE_PATTERN, 1)
-    named = F.struct(project.alias("project"), number.cast("long").alias("number"))
-    plain = F.struct(as_col(default_project).alias("project"), bare.cast("long").alias("number"))
-    return F.when(number.isNotNull(), named).when(bare.isNotNull(), plain)
+    named = F.struct(project.alias("project"), number.try_cast("long").alias("number"))
+    plain = F.struct(as_col(default_project).alias("project"), bare.try_cast("long").alias("number"))
+    return F.when(number.try_cast("long").isNotNull(), named).when(bare.try_cast("long").isNotNull(), plain)
 
 
 def find(rows: DataFrame, references: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def ap_cte(name: str, source: str, keys=(), score: str = "p_hat", outcome: str =
 {name} as (select {_cols(keys)}sum(pos * cp / cn) / nullif(sum(pos), 0) as auc_pr from {name}_r {grouped(keys)})"""
 
 
-def patk_cte(name: str, source: str, keys=(), k: int = 10, seed: int = 20260912, score: str = "p_hat") -> str:
+def patk_cte(name: str, source: str, keys=(), k: int = 10, seed: int = 7411, score: str = "p_hat") -> str:
     pk = [*keys, "project"]
     return f"""
 {name}_k as (select {_cols(pk)}is_slow, row_number() over ({part(pk)} order by {score} desc, md5(concat_ws(':', '{seed}', id)), id) as rk
@@ -225,7 +225,7 @@ def patk_cte(name: str, source: str, keys=(), k: int = 10, seed: int = 20260912,
 {name} as (select {_cols(keys)}avg(precision) as precision_at_k from {name}_p {grouped(keys)})"""
 
 
-def boot_cte(name: str, source: str, keys=(), value: str = "v", draws: int = 2000, seed: int = 20260912,
+def boot_cte(name: str, source: str, keys=(), value: str = "v", draws: int = 2000, seed: int = 7411,
              group: str = "project") -> str:
     gb = ", ".join([*keys, "draw"])
     return f"""

@@ -107,7 +107,8 @@ select project, count(*) as n from subj where project not in (select project fro
 def f10_missing_metadata(spark, sf):
     t = OrderTables(spark, sf)
     known = t.project_meta().where("owner_type = 'User'")
-    return t.subjects().join(known, "project", "left_anti").groupBy("project").agg(F.count("*").alias("n"))
+    rows = t.subjects()
+    return rows.join(A.missing_meta(rows, known), "project").groupBy("project").agg(F.count("*").alias("n"))
 
 
 ROWS = [*BASE, o.ELIGIBLE, o.MODEL_ROWS, o.KEPT, "crows as (select * from mrows where project in (select project from kept))",

@@ -142,9 +142,10 @@ def s10_subject_rows(spark, sf):
 
 
 @book.query("s11_actor", o.with_(RAW) + """
-select actor_login, actor_login is null as actor_is_deleted, cast(actor_is_bot as varchar) as actor_is_bot, count(*) as n from s1 group by all""")
+select actor_login, actor_login is null as actor_is_deleted, cast(actor_is_bot as varchar) as actor_is_bot, count(*) as n
+from (select actor_login, actor_is_bot from s1 union all select actor_login, actor_is_bot from s2) group by all""")
 def s11_actor(spark, sf):
-    rows = nodes(spark, sf).where("tier = 1").select(*P.actor_columns("node.author"))
+    rows = nodes(spark, sf).select(*P.actor_columns("node.author"))
     return rows.groupBy("actor_login", "actor_is_deleted", F.col("actor_is_bot").cast("string").alias("actor_is_bot")).agg(F.count("*").alias("n"))
 
 
@@ -313,14 +314,16 @@ def s27_result_sinks(spark, sf):
     return spark.read.schema(schema).json(path + "/json").unionByName(spark.read.schema(schema).option("header", "true").csv(path + "/csv"))
 
 
-@book.query("s28_resumable_ingest", o.with_(RAW) + "select project, 1 as tier, count(*) as n, count(*) as n_ids from s1 group by project")
+@book.query("s28_resumable_ingest", o.with_(RAW) + """
+select project, 1 as tier, count(*) as n, count(*) as n_ids, sum(page)::bigint as pages from s1 group by project
+union all select project, 2, count(*), count(*), sum(page)::bigint from s2 group by project""")
 def s28_resumable_ingest(spark, sf):
-    """Half the files, then the rest with a repeat of the first, then once more: every id lands once."""
+    """The later half of the pages, then the earlier with a repeat, then once more: every id lands once, from its earliest page."""
     source, sink, checkpoint = I.fresh_paths(spark)
-    rows = all_nodes(spark, sf).where("tier = 1").select(
+    rows = all_nodes(spark, sf).select(
         "project", "tier", F.col("node.id").alias("id"), "page_index", F.to_json("node").alias("payload"))
     schema = "project string, tier int, id string, page_index long, payload string"
-    first = F.col("page_index") % 2 == 0
+    first = F.col("page_index") >= 900
     rows.where(first).write.mode("append").parquet(source)
     I.ingest(spark, source, schema, sink, checkpoint)
     rows.where(~first).write.mode("append").parquet(source)
@@ -328,7 +331,7 @@ def s28_resumable_ingest(spark, sf):
     I.ingest(spark, source, schema, sink, checkpoint)
     I.ingest(spark, source, schema, sink, checkpoint)
     landed = spark.read.schema(schema).parquet(sink)
-    return landed.groupBy("project", "tier").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+    return landed.groupBy("project", "tier").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.sum("page_index").alias("pages"))
 
 
 @book.query("s29_search_candidates", o.with_(o.CANDIDATES) + """

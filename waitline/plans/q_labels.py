@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.conf import DEFINITIONS
+from waitline.conf import RULES
 from waitline.functions.columns import is_bot, micros
 from waitline.operators import labels as L
 from waitline.plans import oracle_base as o
@@ -34,13 +34,13 @@ def l2_visible_at(spark, sf):
 def _l3(name):
     def run(spark, sf):
         t = OrderTables(spark, sf)
-        e = L.eligible_events(t.subjects(), t.responses(), DEFINITIONS[name])
+        e = L.eligible_events(t.subjects(), t.responses(), RULES[name])
         return e.groupBy("id", "stream", "login").agg(
             F.count("*").alias("n"), F.min(micros("visible_at")).alias("first_us"))
     return run
 
 
-for _d in DEFINITIONS:
+for _d in RULES:
     book.query(f"l3_eligible_events_{_d.lower()}", o.with_(o.SUBJECTS, o.RESPONSES, o.ELIGIBLE) + f"""
 select id, stream, login, count(*) as n, min(v_us) as first_us from elig
 where {o.DEFINITION_FILTER[_d]} group by all""")(_l3(_d))
@@ -50,7 +50,7 @@ where {o.DEFINITION_FILTER[_d]} group by all""")(_l3(_d))
 select id, min(v_us) as first_us from elig where {o.DEFINITION_FILTER['D5']} group by id having min(v_us) is not null""")
 def l4_first_event(spark, sf):
     t = OrderTables(spark, sf)
-    f = L.first_events(t.subjects(), t.responses(), [DEFINITIONS["D5"]])
+    f = L.first_events(t.subjects(), t.responses(), [RULES["D5"]])
     return f.select("id", micros("first_D5").alias("first_us")).where("first_us is not null")
 
 
@@ -82,9 +82,9 @@ def l5_label_events(spark, sf):
 
 
 @book.query("l6_label_all", o.with_(
-    o.SUBJECTS, o.RESPONSES, o.ELIGIBLE, *[o.label_cte(f"lab{d}", d) for d in DEFINITIONS]) + " union all ".join(
+    o.SUBJECTS, o.RESPONSES, o.ELIGIBLE, *[o.label_cte(f"lab{d}", d) for d in RULES]) + " union all ".join(
     f"select '{d}' as definition, id, round(wait_h, 9) as wait_h, never_answered, is_slow, "
-    f"round(wait_h_censored, 9) as wait_h_censored from lab{d}" for d in DEFINITIONS))
+    f"round(wait_h_censored, 9) as wait_h_censored from lab{d}" for d in RULES))
 def l6_label_all(spark, sf):
     t = OrderTables(spark, sf)
     out = L.label_all(t.subjects(), t.responses(), t.settings)

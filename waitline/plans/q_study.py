@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.conf import DEFINITIONS
+from waitline.conf import RULES
 from waitline.functions.columns import instant, micros
 from waitline.operators import cohort as C
 from waitline.operators import collection as G
@@ -21,8 +21,8 @@ r9 = lambda *cs: [F.round(c, 9).alias(c) for c in cs]
 FAMILIES = {r: (r,) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
 
 ALL_LABELS = ", ".join([
-    o.SUBJECTS, o.RESPONSES, o.ELIGIBLE, o.MODEL_ROWS, *[o.label_cte(f"lab{d}", d, "mrows") for d in DEFINITIONS],
-    "alab as (" + " union all ".join(f"select '{d}' as definition, * from lab{d}" for d in DEFINITIONS) + ")"])
+    o.SUBJECTS, o.RESPONSES, o.ELIGIBLE, o.MODEL_ROWS, *[o.label_cte(f"lab{d}", d, "mrows") for d in RULES],
+    "alab as (" + " union all ".join(f"select '{d}' as definition, * from lab{d}" for d in RULES) + ")"])
 TIERS = o.COHORT
 RATE = "avg(case when is_slow then 1.0 else 0.0 end)"
 
@@ -103,22 +103,24 @@ def c6_kept_rows(spark, sf):
 # --- collection gate -----------------------------------------------------------------------------
 
 @book.query("g1_coverage", o.with_(o.SUBJECTS) + f"""
-select min(c_us) as first_us, max(c_us) as last_us, count(*) as n, count(*) filter (c_us between {o.WSTART} and {o.WEND}) as n_in_window,
-  round(avg(case when c_us between {o.WSTART} and {o.WEND} then 0.0 else 1.0 end), 9) as outside_share from subj""")
+select project, min(c_us) as first_us, max(c_us) as last_us, count(*) as n, count(*) filter (c_us between {o.WSTART} and {o.WEND}) as n_in_window,
+  round(avg(case when c_us between {o.WSTART} and {o.WEND} then 0.0 else 1.0 end), 9) as outside_share from subj group by project""")
 def g1_coverage(spark, sf):
     t = OrderTables(spark, sf)
-    return G.coverage(t.subjects(), t.settings).select(
-        micros("first_at").alias("first_us"), micros("last_at").alias("last_us"), "n", "n_in_window", *r9("outside_share"))
+    return G.coverage(t.subjects(), t.settings, ["project"]).select(
+        "project", micros("first_at").alias("first_us"), micros("last_at").alias("last_us"), "n", "n_in_window", *r9("outside_share"))
 
 
-@book.query("g2_truncation_rate", o.with_(o.SUBJECTS, o.RESPONSES) + """
-select round(avg(case when coalesce(n, 0) > 5 then 1.0 else 0.0 end), 9) as truncation_rate
-from subj left join (select id, count(*) as n from resp group by id) using (id)""")
+@book.query("g2_truncation_rate", o.with_(o.SUBJECTS, o.RESPONSES) + f"""
+select project, round(avg(case when coalesce(n, 0) > 5 then 1.0 else 0.0 end), 9) as truncation_rate
+from subj left join (select id, count(*) as n from resp group by id) using (id)
+where c_us between {o.WSTART} and {o.WEND} group by project""")
 def g2_truncation_rate(spark, sf):
     t = OrderTables(spark, sf)
     n = t.responses().groupBy("id").agg(F.count("*").alias("n"))
-    flagged = t.subjects().select("id").join(n, "id", "left").select((F.coalesce("n", F.lit(0)) > 5).alias("is_truncated"))
-    return G.truncation_rate(flagged).select(*r9("truncation_rate"))
+    flagged = G.in_window(t.subjects(), t.settings).select("project", "id").join(n, "id", "left").select(
+        "project", (F.coalesce("n", F.lit(0)) > 5).alias("is_truncated"))
+    return G.truncation_rate(flagged, ["project"]).select("project", *r9("truncation_rate"))
 
 
 DEF_SQL = f"""
@@ -137,16 +139,17 @@ select round(never, 9) as never, round(slow, 9) as slow, never between 0.10 and
 from (select avg(case when never_answered then 1.0 else 0.0 end) as never, {RATE} as slow from labD3)""")
 def g4_degeneracy(spark, sf):
     t = OrderTables(spark, sf)
-    lab = L.label(L.modelling_rows(t.subjects(), t.settings), t.responses(), t.settings, DEFINITIONS["D3"])
+    lab = L.label(L.modelling_rows(t.subjects(), t.settings), t.responses(), t.settings, RULES["D3"])
     return G.degeneracy(lab).select(*r9("never", "slow"), "pass")
 
 
-@book.query("g5_contamination", o.with_(o.SUBJECTS, o.TIMELINE) + """
-select event_type, count(distinct id) as n, round(count(distinct id) / (select count(*) from subj), 9) as share
-from tl join subj using (id) where e_us > c_us group by event_type""")
+@book.query("g5_contamination", o.with_(o.SUBJECTS, o.TIMELINE) + f"""
+, ins as (select * from subj where c_us between {o.WSTART} and {o.WEND})
+select event_type, count(distinct id) as n, round(count(distinct id) / (select count(*) from ins), 9) as share
+from tl join ins using (id) where e_us > c_us group by event_type""")
 def g5_contamination(spark, sf):
     t = OrderTables(spark, sf)
-    return G.contamination(t.subjects(), t.timeline()).select("event_type", "n", *r9("share"))
+    return G.contamination(G.in_window(t.subjects(), t.settings), t.timeline()).select("event_type", "n", *r9("share"))
 
 
 @book.query("g5_diff_rates", o.with_(o.SUBJECTS) + """
@@ -163,7 +166,7 @@ def g5_diff_rates(spark, sf):
 
 @book.query("g6_warm_up", o.with_(o.SUBJECTS) + f"""
 select count(*) filter (c_us < {o.WSTART} and (x_us is null or x_us > {o.WSTART})) as open_at_window_start,
-  round(avg(case when actor_login in (select actor_login from subj where c_us < {o.WSTART} and actor_login is not null) then 1.0 else 0.0 end)
+  round(avg(case when exists (select 1 from subj v where v.c_us < {o.WSTART} and v.project = subj.project and v.actor_login = subj.actor_login) then 1.0 else 0.0 end)
         filter (c_us >= {o.WSTART} and c_us < {o.WSTART} + 90 * {o.DAY}), 9) as early_actors_with_history from subj""")
 def g6_warm_up(spark, sf):
     t = OrderTables(spark, sf)
@@ -173,8 +176,8 @@ def g6_warm_up(spark, sf):
 @book.query("g7_mutability", o.with_(o.SUBJECTS) + """
 select count(*) as n_actors, count(*) filter (s = 'CONTRIBUTOR') as n_status,
   round(avg(case when s = 'CONTRIBUTOR' then 1.0 else 0.0 end), 9) as rate
-from (select actor_login, (array_agg(association_current order by c_us, id) filter (association_current is not null))[1] as s
-      from subj where actor_login is not null group by actor_login)""")
+from (select project, actor_login, (array_agg(association_current order by c_us, id) filter (association_current is not null))[1] as s
+      from subj where actor_login is not null group by project, actor_login)""")
 def g7_mutability(spark, sf):
     return G.mutability(OrderTables(spark, sf).history()).select("n_actors", "n_status", *r9("rate"))
 

@@ -6,60 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-# Column, group, status, type, nullable.
-_TABLE = """
-project                        key      key            string     no
-id                             key      key            string     no
-number                         key      key            long       no
-created_at                     key      key            timestamp  no
-is_slow                        label    label          boolean    no
-wait_h                         label    label          double     yes
-wait_h_censored                label    label          double     no
-event_observed                 label    label          boolean    no
-never_answered                 label    label          boolean    no
-created_hour_utc               static   static         integer    no
-created_dayofweek              static   static         integer    no
-is_weekend                     static   static         boolean    no
-is_cross_project               static   static         boolean    no
-actor_account_age_days         static   static         double     yes
-body_len                       static   static         integer    no
-has_body                       static   static         boolean    no
-body_edited                    flag     flag           boolean    no
-is_draft_at_open               at_open  reconstructed  boolean    no
-n_labels_at_open               at_open  reconstructed  long       no
-title_len_at_open              at_open  reconstructed  integer    no
-base_is_default                at_open  reconstructed  boolean    no
-reviewer_requested_at_open     at_open  static         boolean    no
-n_reviewers_requested_at_open  at_open  static         long       no
-requested_team_at_open         at_open  static         boolean    no
-additions_at_open              at_open  reconstructed  double     yes
-deletions_at_open              at_open  reconstructed  double     yes
-n_commits_at_open              at_open  reconstructed  double     yes
-diff_is_exact                  flag     flag           boolean    no
-timeline_may_be_truncated      flag     flag           boolean    no
-open_backlog_at_t              replay   replay         long       no
-opened_trailing_7d             replay   replay         long       no
-trailing_90d_slow_rate         replay   replay         double     no
-trailing_n                     replay   replay         long       no
-trailing_window_complete       flag     flag           boolean    no
-is_first_here                  replay   replay         boolean    no
-n_prior_here                   replay   replay         long       no
-n_prior_merged_here            replay   replay         long       no
-prior_merge_rate_here          replay   replay         double     no
-days_since_first_here          replay   replay         double     yes
-actor_prior_slow_rate_here     replay   replay         double     no
-actor_prior_n                  replay   replay         long       no
-n_assignable_users             project  snapshot       long       no
-n_mentionable_users            project  snapshot       long       no
-owner_is_org                   project  snapshot       boolean    no
-has_codeowners                 project  snapshot       boolean    no
-has_pr_template                project  snapshot       boolean    no
-has_contributing               project  snapshot       boolean    no
-n_ci_workflows                 project  snapshot       long       no
-language_dominant              project  snapshot       string     no
-project_age_days_at_open       project  static         double     no
-"""
-
 # Statuses a model may train on, and the baseline's own signal.
 TRAINABLE = ("static", "reconstructed", "replay", "snapshot")
 LABEL_REPLAY = ("trailing_90d_slow_rate", "trailing_n", "actor_prior_slow_rate_here", "actor_prior_n")
@@ -79,10 +25,61 @@ class ColumnSpec:
     nullable: bool
 
 
-COLUMNS = {
-    name: ColumnSpec(name, group, status, kind, null == "yes")
-    for name, group, status, kind, null in (line.split() for line in _TABLE.strip().splitlines())
-}
+# Column, group, status, type, nullable.
+SPECS = (
+    ColumnSpec("project", "key", "key", "string", False),
+    ColumnSpec("id", "key", "key", "string", False),
+    ColumnSpec("number", "key", "key", "long", False),
+    ColumnSpec("created_at", "key", "key", "timestamp", False),
+    ColumnSpec("is_slow", "label", "label", "boolean", False),
+    ColumnSpec("wait_h", "label", "label", "double", True),
+    ColumnSpec("wait_h_censored", "label", "label", "double", False),
+    ColumnSpec("event_observed", "label", "label", "boolean", False),
+    ColumnSpec("never_answered", "label", "label", "boolean", False),
+    ColumnSpec("created_hour_utc", "static", "static", "integer", False),
+    ColumnSpec("created_dayofweek", "static", "static", "integer", False),
+    ColumnSpec("is_weekend", "static", "static", "boolean", False),
+    ColumnSpec("is_cross_project", "static", "static", "boolean", False),
+    ColumnSpec("actor_account_age_days", "static", "static", "double", True),
+    ColumnSpec("body_len", "static", "static", "integer", False),
+    ColumnSpec("has_body", "static", "static", "boolean", False),
+    ColumnSpec("body_edited", "flag", "flag", "boolean", False),
+    ColumnSpec("is_draft_at_open", "at_open", "reconstructed", "boolean", False),
+    ColumnSpec("n_labels_at_open", "at_open", "reconstructed", "long", False),
+    ColumnSpec("title_len_at_open", "at_open", "reconstructed", "integer", False),
+    ColumnSpec("base_is_default", "at_open", "reconstructed", "boolean", False),
+    ColumnSpec("reviewer_requested_at_open", "at_open", "static", "boolean", False),
+    ColumnSpec("n_reviewers_requested_at_open", "at_open", "static", "long", False),
+    ColumnSpec("requested_team_at_open", "at_open", "static", "boolean", False),
+    ColumnSpec("additions_at_open", "at_open", "reconstructed", "double", True),
+    ColumnSpec("deletions_at_open", "at_open", "reconstructed", "double", True),
+    ColumnSpec("n_commits_at_open", "at_open", "reconstructed", "double", True),
+    ColumnSpec("diff_is_exact", "flag", "flag", "boolean", False),
+    ColumnSpec("timeline_may_be_truncated", "flag", "flag", "boolean", False),
+    ColumnSpec("open_backlog_at_t", "replay", "replay", "long", False),
+    ColumnSpec("opened_trailing_7d", "replay", "replay", "long", False),
+    ColumnSpec("trailing_90d_slow_rate", "replay", "replay", "double", False),
+    ColumnSpec("trailing_n", "replay", "replay", "long", False),
+    ColumnSpec("trailing_window_complete", "flag", "flag", "boolean", False),
+    ColumnSpec("is_first_here", "replay", "replay", "boolean", False),
+    ColumnSpec("n_prior_here", "replay", "replay", "long", False),
+    ColumnSpec("n_prior_merged_here", "replay", "replay", "long", False),
+    ColumnSpec("prior_merge_rate_here", "replay", "replay", "double", False),
+    ColumnSpec("days_since_first_here", "replay", "replay", "double", True),
+    ColumnSpec("actor_prior_slow_rate_here", "replay", "replay", "double", False),
+    ColumnSpec("actor_prior_n", "replay", "replay", "long", False),
+    ColumnSpec("n_assignable_users", "project", "snapshot", "long", False),
+    ColumnSpec("n_mentionable_users", "project", "snapshot", "long", False),
+    ColumnSpec("owner_is_org", "project", "snapshot", "boolean", False),
+    ColumnSpec("has_codeowners", "project", "snapshot", "boolean", False),
+    ColumnSpec("has_pr_template", "project", "snapshot", "boolean", False),
+    ColumnSpec("has_contributing", "project", "snapshot", "boolean", False),
+    ColumnSpec("n_ci_workflows", "project", "snapshot", "long", False),
+    ColumnSpec("language_dominant", "project", "snapshot", "string", False),
+    ColumnSpec("project_age_days_at_open", "project", "static", "double", False),
+)
+
+COLUMNS = {c.name: c for c in SPECS}
 
 
 def feature_columns() -> list[str]:

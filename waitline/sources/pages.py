@@ -106,7 +106,7 @@ def error_records(manifest: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, pattern: str = PAGE_PATH) -> DataFrame:
-    """(project, tier, page_index, value): whole page texts; unreadable files are left out."""
+    """(project, tier, page_index, value): whole page texts; unreadable files and files that are no page are left out."""
     files = (
         spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
         .option("recursiveFileLookup", "true").text(path, wholetext=True)
@@ -114,8 +114,8 @@ def read_pages(spark: SparkSession, path: str, pattern: str = PAGE_PATH) -> Data
     where = F.col("_metadata.file_path")
     part = lambda i: F.regexp_extract(where, pattern, i)
     return files.select(
-        F.replace(F.url_decode(part(1)), F.lit("__"), F.lit("/")).alias("project"), part(2).cast("int").alias("tier"),
-        part(3).cast("long").alias("page_index"), "value").where(F.col("page_index").isNotNull())
+        F.replace(F.url_decode(part(1)), F.lit("__"), F.lit("/")).alias("project"), part(2).try_cast("int").alias("tier"),
+        part(3).try_cast("long").alias("page_index"), "value").where(F.col("page_index").isNotNull())
 
 
 def page_status(records: DataFrame, pages: DataFrame) -> DataFrame:
@@ -246,15 +246,24 @@ def _responder() -> list[Column]:
     return [a["login"].alias("login"), a["__typename"].alias("type")]
 
 
-def _fields(source: str, names: str) -> list[Column]:
-    return [F.col(f"{source}.{s}").alias(n) for n, s in (pair.split("=") for pair in names.split())]
+def _fields(source: str, names: dict[str, str]) -> list[Column]:
+    """Columns by their name here and their path below ``source``."""
+    return [F.col(f"{source}.{path}").alias(name) for name, path in names.items()]
 
 
 def review_rows(nodes: DataFrame) -> DataFrame:
     return coerce_times(_children(nodes, "reviews").select(
-        "project", "id", "position", F.lit("reviews").alias("stream"), *_fields("e", (
-            "response_id=id state=state created_at=createdAt submitted_at=submittedAt published_at=publishedAt"
-            " last_edited_at=lastEditedAt association=authorAssociation body=bodyText n_comments=comments.totalCount")), *_responder()))
+        "project", "id", "position", F.lit("reviews").alias("stream"), *_fields("e", {
+            "response_id": "id",
+            "state": "state",
+            "created_at": "createdAt",
+            "submitted_at": "submittedAt",
+            "published_at": "publishedAt",
+            "last_edited_at": "lastEditedAt",
+            "association": "authorAssociation",
+            "body": "bodyText",
+            "n_comments": "comments.totalCount",
+        }), *_responder()))
 
 
 def thread_comment_rows(nodes: DataFrame) -> DataFrame:
@@ -265,18 +274,41 @@ def thread_comment_rows(nodes: DataFrame) -> DataFrame:
         "project", "id", "thread_position", "t", n.alias("thread_n_comments"), F.posexplode(entries).alias("position", "e")
     ).select(
         "project", "id", "thread_position", "position", F.lit("thread_comments").alias("stream"), "thread_n_comments",
-        *_fields("t", "thread_id=id thread_is_resolved=isResolved thread_is_outdated=isOutdated thread_resolved_by=resolvedBy.login"),
-        *_fields("e", (
-            "response_id=id created_at=createdAt drafted_at=draftedAt published_at=publishedAt last_edited_at=lastEditedAt"
-            " state=state association=authorAssociation is_minimized=isMinimized minimized_reason=minimizedReason path=path"
-            " original_line=originalLine reply_to=replyTo.id body=bodyText")), *_responder()))
+        *_fields("t", {
+            "thread_id": "id",
+            "thread_is_resolved": "isResolved",
+            "thread_is_outdated": "isOutdated",
+            "thread_resolved_by": "resolvedBy.login",
+        }),
+        *_fields("e", {
+            "response_id": "id",
+            "created_at": "createdAt",
+            "drafted_at": "draftedAt",
+            "published_at": "publishedAt",
+            "last_edited_at": "lastEditedAt",
+            "state": "state",
+            "association": "authorAssociation",
+            "is_minimized": "isMinimized",
+            "minimized_reason": "minimizedReason",
+            "path": "path",
+            "original_line": "originalLine",
+            "reply_to": "replyTo.id",
+            "body": "bodyText",
+        }), *_responder()))
 
 
 def issue_comment_rows(nodes: DataFrame) -> DataFrame:
     return coerce_times(_children(nodes, "comments").select(
-        "project", "id", "position", F.lit("issue_comments").alias("stream"), *_fields("e", (
-            "response_id=id created_at=createdAt published_at=publishedAt last_edited_at=lastEditedAt"
-            " association=authorAssociation is_minimized=isMinimized minimized_reason=minimizedReason body=bodyText")), *_responder()))
+        "project", "id", "position", F.lit("issue_comments").alias("stream"), *_fields("e", {
+            "response_id": "id",
+            "created_at": "createdAt",
+            "published_at": "publishedAt",
+            "last_edited_at": "lastEditedAt",
+            "association": "authorAssociation",
+            "is_minimized": "isMinimized",
+            "minimized_reason": "minimizedReason",
+            "body": "bodyText",
+        }), *_responder()))
 
 
 def response_rows(nodes: DataFrame) -> DataFrame:
@@ -294,16 +326,28 @@ def response_rows(nodes: DataFrame) -> DataFrame:
 def timeline_rows(nodes: DataFrame) -> DataFrame:
     who = F.coalesce("e.requestedReviewer.login", "e.requestedReviewer.name")
     return coerce_times(_children(nodes, "timelineItems").select(
-        "project", "id", "position", F.lpad(F.col("position").cast("string"), 6, "0").alias("event_key"), *_fields("e", (
-            "event_type=__typename created_at=createdAt actor=actor.login label=label.name previous_title=previousTitle"
-            " current_title=currentTitle previous_ref=previousRefName current_ref=currentRefName"
-            " requested_type=requestedReviewer.__typename")), who.alias("requested")))
+        "project", "id", "position", F.lpad(F.col("position").cast("string"), 6, "0").alias("event_key"), *_fields("e", {
+            "event_type": "__typename",
+            "created_at": "createdAt",
+            "actor": "actor.login",
+            "label": "label.name",
+            "previous_title": "previousTitle",
+            "current_title": "currentTitle",
+            "previous_ref": "previousRefName",
+            "current_ref": "currentRefName",
+            "requested_type": "requestedReviewer.__typename",
+        }), who.alias("requested")))
 
 
 def commit_rows(nodes: DataFrame) -> DataFrame:
-    return coerce_times(_children(nodes, "commits").select("project", "id", "position", *_fields("e.commit", (
-        "oid=oid committed_date=committedDate authored_date=authoredDate additions=additions deletions=deletions"
-        " changed_files=changedFilesIfAvailable"))))
+    return coerce_times(_children(nodes, "commits").select("project", "id", "position", *_fields("e.commit", {
+            "oid": "oid",
+            "committed_date": "committedDate",
+            "authored_date": "authoredDate",
+            "additions": "additions",
+            "deletions": "deletions",
+            "changed_files": "changedFilesIfAvailable",
+        })))
 
 
 def coerce_times(df: DataFrame) -> DataFrame:
@@ -391,12 +435,27 @@ def project_meta_rows(texts: DataFrame) -> DataFrame:
                             F.struct(e["node"]["name"].alias("name"), e["size"].alias("size"))).otherwise(a))
     any_of = lambda *cs: F.coalesce(*[F.col(f"r.{c}") for c in cs]).isNotNull()
     return coerce_times(r.select(
-        *_fields("r", (
-            "project=nameWithOwner project_id=id created_at=createdAt pushed_at=pushedAt stars_snapshot=stargazerCount"
-            " forks_snapshot=forkCount is_fork=isFork is_archived=isArchived is_mirror=isMirror disk_usage=diskUsage"
-            " owner_type=owner.__typename owner_login=owner.login primary_language=primaryLanguage.name license=licenseInfo.key"
-            " default_branch=defaultBranchRef.name n_assignable_users=assignableUsers.totalCount"
-            " n_mentionable_users=mentionableUsers.totalCount n_subjects=pullRequests.totalCount n_issues=issues.totalCount")),
+        *_fields("r", {
+            "project": "nameWithOwner",
+            "project_id": "id",
+            "created_at": "createdAt",
+            "pushed_at": "pushedAt",
+            "stars_snapshot": "stargazerCount",
+            "forks_snapshot": "forkCount",
+            "is_fork": "isFork",
+            "is_archived": "isArchived",
+            "is_mirror": "isMirror",
+            "disk_usage": "diskUsage",
+            "owner_type": "owner.__typename",
+            "owner_login": "owner.login",
+            "primary_language": "primaryLanguage.name",
+            "license": "licenseInfo.key",
+            "default_branch": "defaultBranchRef.name",
+            "n_assignable_users": "assignableUsers.totalCount",
+            "n_mentionable_users": "mentionableUsers.totalCount",
+            "n_subjects": "pullRequests.totalCount",
+            "n_issues": "issues.totalCount",
+        }),
         F.map_from_entries(F.transform(edges, lambda e: F.struct(e["node"]["name"], e["size"]))).alias("languages"),
         best["name"].alias("language_dominant"),
         any_of("codeowners_github", "codeowners_root", "codeowners_docs").alias("has_codeowners"),
