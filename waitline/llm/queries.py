@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.llm import decontamination, exact_dedup, language_id, license_scan, packing, secrets, sharding, simhash, substring_dedup, toxicity
+from waitline.llm import decontamination, exact_dedup, language_id, license_scan, oracles, packing, secrets, sharding, simhash, substring_dedup, toxicity
 from waitline.llm.common import table
 
 
@@ -14,7 +14,7 @@ def op1_toxicity(spark, sf_dir):
 
 
 def op2_sharding(spark, sf_dir):
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.assign(table(spark, sf_dir, "documents")).drop("balanced_shard")
 
 
 def op3_license_scan(spark, sf_dir):
@@ -28,7 +28,7 @@ def op4_substring_dedup(spark, sf_dir):
 def op5_exact_dedup(spark, sf_dir):
     """Half of the documents, by a hash of the id, stand for the snapshot; the others come in."""
     half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"), half)
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), half).drop("side", "screened_out")
 
 
 def op6_language_id(spark, sf_dir):
@@ -55,4 +55,5 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_sharding, op3_license_scan, op4_substring_dedup, op5_exact_dedup,
     op6_language_id, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_sharding": oracles.SHARDING, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_exact_dedup": oracles.EXACT_DEDUP}
