@@ -340,11 +340,11 @@ def x16_gated_verdict(spark, sf):
     return X.gated_verdict(result, gate).select("t_outcome", "i_outcome", "verdict")
 
 
-@book.query("x17_spearman_interval", o.with_(PAIR_SQL, DRAW_SQL.replace(f"range({DRAWS})", "range(200)"), RHO_SQL) + """
+@book.query("x17_spearman_interval", o.with_(PAIR_SQL, DRAW_SQL.replace(f"range({DRAWS})", "range(2000)"), RHO_SQL) + """
 select round(quantile_cont(rho, 0.025), 6) as ci_lo, round(quantile_cont(rho, 0.975), 6) as ci_hi from rho where scenario = 'B' and draw >= 0""")
 def x17_spearman_interval(spark, sf):
     per = X.per_project(pair(spark, sf).where("scenario = 'B'"))
-    return X.spearman_interval(per, 200, SETTINGS_T.seed).select(F.round("ci_lo", 6).alias("ci_lo"), F.round("ci_hi", 6).alias("ci_hi"))
+    return X.spearman_interval(per, 2000, SETTINGS_T.seed).select(F.round("ci_lo", 6).alias("ci_lo"), F.round("ci_hi", 6).alias("ci_hi"))
 
 
 QUERIES, ORACLES = book.queries, book.oracles

@@ -74,14 +74,14 @@ def m16_search(spark, sf):
 def m17_run(spark, sf):
     rows = table(spark, sf)
     pred, _ = Mo.run(rows, Mo.split_roles(rows, DATA), "A", 0, "FULL", SMALL, DATA)
-    return V.evaluate(pred, V.RUN, DATA, draws=200)
+    return V.evaluate(pred, V.RUN, DATA)
 
 
 @book.query("m18_sweep")
 def m18_sweep(spark, sf):
     """All 24 runs: every scenario, fold and feature set, each stamped with the parameters' fingerprint."""
     pred = written(Mo.sweep(table(spark, sf), {**SMALL, "n_estimators": 2}, DATA), "sweep")
-    return V.evaluate(pred, [*V.RUN, "params"], DATA, draws=200)
+    return V.evaluate(pred, [*V.RUN, "params"], DATA)
 
 
 @book.query("p8_refit_delta", "select 0.0::double as delta")
@@ -123,7 +123,7 @@ def a7_explain_scenario(spark, sf):
 def x11_intervention(spark, sf):
     """Predictions without label replay and project snapshots on the same folds, evaluated per fold."""
     pred = written(Mo.without_project(table(spark, sf), {**SMALL, "n_estimators": 2}, DATA), "intervention")
-    return V.evaluate(pred, V.RUN, DATA, draws=200)
+    return V.evaluate(pred, V.RUN, DATA)
 
 
 QUERIES, ORACLES = book.queries, book.oracles

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from waitline.conf import CAPTURED
 from waitline.functions.columns import truthy
+from waitline.session import written
 
 MANIFEST_SCHEMA = """
 project string, tier int, page_index long, sha256 string, cursor_before string, cursor_after string, pr_count long,
@@ -145,13 +146,22 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         F.col("node.id").isNotNull())
 
 
+#: Places of repeated nodes, four short columns each, up to which their list is broadcast (some 20 MB).
+MOST_REPEATS = 300_000
+
+
 def first_nodes(nodes: DataFrame) -> DataFrame:
     """One node per (project, tier, id): the earliest page wins; repeats come from resumed collection.
 
-    The rank filter keeps one row per id and partition before the shuffle, however often it repeats.
+    Only keys are ranked.  Repeats are rare, so that the list of their places, once counted, goes to the nodes; the
+    bodies stay where they were read, unless that list is too long to broadcast.
     """
-    w = W.partitionBy("project", "tier", F.col("node.id")).orderBy("page_index", "position")
-    return nodes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    keys = nodes.select("project", "tier", F.col("node.id").alias("id"), "page_index", "position")
+    w = W.partitionBy("project", "tier", "id").orderBy("page_index", "position")
+    place = ["project", "tier", "page_index", "position"]
+    later = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") > 1).select(*place)
+    later = written(later, "repeats")
+    return nodes.join(F.broadcast(later) if later.count() <= MOST_REPEATS else later, place, "left_anti")
 
 
 # --- flattening -----------------------------------------------------------------------------------
