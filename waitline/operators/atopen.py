@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waitline.conf import Settings
 from waitline.functions.columns import days_between, micros, truthy
 
 
-def static_features(rows: DataFrame) -> DataFrame:
-    """Facts of the subject itself that are fixed at opening."""
+def static_columns() -> list[Column]:
+    """Facts of the subject itself that are fixed at opening, as columns of its row."""
     weekday = F.weekday("created_at")
     body = F.length(F.coalesce("body_current", F.lit("")))
-    return rows.select(
-        "id",
+    return [
         F.hour("created_at").alias("created_hour_utc"),
         weekday.alias("created_dayofweek"),
         (weekday >= 5).alias("is_weekend"),
@@ -23,7 +24,11 @@ def static_features(rows: DataFrame) -> DataFrame:
         body.alias("body_len"),
         (body > 0).alias("has_body"),
         F.col("last_edited_at").isNotNull().alias("body_edited"),
-    )
+    ]
+
+
+def static_features(rows: DataFrame) -> DataFrame:
+    return rows.select("id", *static_columns())
 
 
 def timeline_summary(rows: DataFrame, timeline: DataFrame, settings: Settings) -> DataFrame:
@@ -65,9 +70,13 @@ def missing_meta(rows: DataFrame, project_meta: DataFrame) -> DataFrame:
 
 
 def at_open_features(
-    rows: DataFrame, timeline: DataFrame, project_meta: DataFrame, settings: Settings, at_open_diff: DataFrame
+    rows: DataFrame, timeline: DataFrame, project_meta: DataFrame, settings: Settings, at_open_diff: DataFrame,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Reconstructed at-open columns; ``at_open_diff`` is ``commits_at_open`` or an ingested equal."""
+    """Reconstructed at-open columns; ``at_open_diff`` is ``commits_at_open`` or an ingested equal.
+
+    ``keep`` names columns of ``rows`` that travel along, which saves joining them again.
+    """
     facts = timeline_summary(rows, timeline, settings)
     branches = project_meta.select("project", "default_branch")
     r = rows.join(facts, "id", "left").join(branches, "project", "left").join(at_open_diff, "id", "left")
@@ -75,7 +84,7 @@ def at_open_features(
     title = F.coalesce("rename.previous_title", "title_current", F.lit(""))
     base = F.coalesce("rebase.previous_ref", "base_ref_current")
     return r.select(
-        "id",
+        "id", *keep,
         (truthy("is_draft_current") != (zero("flips") % 2 == 1)).alias("is_draft_at_open"),
         F.greatest(
             F.lit(0), F.coalesce("n_labels_current", F.lit(0)) - zero("labels_added") + zero("labels_removed")
@@ -110,14 +119,16 @@ def commits_at_open(rows: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
-def project_features(rows: DataFrame, project_meta: DataFrame) -> DataFrame:
-    """Project-level snapshots and the project's age at opening; metadata is one row per project.
+def with_project_columns(rows: DataFrame, project_meta: DataFrame) -> DataFrame:
+    """Rows with project-level snapshots and the project's age at opening; metadata is one row per project.
 
     A project without metadata keeps its rows, with nulls; ``require_meta`` is the check before.
     """
-    meta = project_meta.withColumnRenamed("created_at", "project_created_at")
-    return rows.select("id", "project", "created_at").join(meta, "project", "left").select(
-        "id",
+    meta = project_meta.select(
+        F.col("project").alias("_project"), F.col("created_at").alias("project_created_at"), "n_assignable_users", "n_mentionable_users",
+        "owner_type", "has_codeowners", "has_pr_template", "has_contributing", "n_ci_workflows", "language_dominant")
+    return rows.join(meta, F.col("project") == F.col("_project"), "left").select(
+        *rows.columns,
         F.col("n_assignable_users").cast("long").alias("n_assignable_users"),
         F.col("n_mentionable_users").cast("long").alias("n_mentionable_users"),
         (F.col("owner_type") == "Organization").alias("owner_is_org"),
@@ -126,3 +137,7 @@ def project_features(rows: DataFrame, project_meta: DataFrame) -> DataFrame:
         "language_dominant",
         days_between("project_created_at", "created_at").alias("project_age_days_at_open"),
     )
+
+
+def project_features(rows: DataFrame, project_meta: DataFrame) -> DataFrame:
+    return with_project_columns(rows.select("id", "project", "created_at"), project_meta).drop("project", "created_at")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waitline import registry
 from waitline.conf import DAY_US, HOUR_BUCKETS, Settings
 from waitline.functions.columns import instant, micros
-from waitline.functions.ordered import exact_quantiles, score_bucket
+from waitline.functions.ordered import exact_quantiles, join_null_safe, score_bucket
 from waitline.operators import metrics as M
 from waitline.operators.bootstrap import cluster_bootstrap
 from waitline.operators.gates import checks
@@ -27,24 +27,32 @@ RUN = ("scenario", "fold", "featureset")
 def evaluate(scored: DataFrame, keys: Sequence[str], settings: Settings, draws: int = 2000, k: int = 10) -> DataFrame:
     """One row per slice: sizes, P@k with its group-bootstrap interval, AP, and the baseline on the same rows.
 
-    ``scored`` is read once per metric: pass a written or persisted table.
+    ``scored`` is read once for the sizes and rates, once for all average precisions and once per P@k: pass a written
+    or persisted table.
     """
     keys = list(keys)
-    size = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_test"), F.count_distinct("project").alias("n_test_projects"),
-        F.avg(F.col("is_slow").cast("double")).alias("base_rate"),
-    )
+    counts = scored.groupBy(*keys, "project").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_slow").cast("long")).alias("pos"), F.count("is_slow").alias("known"))
+    size = counts.groupBy(*keys).agg(
+        F.sum("n").alias("n_test"), F.count("project").alias("n_test_projects"),
+        (F.sum("pos") / F.sum("known")).alias("base_rate"), F.avg(F.col("pos") / F.col("known")).alias("base_rate_p10"))
+    scores = {"auc_pr": "p_hat"}
+    if "baseline_score" in scored.columns:
+        scores["baseline_auc_pr"] = "baseline_score"
+    cells = ", ".join(f"'{name}', cast({column} as double)" for name, column in scores.items())
+    each = scored.selectExpr(*keys, "is_slow", f"stack({len(scores)}, {cells}) as (_metric, _score)")
+    ap = M.average_precision(each, [*keys, "_metric"], "_score", name="_ap").groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_metric") == name, F.col("_ap"))).alias(name) for name in scores])
     per = written(M.precision_per_project(scored, keys, settings.seed, k), "precision")
     mean = per.groupBy(*keys).agg(F.avg("precision").alias("precision_at_10"))
     interval = cluster_bootstrap(per, keys, "precision", settings.seed, draws).select(
         *keys, F.col("ci_lo").alias("p10_ci_lo"), F.col("ci_hi").alias("p10_ci_hi"))
-    parts = [mean, interval, M.base_rate_precision(scored, keys), M.average_precision(scored, keys)]
+    parts = [mean, interval, ap]
     if "baseline_score" in scored.columns:
         parts.append(M.precision_at_k(scored, keys, settings.seed, k, "baseline_score").withColumnRenamed(
             "precision_at_k", "baseline_p10"))
-        parts.append(M.average_precision(scored, keys, "baseline_score", name="baseline_auc_pr"))
     for p in parts:
-        size = size.join(p, keys)
+        size = join_null_safe(size, p, keys)
     return size
 
 

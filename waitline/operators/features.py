@@ -34,24 +34,24 @@ def build(
     kept: DataFrame,
     settings: Settings,
 ) -> DataFrame:
-    """One row per modelling subject with every registered column, joined on the subject id.
+    """One row per modelling subject with every registered column.
 
-    Raises if a project has no metadata.  The labels feed four places, so they are written once.
+    Raises if a project has no metadata.  The chosen subjects and their labels feed several places, so each is written
+    once.  What a row or its project says by itself is added in place and travels through the at-open join; only labels
+    and replay meet it on the id.
     """
-    chosen = labels.modelling_rows(subjects, settings).join(kept.select("project"), "project", "left_semi")
+    chosen = written(labels.modelling_rows(subjects, settings).join(kept.select("project"), "project", "left_semi"), "chosen")
     atopen.require_meta(chosen, project_meta)
     marks = written(labels.label(chosen, responses, settings), "labels")
     rows = chosen.join(marks.select("id", "is_slow"), "id")
     g, g_merge = priors(rows, settings).first()
-    outcome = marks.select("id", "wait_h", "wait_h_censored", "event_observed", "never_answered")
-    table = (
-        rows.select("project", "id", "number", "created_at", "is_slow")
-        .join(outcome, "id")
-        .join(atopen.static_features(chosen), "id")
-        .join(atopen.at_open_features(chosen, timeline, project_meta, settings, at_open_diff), "id")
-        .join(replay.replay_features(chosen, history, marks, settings, g, g_merge), "id")
-        .join(atopen.project_features(chosen, project_meta), "id")
-    )
+    outcome = marks.select("id", "is_slow", "wait_h", "wait_h_censored", "event_observed", "never_answered")
+    wide = chosen.select("*", *atopen.static_columns())
+    added = [c for c in wide.columns if c not in chosen.columns]
+    known = atopen.at_open_features(
+        wide, timeline, project_meta, settings, at_open_diff, ["project", "number", "created_at", *added])
+    table = atopen.with_project_columns(known, project_meta).join(outcome, "id").join(
+        replay.replay_features(chosen, history, marks, settings, g, g_merge), "id")
     return conform(table)
 
 
