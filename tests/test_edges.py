@@ -126,3 +126,18 @@ def test_responses_without_a_stream_count_for_no_rule(spark):
     df = spark.createDataFrame([(None, "NONE", None), ("reviews", None, None), ("issue_comments", "NONE", True)], "stream string, association string, is_minimized boolean")
     got = df.select(*[labels.qualifies(r).alias(n) for n, r in RULES.items()]).collect()
     assert [tuple(r) for r in got] == [(False,) * 5, (True,) * 5, (False, False, True, False, False)]
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from waitline.session import clean, written
+
+    kept = written(spark.range(5), "numbers")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert kept.count() == 5 and os.path.isdir(path)
+    # Other tests' shared tables are forgotten as well, so that they are written anew.
+    from waitline.plans import bindings
+
+    assert clean(spark) >= 1 and not os.path.isdir(path)
+    bindings.forget_shared(keep=("raw",))
