@@ -334,7 +334,14 @@ def x16_hypothesis_gate(spark, sf):
     return _gate(spark, sf)[1]
 
 
-@book.query("x16_gated_verdict")
+NINE = ", ".join(str(v) for v in X.VERDICTS)
+
+
+@book.query("x16_gated_verdict", f"""
+with boot as ({book.oracles["x10_paired_bootstrap"]}),
+said as (select case when T_lo > 0 then 'confirms' when T_hi < 0 then 'contradicts' else 'inconclusive' end as t_outcome,
+                case when I_lo > 0 then 'confirms' when I_hi < 0 then 'contradicts' else 'inconclusive' end as i_outcome from boot)
+select t_outcome, i_outcome, verdict from said join (values {NINE}) v(t_outcome, i_outcome, verdict) using (t_outcome, i_outcome)""")
 def x16_gated_verdict(spark, sf):
     result, gate = _gate(spark, sf)
     return X.gated_verdict(result, gate).select("t_outcome", "i_outcome", "verdict")

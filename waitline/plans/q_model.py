@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waitline import registry
@@ -35,18 +37,22 @@ def fitted(spark, sf):
     return model, rows.where(F.col("created_at") >= instant(DATA.cutoff))
 
 
-@book.query("m12_fit")
+@book.query("m12_fit", o.with_(*TABLE_SQL, LATE) + """
+select count(*) as n, round(avg(cast(is_slow as integer)), 9) as base_rate, true as above_base_rate from late""")
 def m12_fit(spark, sf):
-    """AP of a fitted model on the time split, next to the base rate."""
+    """Rows and base rate of the time split's test side, and whether the fitted model's AP lies above the rate."""
     model, test = fitted(spark, sf)
-    scored = Mo.predict(model, test, FULL)
-    return M.average_precision(scored).withColumn("base_rate", test.agg(F.avg(F.col("is_slow").cast("double")).alias("r")).scalar())
+    ap = M.average_precision(Mo.predict(model, test, FULL))
+    facts = test.agg(F.count("*").alias("n"), F.avg(F.col("is_slow").cast("double")).alias("r")).withColumn("ap", ap.scalar())
+    return facts.select("n", F.round("r", 9).alias("base_rate"), (F.col("ap") > F.col("r")).alias("above_base_rate"))
 
 
-@book.query("m13_predict")
+@book.query("m13_predict", o.with_(*TABLE_SQL, LATE) + "select id, true as is_probability, true as follows_margin from late")
 def m13_predict(spark, sf):
     model, test = fitted(spark, sf)
-    return Mo.predict(model, test, FULL).select("id", F.round("p_hat", 9).alias("p_hat"))
+    p, margin = F.col("p_hat"), F.col("margin")
+    return Mo.predict(model, test, FULL).select(
+        "id", ((p > 0) & (p < 1)).alias("is_probability"), (F.abs(p - 1 / (1 + F.exp(-margin))) < 1e-9).alias("follows_margin"))
 
 
 @book.query("m14_save_load", o.with_(*TABLE_SQL, LATE) + "select count(*) as n, 0.0::double as max_abs_diff from late")
@@ -59,29 +65,56 @@ def m14_save_load(spark, sf):
     return a.join(b, "id").agg(F.count("*").alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"))
 
 
-@book.query("m15_cv_score")
+@book.query("m15_cv_score", "select unnest(range(3))::int as fold, true as in_range")
 def m15_cv_score(spark, sf):
-    return Mo.cv_score(Mo.training_rows(table(spark, sf), DATA), SMALL, DATA, FULL)
+    scores = Mo.cv_score(Mo.training_rows(table(spark, sf), DATA), SMALL, DATA, FULL)
+    return scores.select("fold", F.coalesce(F.col("auc_pr").between(0, 1), F.lit(False)).alias("in_range"))
 
 
-@book.query("m16_search")
+@book.query("m16_search", "select unnest(range(2))::int as trial, true as in_range, 1::bigint as n_best, true as is_highest")
 def m16_search(spark, sf):
+    """Two trials: each scored, exactly one marked, and that one the highest."""
     small = {"n_estimators": 2, "num_leaves": 8}
-    return Mo.search(Mo.training_rows(table(spark, sf), DATA), 2, DATA, FULL, 2, small).select("trial", "value", "params", "best")
+    found = Mo.search(Mo.training_rows(table(spark, sf), DATA), 2, DATA, FULL, 2, small)
+    over = lambda c: c.over(W.partitionBy())  # noqa: E731  one row per trial
+    top = over(F.max(F.when(F.col("best"), F.col("value"))))
+    return found.select(
+        "trial", F.col("value").between(0, 1).alias("in_range"), over(F.sum(F.col("best").cast("long"))).alias("n_best"),
+        (top == over(F.max("value"))).alias("is_highest"))
 
 
-@book.query("m17_run")
+def checked_run(scored: DataFrame, keys) -> DataFrame:
+    """What of a run does not depend on the learner, and what every sound fit gives."""
+    return scored.select(
+        *keys, "n_test", "n_test_projects", F.round("base_rate", 9).alias("base_rate"), (F.col("auc_pr") > F.col("base_rate")).alias("above_base_rate"),
+        (F.col("p10_ci_lo") <= F.col("p10_ci_hi")).alias("has_interval"))
+
+
+@book.query("m17_run", o.with_(*TABLE_SQL, LATE) + """
+select 'A' as scenario, 0::bigint as fold, 'FULL' as featureset, count(*) as n_test, count(distinct project) as n_test_projects,
+  round(avg(cast(is_slow as integer)), 9) as base_rate, true as above_base_rate, true as has_interval from late""")
 def m17_run(spark, sf):
     rows = table(spark, sf)
     pred, _ = Mo.run(rows, Mo.split_roles(rows, DATA), "A", 0, "FULL", SMALL, DATA)
-    return V.evaluate(pred, V.RUN, DATA)
+    return checked_run(V.evaluate(pred, V.RUN, DATA), V.RUN)
+
+
+SWEEP = {**SMALL, "n_estimators": 2}
 
 
-@book.query("m18_sweep")
+@book.query("m18_sweep", o.with_(*TABLE_SQL, LATE) + f"""
+, held as (select s.scenario, s.fold, f.featureset from (select 'A' as scenario, 0 as fold union all select 'B', unnest(range({DATA.folds}))) s
+           cross join (select unnest({list(registry.FEATURE_SETS)}) as featureset) f)
+select scenario, fold::bigint as fold, featureset, '{Mo.fingerprint(SWEEP)}' as params,
+  case when scenario = 'A' then (select count(*) from late) end as n_test_a, (select count(*) from feat) as n_test_b, true as has_interval from held""")
 def m18_sweep(spark, sf):
-    """All 24 runs: every scenario, fold and feature set, each stamped with the parameters' fingerprint."""
-    pred = written(Mo.sweep(table(spark, sf), {**SMALL, "n_estimators": 2}, DATA), "sweep")
-    return V.evaluate(pred, [*V.RUN, "params"], DATA)
+    """All 24 runs, stamped with the parameters' fingerprint: A holds the late rows, B's folds hold every row once."""
+    pred = written(Mo.sweep(table(spark, sf), SWEEP, DATA), "sweep")
+    runs = V.evaluate(pred, [*V.RUN, "params"], DATA)
+    all_b = F.sum(F.when(F.col("scenario") == "B", F.col("n_test"))).over(W.partitionBy("featureset"))
+    return runs.select(
+        *V.RUN, "params", F.when(F.col("scenario") == "A", F.col("n_test")).alias("n_test_a"), all_b.alias("n_test_b"),
+        (F.col("p10_ci_lo") <= F.col("p10_ci_hi")).alias("has_interval"))
 
 
 @book.query("p8_refit_delta", "select 0.0::double as delta")
@@ -89,11 +122,13 @@ def p8_refit_delta(spark, sf):
     return Mo.refit_delta(table(spark, sf), {**SMALL, "bagging_fraction": 0.9}, DATA).select(F.round("delta", 9).alias("delta"))
 
 
-@book.query("a2_tree_attribution")
+@book.query("a2_tree_attribution", o.with_(*TABLE_SQL, LATE) + f"select id, {len(FULL)} as n_features, true as adds_up from late")
 def a2_tree_attribution(spark, sf):
-    """One attribution per (row, feature) of the whole test set, as an array in feature order."""
+    """Of every test row: one attribution per feature, and whether they add up to the margin."""
     model, test = fitted(spark, sf)
-    return T.explain(model, Mo.predict(model, test, FULL).select("id", "p_hat", "margin", "features"))
+    e = T.explain(model, Mo.predict(model, test, FULL).select("id", "margin", "features"))
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    return e.select("id", F.size("contributions").alias("n_features"), (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up"))
 
 
 @book.query("a3_additivity", o.with_(*TABLE_SQL, LATE) + "select count(*) as n, 0.0::double as gap from late")
@@ -104,7 +139,7 @@ def a3_additivity(spark, sf):
         "n", test.agg(F.count("*").alias("n")).scalar()).select("n", "gap")
 
 
-@book.query("a7_explain_scenario")
+@book.query("a7_explain_scenario", f"select unnest({FULL}) as feature, 1.0::double as all_shares")
 def a7_explain_scenario(spark, sf):
     """Importance over the pooled folds of scenario B: each fold explained by its own model."""
     rows = table(spark, sf)
@@ -116,14 +151,19 @@ def a7_explain_scenario(spark, sf):
         sample = A.sample_rows(rows.join(held, "id", "left_semi"), 5000, DATA.seed)
         e = T.explain(model, Mo.predict(model, sample, FULL).select("id", "features")).select("id", "contributions")
         parts = e if parts is None else parts.unionByName(e)
-    return A.importance(parts, FULL)
+    return A.importance(parts, FULL).select("feature", F.round(F.sum("share").over(W.partitionBy()), 9).alias("all_shares"))
 
 
-@book.query("x11_intervention")
+@book.query("x11_intervention", o.with_(*TABLE_SQL, LATE) + f"""
+, held as (select 'A' as scenario, 0 as fold union all select 'B', unnest(range({DATA.folds})))
+select scenario, fold::bigint as fold, 'NLR_NO_PROJECT' as featureset,
+  case when scenario = 'A' then (select count(*) from late) else (select count(*) from feat) end as n_test, true as has_interval from held""")
 def x11_intervention(spark, sf):
-    """Predictions without label replay and project snapshots on the same folds, evaluated per fold."""
+    """Runs without label replay and project snapshots on the same folds; B's folds together hold every row once."""
     pred = written(Mo.without_project(table(spark, sf), {**SMALL, "n_estimators": 2}, DATA), "intervention")
-    return V.evaluate(pred, V.RUN, DATA)
+    runs = V.evaluate(pred, V.RUN, DATA)
+    return runs.select(
+        *V.RUN, F.sum("n_test").over(W.partitionBy("scenario")).alias("n_test"), (F.col("p10_ci_lo") <= F.col("p10_ci_hi")).alias("has_interval"))
 
 
 QUERIES, ORACLES = book.queries, book.oracles
