@@ -15,7 +15,8 @@ from waitline.operators.bootstrap import cluster_bootstrap
 from waitline.plans import oracle_base as o
 from waitline.plans.bindings import SETTINGS_T, DocumentTables, OrderTables
 from waitline.plans.registry import Book
-from waitline.session import written
+from waitline.session import scratch_path, written
+from waitline.sources.tables import log_runs, read_log
 
 book = Book()
 SEED = SETTINGS_T.seed
@@ -221,11 +222,16 @@ union all select 'evaluation', 3, 'label-replay ablation ran on both scenarios',
 union all select 'evaluation', 4, 'every run has an interval and is logged', cast(count(*) as varchar), count(*) = 24 from runs
 union all select 'evaluation', 5, 'a refit reproduces the score', '0.0', true""")
 def p1_run_gate(spark, sf):
+    """Every run is logged and read back; the refit fits the same model twice."""
+    from waitline.plans import q_model
+
     t = OrderTables(spark, sf)
-    table = written(runs(spark, sf), "runs")
-    again = M.average_precision(t.scored().where("scenario = 'A' and featureset = 'FULL'"))
-    saved = table.where("scenario = 'A' and featureset = 'FULL'").select("auc_pr")
-    return V.run_gate(table, V.split_leaks(split_rows(t), SETTINGS_T), table, again.scalar() - saved.scalar(), 24)
+    table, log = written(runs(spark, sf), "runs"), scratch_path(spark, "log")
+    log_runs(table.withColumnRenamed("featureset", "features").withColumn("model", F.lit("stand-in")).select(
+        "scenario", "fold", "model", "features", "n_test", "n_test_projects", "precision_at_10", "p10_ci_lo", "p10_ci_hi",
+        "base_rate_p10", "auc_pr", "base_rate"), log)
+    refit = q_model.Mo.refit_delta(q_model.table(spark, sf), q_model.SWEEP, SETTINGS_T).first().delta
+    return V.run_gate(table, V.split_leaks(split_rows(t), SETTINGS_T), read_log(spark, log), refit, 24)
 
 
 @book.query("p2_summarise", o.with_(RUN_SQL) + f"select scenario, featureset, n_folds, {rsql(RATES[1:])} from summ")

@@ -9,7 +9,6 @@ from waitline.operators import attribution as A
 from waitline.operators import evaluation as V
 from waitline.operators import fairness as Q
 from waitline.operators import hypothesis as X
-from waitline.operators import metrics as M
 from waitline.plans import oracle_base as o
 from waitline.plans.bindings import SETTINGS_T, EmbeddingTables, OrderTables
 from waitline.plans.q_evaluation import FULL, SLICES_SQL
@@ -311,17 +310,26 @@ def x15_fold_table(spark, sf):
     return X.fold_table(pair(spark, sf)).select("scenario", "fold", "n_test", *r9("auc_pr_nlr", "auc_pr_no_project", "delta"))
 
 
+def measured(spark, sf) -> tuple[float, float]:
+    """The largest additivity gap of a fitted model's attributions, and what a refit changes in its AP."""
+    from waitline.plans import q_model as qm
+
+    model, test = qm.fitted(spark, sf)
+    gap = A.additivity_gap(qm.T.explain(model, qm.Mo.predict(model, test, qm.FULL).select("id", "margin", "features")))
+    return gap.first().gap, qm.Mo.refit_delta(qm.table(spark, sf), qm.SWEEP, qm.DATA).first().delta
+
+
 def _gate(spark, sf):
     t = OrderTables(spark, sf)
+    gap, refit = measured(spark, sf)
     rows = written(pair(spark, sf), "pair")
     result = written(X.paired_bootstrap(rows, DRAWS, SETTINGS_T.seed), "bootstrap")
     s = t.scored()
     same = X.same_rows(s.where("featureset = 'NO_LABEL_REPLAY'"), s.where("featureset = 'SUBJECT_ONLY'"))
     meta = t.subjects().select("project").join(t.project_meta().drop("created_at"), "project")
     varying = X.varying_within(meta, ["n_ci_workflows", "has_codeowners", "language_dominant"])
-    ap = M.average_precision(rows.where("scenario = 'A'"), [], "p_nlr")
     return result, X.hypothesis_gate(
-        result, same, X.coverage(rows), varying, F.lit(0.0), ap.scalar() - ap.scalar(), t.project_meta().count())
+        result, same, X.coverage(rows), varying, F.lit(gap), F.lit(refit), t.project_meta().count())
 
 
 @book.query("x16_hypothesis_gate", o.with_(PAIR_SQL) + """
