@@ -2,8 +2,8 @@
 
 Shards are cut by content, so that no document has to visit every shard: the longest word of a window (of equal lengths
 the one with the least hash) is its anchor, and neighbouring windows with one anchor form a piece.  Equal windows have
-equal anchors and meet in one shard.  A shard drops pieces whose anchor only one document has, indexes the others and
-streams them against the index; windows whose matching statistic reaches the threshold are looked up for the smallest
+equal anchors and meet in one shard.  A shard drops pieces whose anchor only one document has, and of the others the windows whose least
+hash of three words only one document has; it indexes what is left and streams it against the index; windows whose matching statistic reaches the threshold are looked up for the smallest
 document that has them.  Equal pieces are merged first, within a block of documents before the shuffle and within a
 shard after it: of a passage that millions of documents share, a block sends one piece.
 """
@@ -27,7 +27,7 @@ from waitline.session import written
 #: Words of a window: the threshold of the matching statistics.
 WINDOW = 13
 #: Bytes of text to a shard and to a block of documents that is cut at a time; windows of a piece at most.
-SHARD_BYTES, BLOCK_BYTES, PIECE = 8 << 20, 4 << 20, 1024
+SHARD_BYTES, BLOCK_BYTES, PIECE = 4 << 20, 2 << 20, 1024
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -36,6 +36,7 @@ _PIECES = np.dtype([("key", "<u4"), ("doc", "<u4"), ("start", "<u4"), ("windows"
 _SENT = "bucket long, doc_id long, row long, start long, windows long, pieces binary"
 
 
+_FOUND = pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc_id", "row", "start", "windows")})
 _NONE = pd.DataFrame({"key": np.zeros(0, np.uint64), **{k: np.zeros(0, np.int64) for k in ("doc", "start", "windows", "a", "b")}})
 
 
@@ -61,6 +62,42 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, _mix((sums[ends] - sums[starts]) * back[starts])
 
 
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each run of ``width`` values, by doubling."""
+    n, span, best = len(values) - width + 1, 1, values
+    while 2 * span <= width:
+        best = np.minimum(best[: len(best) - span], best[span:])
+        span *= 2
+    return np.minimum(best[:n], best[width - span: width - span + n])
+
+
+def _shared(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether other ids are in the group as well."""
+    _, place = np.unique(group, return_inverse=True)
+    low, high = np.full(len(group), np.iinfo(np.int64).max), np.full(len(group), np.iinfo(np.int64).min)
+    np.minimum.at(low, place, ids)
+    np.maximum.at(high, place, ids)
+    return low[place] != high[place]
+
+
+def _seeds(slices: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the pieces, in order: its piece and its seed, the least hash of three words in a row."""
+    owners, seeds, at, held = [], [], 0, 0
+    for i, s in enumerate(slices):
+        held += len(s)
+        if held >= BLOCK_BYTES or i + 1 == len(slices):
+            part = slices[at:i + 1]
+            _, _, h = words_of(data := np.frombuffer(b" " + b" ".join(part) + b" ", np.uint8))
+            heads = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
+            piece = np.searchsorted(heads, np.flatnonzero(_SPACE[data[:-1]] & ~_SPACE[data[1:]]) + 1, "right") - 1
+            three = _mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))
+            whole = piece[: len(piece) - window + 1] == piece[window - 1:]
+            owners.append(at + piece[: len(whole)][whole])
+            seeds.append(sliding_least(three, window - 2)[whole])
+            at, held = i + 1, 0
+    return np.concatenate(owners), np.concatenate(seeds)
+
+
 def cut(texts: list[bytes], window: int = WINDOW) -> pd.DataFrame:
     """The pieces of a block of texts: key, doc (index into the block), start (first word), windows, and place of the bytes."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
@@ -71,11 +108,7 @@ def cut(texts: list[bytes], window: int = WINDOW) -> pd.DataFrame:
     if n <= 0:
         return _NONE
     low = (np.uint64(15) - np.minimum(ends - starts, 15).astype(np.uint64)) << np.uint64(60) | h >> np.uint64(4)
-    span, best = 1, low
-    while 2 * span <= window:
-        best = np.minimum(best[: len(best) - span], best[span:])
-        span *= 2
-    best = np.minimum(best[:n], best[window - span: window - span + n])
+    best = sliding_least(low, window)
     at = np.flatnonzero(doc[:n] == doc[window - 1:])
     if not len(at):
         return _NONE
@@ -100,12 +133,12 @@ def _merge(slices: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low[group], group
 
 
-def _blocks(ids: list, rows: list, texts: list) -> Iterator[tuple]:
+def _blocks(ids: list, rows: list, texts: list[str]) -> Iterator[tuple]:
     at, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
         if held >= BLOCK_BYTES or i + 1 == len(texts):
-            yield np.array(ids[at:i + 1], np.int64), np.array(rows[at:i + 1], np.int64), texts[at:i + 1]
+            yield np.array(ids[at:i + 1], np.int64), np.array(rows[at:i + 1], np.int64), [x.encode() for x in texts[at:i + 1]]
             at, held = i + 1, 0
 
 
@@ -174,25 +207,30 @@ def _shard(blobs: list[bytes], window: int) -> pd.DataFrame:
     ids, rows, table, at, body = np.concatenate(ids), np.concatenate(rows), np.concatenate(tables), np.concatenate(at), b"".join(bodies)
     del bodies, tables
 
-    def shared(group: np.ndarray) -> np.ndarray:
-        """Whether other ids are in the group as well."""
-        _, place = np.unique(group, return_inverse=True)
-        low, high = np.full(len(group), np.iinfo(np.int64).max), np.full(len(group), np.iinfo(np.int64).min)
-        np.minimum.at(low, place, ids_now)
-        np.maximum.at(high, place, ids_now)
-        return low[place] != high[place]
-
-    ids_now = ids
-    keep = np.flatnonzero(shared(table["key"]))
+    keep = np.flatnonzero(_shared(table["key"], ids))
     ids, rows, table, at = ids[keep], rows[keep], table[keep], at[keep]
-    slices = [b" ".join(body[x:x + y].split()) for x, y in zip(at.tolist(), table["bytes"].tolist(), strict=True)]
+    if not len(keep):
+        return _FOUND
+    slices = [body[x:x + y] for x, y in zip(at.tolist(), table["bytes"].tolist(), strict=True)]
+    del body
+    # Of these pieces, only the runs of windows stay whose seed other documents have as well.
+    owner, seed = _seeds(slices, window)
+    order = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    live = np.flatnonzero(_shared(seed, ids[owner]))
+    if not len(live):
+        return _FOUND
+    new = np.append(True, (owner[live[1:]] != owner[live[:-1]]) | (np.diff(live) != 1))
+    first = np.flatnonzero(new)
+    windows, own, offset = np.diff(np.append(first, len(live))), owner[live[first]], order[live[first]]
+    key, start = table["key"][own], table["start"][own].astype(np.int64) + offset
+    slices = [b" ".join(slices[o].split()[a:a + w + window - 1]) for o, a, w in zip(own.tolist(), offset.tolist(), windows.tolist(), strict=True)]
+    ids, rows = ids[own], rows[own]
     low, group = _merge(slices, ids)
     gone = ids > low
-    out = [pd.DataFrame({"doc_id": ids[gone], "row": rows[gone], "start": table["start"][gone].astype(np.int64), "windows": table["windows"][gone].astype(np.int64)})]
-    # The first of equal pieces stands for all of them, under their smallest id.
+    out = [pd.DataFrame({"doc_id": ids[gone], "row": rows[gone], "start": start[gone], "windows": windows[gone]})]
+    # The first of equal runs stands for all of them, under their smallest id.
     heads = np.unique(group)
-    ids_now = low[heads]
-    heads = heads[shared(table["key"][heads])] if len(heads) else heads
+    heads = heads[_shared(key[heads], low[heads])]
     if len(heads):
         words = [slices[i].split() for i in heads]
         lengths = np.array([len(w) for w in words])
@@ -211,16 +249,16 @@ def _shard(blobs: list[bytes], window: int) -> pd.DataFrame:
         owner = low[heads][piece]
         smallest = least(owner[index.order], lo, hi)
         hit = last[who][smallest < owner[last[who]]]
-        start = hit - first[piece[hit]] - (window - 1)
-        # Equal pieces of the smallest document itself, at other places, have the same windows.
+        inner = hit - first[piece[hit]] - (window - 1)
+        # Equal runs of the smallest document itself, at other places, have the same windows.
         twins = pd.DataFrame({"head": group, "at": np.arange(len(group))})[~gone]
-        found = pd.DataFrame({"head": heads[piece[hit]], "offset": start}).merge(twins, on="head")
+        found = pd.DataFrame({"head": heads[piece[hit]], "offset": inner}).merge(twins, on="head")
         found = found.sort_values(["at", "offset"], ignore_index=True)
         x, offset = found["at"].to_numpy(), found["offset"].to_numpy()
         begins = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (offset[1:] != offset[:-1] + 1))[: len(x)])
         windows = np.diff(np.append(begins, len(x)))
         x, offset = x[begins], offset[begins]
-        out.append(pd.DataFrame({"doc_id": ids[x], "row": rows[x], "start": table["start"][x].astype(np.int64) + offset, "windows": windows}))
+        out.append(pd.DataFrame({"doc_id": ids[x], "row": rows[x], "start": start[x] + offset, "windows": windows}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -229,8 +267,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
 
     ``row`` is the hash of the text, which tells rows apart that repeat an id.  Rows without id or text have none.
     """
-    if window > DEPTH:
-        raise ValueError(f"a window has at most {DEPTH} words")
+    if not 3 <= window <= DEPTH:
+        raise ValueError(f"a window has 3 to {DEPTH} words")
     rows = id_and_text(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
@@ -238,8 +276,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=5)
         for part in batches:
-            texts = [t.encode() for t in part["text"]]
-            for block in _blocks(part["doc_id"].tolist(), part["row"].tolist(), texts):
+            for block in _blocks(part["doc_id"].tolist(), part["row"].tolist(), part["text"].tolist()):
                 yield _send(block, shards, packer, window)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
