@@ -16,6 +16,9 @@ from waitline.session import use_utc
 #: Words are maximal runs of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Text that is taken apart at a time in a Python worker.
+SLICE_BYTES = 4 << 20
+
 #: Rows of at most 64 bytes up to which a checked table may be broadcast (about 13 MB).
 BROADCAST_ROWS = 200_000
 
@@ -32,18 +35,22 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def map_texts(docs: DataFrame, work: Callable[[list], dict], schema: str) -> DataFrame:
     """doc_id and the columns ``schema`` that ``work`` makes of each block of texts, a list that may hold None.
 
-    Row-local: no shuffle.  The id passes through as it is, null or not.
+    Row-local: no shuffle.  A batch is worked on in slices of some ``SLICE_BYTES``, which bounds the memory of a
+    worker.  The id passes through as it is, null or not.
     """
     source = id_and_text(docs)
     out = T.StructType([source.schema["doc_id"], *T._parse_datatype_string(schema).fields])
     kinds = to_arrow_schema(out)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            made = work(rows.column("text").to_pylist())
-            cells = [rows.column("doc_id").cast(kinds.field("doc_id").type)]
-            cells += [pa.array(made[f.name], type=f.type, from_pandas=True) for f in list(kinds)[1:]]
-            yield pa.RecordBatch.from_arrays(cells, schema=kinds)
+        for batch in batches:
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                rows = batch.slice(at, step)
+                made = work(rows.column("text").to_pylist())
+                cells = [rows.column("doc_id").cast(kinds.field("doc_id").type)]
+                cells += [pa.array(made[f.name], type=f.type, from_pandas=True) for f in list(kinds)[1:]]
+                yield pa.RecordBatch.from_arrays(cells, schema=kinds)
 
     return source.mapInArrow(each, out)
 

@@ -47,7 +47,7 @@ def traits(word: str) -> list[str]:
 
 
 class Counts:
-    """Counts of the chosen features in a text; what a word holds of them is remembered, for a million words at most."""
+    """Counts of the chosen features in a text; what a word holds of them is remembered, for some words at a time."""
 
     def __init__(self, place: dict[str, int]):
         self.place, self.seen = place, {}
@@ -57,7 +57,7 @@ class Counts:
         for word, n in Counter(found).items():
             held = self.seen.get(word)
             if held is None:
-                if len(self.seen) >= 1_000_000:
+                if len(self.seen) >= 200_000:
                     self.seen.clear()
                 held = self.seen[word] = tuple(self.place[t] for t in traits(word) if t in self.place)
             for k in held:
@@ -172,8 +172,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"), F.lit(False).alias("rejected"))
     place, w, t = {k: i for i, k in enumerate(model.weights)}, list(model.weights.values()), np.array(model.thresholds)
 
+    counter: list[Counts] = []  # one for each task
+
     def each(texts: list) -> dict:
-        count = Counts(place)
+        if not counter:
+            counter.append(Counts(place))
+        count = counter[0]
         s = np.array([sum(w[k] * log1p(n) for k, n in sorted(count(words(x)).items())) for x in texts], np.float64)
         above = _sigmoid(s[:, None] - t)
         return {"severity": above.sum(axis=1).round(6), "p_toxic": above[:, 0].round(6),
