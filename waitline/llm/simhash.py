@@ -68,7 +68,9 @@ def close_pairs(groups: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """a, b: pairs of distinct fingerprints within two bits; complete up to connection."""
-    index = variants(prints)
+    # A fingerprint becomes 64 rows, so that they are spread first; a set number of partitions is not merged again.
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(prints.repartition(spread, "print"))
     crowded = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "crowded-keys")
     hot = checked_broadcast(crowded.select("key"))
     cool = index.join(hot, "key", "left_anti").groupBy("key").agg(F.collect_list("print").alias("near")).where("size(near) > 1")
