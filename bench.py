@@ -18,7 +18,7 @@ HEADLINE = (
     "f13_feature_table", "g5_contamination", "c4_check_projects", "e4_survival", "e5_threshold_table", "m3_scenario_b",
     "m6_average_precision", "m7_cluster_bootstrap", "m11_baseline_evaluation", "m17_run_metrics", "p3_bias_slices",
     "d6_waiting_counts", "d8_ranked", "d22_deal", "d24_game_hit_rate", "a4_importance", "q1_slice_gaps",
-    "x10_paired_bootstrap", "s17_timeline", "s23_conservation", "m12_fit",
+    "x10_paired_bootstrap", "s17_timeline", "s23_conservation", "m12_fit", "m17_run",
 )
 
 
