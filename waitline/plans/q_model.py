@@ -1,4 +1,8 @@
-"""Queries over fitted models.  Parameters are small so that the checks stay short."""
+"""Queries over fitted models.  Parameters are small so that the checks stay short.
+
+What a learner gives cannot be stated in SQL: such a query returns its operator's columns, has no oracle, and is compared
+with brute force in ``tests/test_model_queries.py``.  Beside it, ``*_properties`` states what every sound fit has, with an oracle.
+"""
 
 from __future__ import annotations
 
@@ -37,9 +41,17 @@ def fitted(spark, sf):
     return model, rows.where(F.col("created_at") >= instant(DATA.cutoff))
 
 
-@book.query("m12_fit", o.with_(*TABLE_SQL, LATE) + """
-select count(*) as n, round(avg(cast(is_slow as integer)), 9) as base_rate, true as has_score from late""")
+@book.query("m12_fit")
 def m12_fit(spark, sf):
+    """AP of a fitted model on the time split, next to the base rate."""
+    model, test = fitted(spark, sf)
+    facts = test.agg(F.count("*").alias("n"), F.avg(F.col("is_slow").cast("double")).alias("base_rate"))
+    return facts.withColumn("auc_pr", M.average_precision(Mo.predict(model, test, FULL)).scalar())
+
+
+@book.query("m12_fit_properties", o.with_(*TABLE_SQL, LATE) + """
+select count(*) as n, round(avg(cast(is_slow as integer)), 9) as base_rate, true as has_score from late""")
+def m12_fit_properties(spark, sf):
     """Rows and base rate of the time split's test side, and whether the fitted model has an AP.
 
     The given labels carry no signal, so that the AP need not lie above the rate.
@@ -50,8 +62,15 @@ def m12_fit(spark, sf):
     return facts.select("n", F.round("r", 9).alias("base_rate"), F.col("ap").between(0, 1).alias("has_score"))
 
 
-@book.query("m13_predict", o.with_(*TABLE_SQL, LATE) + "select id, true as is_probability, true as follows_margin from late")
+@book.query("m13_predict")
 def m13_predict(spark, sf):
+    """Probability and log-odds of every test row."""
+    model, test = fitted(spark, sf)
+    return Mo.predict(model, test, FULL).select("id", "p_hat", "margin")
+
+
+@book.query("m13_predict_properties", o.with_(*TABLE_SQL, LATE) + "select id, true as is_probability, true as follows_margin from late")
+def m13_predict_properties(spark, sf):
     model, test = fitted(spark, sf)
     p, margin = F.col("p_hat"), F.col("margin")
     return Mo.predict(model, test, FULL).select(
@@ -68,17 +87,30 @@ def m14_save_load(spark, sf):
     return a.join(b, "id").agg(F.count("*").alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"))
 
 
-@book.query("m15_cv_score", "select unnest(range(3))::int as fold, true as in_range")
+@book.query("m15_cv_score")
 def m15_cv_score(spark, sf):
-    scores = Mo.cv_score(Mo.training_rows(table(spark, sf), DATA), SMALL, DATA, FULL)
-    return scores.select("fold", F.coalesce(F.col("auc_pr").between(0, 1), F.lit(False)).alias("in_range"))
+    """AP of each expanding time window."""
+    return Mo.cv_score(Mo.training_rows(table(spark, sf), DATA), SMALL, DATA, FULL)
+
 
+SEARCHED = {"n_estimators": 2, "num_leaves": 8}
 
-@book.query("m16_search", "select unnest(range(2))::int as trial, true as in_range, 1::bigint as n_best, true as is_highest")
+
+@book.query("m15_cv_score_properties", "select unnest(range(3))::int as fold, true as in_range")
+def m15_cv_score_properties(spark, sf):
+    return m15_cv_score(spark, sf).select("fold", F.coalesce(F.col("auc_pr").between(0, 1), F.lit(False)).alias("in_range"))
+
+
+@book.query("m16_search")
 def m16_search(spark, sf):
+    """Two trials with their parameters and mean AP, the best one marked."""
+    return Mo.search(Mo.training_rows(table(spark, sf), DATA), 2, DATA, FULL, 2, SEARCHED)
+
+
+@book.query("m16_search_properties", "select unnest(range(2))::int as trial, true as in_range, 1::bigint as n_best, true as is_highest")
+def m16_search_properties(spark, sf):
     """Two trials: each scored, exactly one marked, and that one the highest."""
-    small = {"n_estimators": 2, "num_leaves": 8}
-    found = Mo.search(Mo.training_rows(table(spark, sf), DATA), 2, DATA, FULL, 2, small)
+    found = m16_search(spark, sf)
     over = lambda c: c.over(W.partitionBy())  # noqa: E731  one row per trial
     top = over(F.max(F.when(F.col("best"), F.col("value"))))
     return found.select(
@@ -93,27 +125,38 @@ def checked_run(scored: DataFrame, keys) -> DataFrame:
         (F.col("p10_ci_lo") <= F.col("p10_ci_hi")).alias("has_interval"))
 
 
-@book.query("m17_run", o.with_(*TABLE_SQL, LATE) + """
-select 'A' as scenario, 0::bigint as fold, 'FULL' as featureset, count(*) as n_test, count(distinct project) as n_test_projects,
-  round(avg(cast(is_slow as integer)), 9) as base_rate, true as has_score, true as has_interval from late""")
+@book.query("m17_run")
 def m17_run(spark, sf):
+    """Sizes, AP, precision and interval of the run on the time split."""
     rows = table(spark, sf)
     pred, _ = Mo.run(rows, Mo.split_roles(rows, DATA), "A", 0, "FULL", SMALL, DATA)
-    return checked_run(V.evaluate(pred, V.RUN, DATA), V.RUN)
+    return V.evaluate(pred, V.RUN, DATA)
+
+
+@book.query("m17_run_properties", o.with_(*TABLE_SQL, LATE) + """
+select 'A' as scenario, 0::bigint as fold, 'FULL' as featureset, count(*) as n_test, count(distinct project) as n_test_projects,
+  round(avg(cast(is_slow as integer)), 9) as base_rate, true as has_score, true as has_interval from late""")
+def m17_run_properties(spark, sf):
+    return checked_run(m17_run(spark, sf), V.RUN)
 
 
 SWEEP = {**SMALL, "n_estimators": 2}
 
 
-@book.query("m18_sweep", o.with_(*TABLE_SQL, LATE) + f"""
+@book.query("m18_sweep")
+def m18_sweep(spark, sf):
+    """All 24 runs: every scenario, fold and feature set, each stamped with the parameters' fingerprint."""
+    return V.evaluate(written(Mo.sweep(table(spark, sf), SWEEP, DATA), "sweep"), [*V.RUN, "params"], DATA)
+
+
+@book.query("m18_sweep_properties", o.with_(*TABLE_SQL, LATE) + f"""
 , held as (select s.scenario, s.fold, f.featureset from (select 'A' as scenario, 0 as fold union all select 'B', unnest(range({DATA.folds}))) s
            cross join (select unnest({list(registry.FEATURE_SETS)}) as featureset) f)
 select scenario, fold::bigint as fold, featureset, '{Mo.fingerprint(SWEEP)}' as params,
   case when scenario = 'A' then (select count(*) from late) end as n_test_a, (select count(*) from feat) as n_test_b, true as has_interval from held""")
-def m18_sweep(spark, sf):
+def m18_sweep_properties(spark, sf):
     """All 24 runs, stamped with the parameters' fingerprint: A holds the late rows, B's folds hold every row once."""
-    pred = written(Mo.sweep(table(spark, sf), SWEEP, DATA), "sweep")
-    runs = V.evaluate(pred, [*V.RUN, "params"], DATA)
+    runs = m18_sweep(spark, sf)
     all_b = F.sum(F.when(F.col("scenario") == "B", F.col("n_test"))).over(W.partitionBy("featureset"))
     return runs.select(
         *V.RUN, "params", F.when(F.col("scenario") == "A", F.col("n_test")).alias("n_test_a"), all_b.alias("n_test_b"),
@@ -125,11 +168,21 @@ def p8_refit_delta(spark, sf):
     return Mo.refit_delta(table(spark, sf), {**SMALL, "bagging_fraction": 0.9}, DATA).select(F.round("delta", 9).alias("delta"))
 
 
-@book.query("a2_tree_attribution", o.with_(*TABLE_SQL, LATE) + f"select id, {len(FULL)} as n_features, true as adds_up from late")
+def explained(spark, sf):
+    model, test = fitted(spark, sf)
+    return T.explain(model, Mo.predict(model, test, FULL).select("id", "p_hat", "margin", "features"))
+
+
+@book.query("a2_tree_attribution")
 def a2_tree_attribution(spark, sf):
+    """One attribution per (row, feature) of the whole test set, as an array in feature order."""
+    return explained(spark, sf)
+
+
+@book.query("a2_tree_attribution_properties", o.with_(*TABLE_SQL, LATE) + f"select id, {len(FULL)} as n_features, true as adds_up from late")
+def a2_tree_attribution_properties(spark, sf):
     """Of every test row: one attribution per feature, and whether they add up to the margin."""
-    model, test = fitted(spark, sf)
-    e = T.explain(model, Mo.predict(model, test, FULL).select("id", "margin", "features"))
+    e = explained(spark, sf)
     total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
     return e.select("id", F.size("contributions").alias("n_features"), (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up"))
 
@@ -142,7 +195,7 @@ def a3_additivity(spark, sf):
         "n", test.agg(F.count("*").alias("n")).scalar()).select("n", "gap")
 
 
-@book.query("a7_explain_scenario", f"select unnest({FULL}) as feature, 1.0::double as all_shares")
+@book.query("a7_explain_scenario")
 def a7_explain_scenario(spark, sf):
     """Importance over the pooled folds of scenario B: each fold explained by its own model."""
     rows = table(spark, sf)
@@ -154,17 +207,29 @@ def a7_explain_scenario(spark, sf):
         sample = A.sample_rows(rows.join(held, "id", "left_semi"), 5000, DATA.seed)
         e = T.explain(model, Mo.predict(model, sample, FULL).select("id", "features")).select("id", "contributions")
         parts = e if parts is None else parts.unionByName(e)
-    return A.importance(parts, FULL).select("feature", F.round(F.sum("share").over(W.partitionBy()), 9).alias("all_shares"))
+    return A.importance(parts, FULL)
+
+
+@book.query("a7_explain_scenario_properties", f"select unnest({FULL}) as feature, 1.0::double as all_shares")
+def a7_explain_scenario_properties(spark, sf):
+    """The shares of all features add up."""
+    return a7_explain_scenario(spark, sf).select("feature", F.round(F.sum("share").over(W.partitionBy()), 9).alias("all_shares"))
 
 
-@book.query("x11_intervention", o.with_(*TABLE_SQL, LATE) + f"""
+@book.query("x11_intervention")
+def x11_intervention(spark, sf):
+    """Predictions without label replay and project snapshots on the same folds, evaluated per fold."""
+    pred = written(Mo.without_project(table(spark, sf), {**SMALL, "n_estimators": 2}, DATA), "intervention")
+    return V.evaluate(pred, V.RUN, DATA)
+
+
+@book.query("x11_intervention_properties", o.with_(*TABLE_SQL, LATE) + f"""
 , held as (select 'A' as scenario, 0 as fold union all select 'B', unnest(range({DATA.folds})))
 select scenario, fold::bigint as fold, 'NLR_NO_PROJECT' as featureset,
   case when scenario = 'A' then (select count(*) from late) else (select count(*) from feat) end as n_test, true as has_interval from held""")
-def x11_intervention(spark, sf):
+def x11_intervention_properties(spark, sf):
     """Runs without label replay and project snapshots on the same folds; B's folds together hold every row once."""
-    pred = written(Mo.without_project(table(spark, sf), {**SMALL, "n_estimators": 2}, DATA), "intervention")
-    runs = V.evaluate(pred, V.RUN, DATA)
+    runs = x11_intervention(spark, sf)
     return runs.select(
         *V.RUN, F.sum("n_test").over(W.partitionBy("scenario")).alias("n_test"), (F.col("p10_ci_lo") <= F.col("p10_ci_hi")).alias("has_interval"))
 
