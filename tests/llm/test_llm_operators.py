@@ -399,6 +399,22 @@ def test_other_numbers_and_names_are_caught_if_consistent(spark):
     assert len(none) == 8 and not any(r.contaminated for r in none)
 
 
+def test_names_that_open_a_sentence_and_copies_in_other_case(spark):
+    clips = "Natalia sold 48 clips in April. Natalia then sold 24 clips in May. How many clips did Natalia sell?"
+    apples = "Alice has 12 apples in a bag. Alice gives 3 apples to Bob. How many apples does Alice have now?"
+    robert = clips.replace("Natalia", "Robert").replace("48", "50").replace("24", "25")
+    carol = apples.replace("Alice", "Carol").replace("12", "15")
+    mixed = robert.replace("did Robert", "did Susan")
+    rows = [(1, robert), (2, carol), (3, f'He read: "{robert}"'), (4, carol.replace(" ", "  ")), (5, clips.upper()), (6, apples.lower()),
+            (7, clips.upper().replace("48", "7")), (8, mixed), (9, "Robert sold his house in May. Robert then left the town. How many people did Robert know?")]
+    items = spark.createDataFrame([(1, clips), (2, apples)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.contaminated(frame(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [1], 4: [2], 5: [1], 6: [2], 7: [1], 8: [], 9: []}
+    question = ITEMS[0][1]
+    rows = decontamination.contaminated(frame(spark, [(1, question.upper())]), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert rows.first().contaminated
+
+
 # 9 secrets
 
 def test_base_patterns():

@@ -1,8 +1,9 @@
 """Benchmark questions in documents, with their numbers, names and units possibly changed.
 
-Texts are brought into a template form: words with a digit, units after a number and capitalised words inside a
-sentence become typed placeholders, other words are lower-cased, punctuation goes.  Windows of five template words are
-joined by hash.  Matching windows at the same distance form a copy of the question.  In a consistent copy, whatever
+Texts are brought into template forms: words with a digit and units after a number become typed placeholders, other
+words are lower-cased, punctuation goes.  What is a name depends on the form: capitalised words inside a sentence, any
+capitalised word (names may open a sentence or follow a quote, and so do other words on either side), or none (copies in
+other case).  Windows of five words of any form are joined by hash; forms that agree on a window give it one hash.  Matching windows at the same distance form a copy of the question.  In a consistent copy, whatever
 stands for one value of the question is one value too.  A document is contaminated by an item if its consistent copies
 hold at least 0.8 of the item's windows.  DataFrame functions only.
 """
@@ -27,6 +28,7 @@ UNITS = (
 _NUMBER = r"(?<!\S)[^\s\d]*+\d\S*+"
 _UNIT = rf"(?<=<num>\s)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _NAME = r"\p{Lu}(?<=[^.!?:\s]\s\p{Lu})\p{Ll}+"
+_CAPITAL = r"(?<![\p{L}\p{N}<'\u2019])\p{Lu}\p{Ll}+"
 _MARKS = r"[^\p{L}\p{N}<>\s]+"
 
 
@@ -34,13 +36,22 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def template(text: Column) -> Column:
-    """Template words of a text.  A word keeps its place, so that they line up with ``plain``; null gives no words."""
+def templates(text: Column) -> list[Column]:
+    """Template words of a text in each form, the form with names inside sentences first.
+
+    A word keeps its place, so that the forms line up with each other and with ``plain``; null gives no words.
+    """
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>]+", " ")
     text = F.regexp_replace(text, _NUMBER, "<num>")
-    text = F.when(F.contains(text, F.lit("<num>")), F.regexp_replace(text, _UNIT, "<unit>")).otherwise(text)
-    text = F.regexp_replace(text, _NAME, "<name>")
-    return _split(F.lower(F.regexp_replace(text, _MARKS, "")))
+    units = lambda t: F.when(F.contains(t, F.lit("<num>")), F.regexp_replace(t, _UNIT, "<unit>")).otherwise(t)
+    typed = units(text)
+    forms = [F.regexp_replace(typed, _NAME, "<name>"), F.regexp_replace(typed, _CAPITAL, "<name>"), units(F.lower(text))]
+    return [_split(F.lower(F.regexp_replace(t, _MARKS, ""))) for t in forms]
+
+
+def _formed(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and the forms _w0, _w1, _w2 of the texts."""
+    return rows.select(*keep, *[w.alias(f"_w{k}") for k, w in enumerate(templates(F.col("text")))])
 
 
 def plain(text: Column) -> Column:
@@ -50,26 +61,31 @@ def plain(text: Column) -> Column:
     return _split(F.lower(F.regexp_replace(text, _MARKS, "")))
 
 
-def _windows(words: Column) -> Column:
-    """Hash of each window, by its start from 0."""
-    at = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), at)).otherwise(none)
+def _windows() -> Column:
+    """Start from 0 and hash of each window of the forms _w0, _w1, _w2; equal hashes at one start are one."""
+    words = [F.col(f"_w{k}") for k in range(3)]
+    at = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
+    cells = lambda i: F.transform(
+        F.array_distinct(F.array(*[at(w, i) for w in words])), lambda h: F.struct(i.alias("i"), h.alias("h")))
+    none = F.array().cast("array<struct<i:int,h:bigint>>")
+    starts = F.sequence(F.lit(0), F.size(words[0]) - WINDOW)
+    return F.when(F.size(words[0]) >= WINDOW, F.flatten(F.transform(starts, cells))).otherwise(none)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, j, h, n_windows of every item; equal texts under two ids are two items, repeated rows one."""
-    words = items.where("item_id is not null and text is not null").select("item_id", template(F.col("text")).alias("_w")).distinct()
-    return words.select("item_id", _windows(F.col("_w")).alias("_h")).select(
-        "item_id", F.size("_h").alias("n_windows"), F.posexplode("_h").alias("j", "h"))
+    """item_id, n_windows, j, h of every item; equal texts under two ids are two items, repeated rows one."""
+    words = _formed(items.where("item_id is not null and text is not null"), "item_id").distinct()
+    return words.select("item_id", (F.size("_w0") - (WINDOW - 1)).alias("n_windows"), F.inline(_windows())).withColumnRenamed("i", "j")
 
 
 def item_slots(items: DataFrame) -> DataFrame:
-    """item_id, p, value: the words behind the placeholders of an item."""
+    """item_id, p, value: the words behind the placeholders of an item, in whatever form."""
     text = F.col("text")
-    pairs = F.arrays_zip(template(text).alias("kind"), plain(text).alias("value"))
-    slots = items.where("item_id is not null and text is not null").select("item_id", F.posexplode(pairs).alias("p", "w"))
-    return slots.where(F.col("w.kind").isin("<num>", "<unit>", "<name>")).select("item_id", "p", F.col("w.value").alias("value")).distinct()
+    kinds = [w.alias(f"k{k}") for k, w in enumerate(templates(text))]
+    slots = items.where("item_id is not null and text is not null").select(
+        "item_id", F.posexplode(F.arrays_zip(*kinds, plain(text).alias("value"))).alias("p", "w"))
+    some = F.expr(" or ".join(f"w.k{k} in ('<num>', '<unit>', '<name>')" for k in range(3)))
+    return slots.where(some).select("item_id", "p", F.col("w.value").alias("value")).distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -79,8 +95,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, _t, item_id, shift, j, n_windows: windows of an item that a document has, by their distance."""
-    words = _keyed(docs).select("doc_id", "_t", template(F.col("text")).alias("_w"))
-    found = words.select("doc_id", "_t", F.posexplode(_windows(F.col("_w"))).alias("i", "h"))
+    found = _formed(_keyed(docs), "doc_id", "_t").select("doc_id", "_t", F.inline(_windows()))
     return found.join(checked_broadcast(windows), "h").select(
         "doc_id", "_t", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "n_windows")
 
@@ -106,7 +121,8 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
     """doc_id, contaminated, n_items, item_ids, containment, n_changed, clean of every row.
 
     ``containment`` is that of the fullest item, 0 without a hit; ``n_changed`` counts the changed slots of the items
-    found.  Items and texts of fewer than five words have no window and match nothing; null texts and ids likewise
+    found.  A copy in other case is found with other numbers, not with other names as well.  Items and texts
+    of fewer than five words have no window and match nothing; null texts and ids likewise
     (rows without an id are judged like others).  Repeated rows get equal results; no items, no contamination.
     """
     found = written(hits(docs, item_windows(items)), "template-hits")
