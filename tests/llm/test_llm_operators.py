@@ -459,6 +459,14 @@ def test_boundaries_are_optimal():
             assert got == sorted(set(got)) and got[-1] == lengths[-1] and len(got) <= k and cost(got) == best
 
 
+def test_one_very_long_text_leaves_the_other_boundaries_alone(spark):
+    lengths = [3, 3, 3, 40, 41, 90, 152, 200_000]
+    rows = packing.pack(frame(spark, [(i, "x " * (n - 1)) for i, n in enumerate(lengths)]), 4).collect()
+    cost = lambda ends: sum(min(e for e in ends if e >= n) - n for n in lengths)
+    best = min(cost((*x, 200_000)) for x in itertools.combinations(sorted(set(lengths[:-1])), 3))
+    assert sum(r.padding for r in rows) == best and {r.bucket_len for r in rows} <= set(lengths)
+
+
 def test_batches_hold_the_budget(docs, texts):
     rows = packing.pack(docs, 6, 4096).collect()
     batches = defaultdict(list)

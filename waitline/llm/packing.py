@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from waitline.llm.common import hash_mod, map_texts, numbered
 
-#: Buckets, tokens of a batch, most bins of the histogram, cells of a bucket for numbering.
-BUCKETS, BUDGET, BINS, CELLS = 16, 65_536, 65_536, 4096
+#: Buckets, tokens of a batch, cells of a bucket for numbering.
+BUCKETS, BUDGET, CELLS = 16, 65_536, 4096
 
 
 @lru_cache(maxsize=2)
@@ -78,11 +78,15 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return [int(lengths[e - 1]) for e in reversed(ends)]
 
 
-def histogram(rows: DataFrame, bins: int = BINS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Lengths, counts and grain: lengths are rounded up to the grain, which is 1 unless a text has over ``bins`` tokens."""
-    longest = rows.agg(F.max("n_tokens")).first()[0] or 0
-    grain = max(1, -(-longest // bins))
-    held = rows.groupBy((F.ceil(F.col("n_tokens") / grain) * grain).alias("length")).count().orderBy("length").collect()
+def histogram(rows: DataFrame, bins: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct lengths, ascending, how many rows have each, and the grain.
+
+    D distinct lengths take at least D (D + 1) / 2 tokens, so that they are few even where texts are very long.  Only
+    with ``bins``, which ``pack`` does not set, lengths are rounded up to a grain that leaves at most so many.
+    """
+    longest = rows.agg(F.max("n_tokens")).first()[0] or 0 if bins else 0
+    grain = max(1, -(-longest // bins)) if bins else 1
+    held = rows.groupBy((F.ceil(F.col("n_tokens") / grain) * grain if bins else F.col("n_tokens")).alias("length")).count().orderBy("length").collect()
     return np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64), grain
 
 
