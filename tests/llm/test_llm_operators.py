@@ -445,6 +445,23 @@ def test_entropy_spans_and_allow_list(spark):
     assert [got[i].n_entropy for i in (2, 3, 4, 5)] == [0, 0, 0, 0] and got[4].n_hex == 1
 
 
+def test_keys_behind_a_prefix_are_judged_by_their_own_class():
+    r = random.Random(4)
+    shapes = {"KEY=": ("0123456789ABCDEF", 40), "0x": ("0123456789ABCDEF", 40), "id_": ("0123456789ABCDEF", 32), "xYZ+": ("0123456789ABCDEF", 40),
+              "k-": ("0123456789abcdef", 40)}
+    for prefix, (letters, n) in shapes.items():
+        hit = 0
+        for _ in range(500):
+            key = "".join(r.choices(letters, k=n))
+            spans = secrets.entropy_spans(f"a {prefix}{key} b")
+            hit += any(a < 2 + len(prefix) + n and b > 2 + len(prefix) for a, b, _ in spans)
+            assert all(2 <= a < b <= 2 + len(prefix) + n for a, b, _ in spans) and len(spans) <= 2
+        assert hit >= 480, (prefix, hit)
+    digest = hashlib.sha256(b"").hexdigest()
+    assert secrets.entropy_spans(f"x={digest}") == secrets.entropy_spans("path_to/some_very_long_words_in_a_row") == []
+    assert secrets.entropy_spans("sha256-123e4567-e89b-12d3-a456-426614174000") == []
+
+
 # 10 packing
 
 def test_boundaries_are_optimal():

@@ -1,8 +1,9 @@
 """Secrets in texts: three plain patterns, and high entropy in a sliding window over candidate strings.
 
-A candidate is a maximal run of the characters keys are written in.  Its character class sets the window, and how many
-bits a character must carry there; counts of the window's characters are kept up to date as it slides.  Windows that
-pass are merged.  Known harmless forms are suppressed.
+A candidate is a maximal run of the characters keys are written in.  Within it, the window slides over the whole and over
+the runs of each narrower character class, also inside a wider one or behind a prefix; the class sets the window, and how
+many bits a character must carry there.  Counts of the window's characters are kept up to date as it slides.  Windows that
+pass are merged, whatever their class.  Known harmless forms are suppressed, as candidates and as runs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+#: Runs by class, each of one case; _ARM is a part between the joints of a candidate, 0x in front of hex left out.
+_RUNS = (("hex", re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}")), ("base36", re.compile(r"[0-9a-z]{24,}|[0-9A-Z]{24,}")))
+_ARM, _PREFIX = re.compile(r"[A-Za-z0-9+]{24,}"), re.compile(r"0[xX](?=[0-9a-fA-F]{24})")
 _HEX_ONLY, _BASE36 = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[0-9a-z]+|[0-9A-Z]+")
 #: Harmless forms: letters only, digits only, an id in 8-4-4-4-12 form, words joined by -, _ or /, a file path.
 ALLOWED = tuple(re.compile(p) for p in (
@@ -76,11 +80,37 @@ def dense_windows(candidate: str, window: int, bits: float) -> list[tuple[int, i
     return out
 
 
+def runs(candidate: str) -> list[tuple[int, int, str]]:
+    """(start, end, class) of the candidate, of its arms between = _ - /, and of the hex and base36 runs in it."""
+    found = {(0, len(candidate), character_class(candidate))}
+    for m in _ARM.finditer(candidate):
+        start = m.start() + (2 if _PREFIX.match(m[0]) else 0)
+        if m.end() - start >= 24:
+            found.add((start, m.end(), character_class(candidate[start:m.end()])))
+    for kind, pattern in _RUNS:
+        for m in pattern.finditer(candidate):
+            start = m.start() + (2 if m[0][:2] in ("0x", "0X") else 0)
+            found.add((start, m.end(), kind if kind == "base36" else character_class(m[0])))
+    return sorted(found)
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _CANDIDATE.finditer(text):
-        if not allowed(m[0]):
-            out += [(m.start() + a, m.start() + b, "entropy") for a, b in dense_windows(m[0], *CLASSES[character_class(m[0])])]
+        if allowed(m[0]):
+            continue
+        dense = []
+        for start, end, kind in runs(m[0]):
+            part = m[0][start:end]
+            if not allowed(part):
+                dense += [(m.start() + start + a, m.start() + start + b) for a, b in dense_windows(part, *CLASSES[kind])]
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(dense):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        out += [(a, b, "entropy") for a, b in merged]
     return out
 
 
