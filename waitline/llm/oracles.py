@@ -45,3 +45,76 @@ EXACT_DEDUP = """
 with docs as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
 groups as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from docs group by text_sha256)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from docs join groups using (text_sha256)"""
+
+#: Words of all texts, the CRC-32 of each distinct one, gains of the buckets, noise from the id.
+RESAMPLING = r"""
+with recursive
+step(i, k, c) as (
+  select i, 0, i from (select unnest(range(256)) as i)
+  union all select i, k + 1, xor(c >> 1, 3988292384 * (c & 1)) from step where k < 8),
+remainders as (select list(c order by i) as t from step where k = 8),
+texts as (
+  select 'd' as side, doc_id as id, text from documents union all select 't', null, text from benchmark),
+words as (
+  select side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from texts),
+vocabulary as (
+  select w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(w), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::bigint % 10000 as bucket
+  from (select distinct w from words), remainders),
+placed as (select side, id, bucket from words join vocabulary using (w)),
+counts as (
+  select bucket, count(*) filter (side = 'd')::double as s, count(*) filter (side = 't')::double as t,
+    sum(count(*) filter (side = 'd')) over ()::double as all_s, sum(count(*) filter (side = 't')) over ()::double as all_t
+  from placed group by bucket),
+gains as (select bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::bigint as gain from counts),
+sums as (select id as doc_id, count(*) as n_features, sum(gain)::bigint as weight from placed join gains using (bucket) where side = 'd' group by id),
+scored as (
+  select doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, coalesce(weight, 0)::bigint
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from documents left join sums using (doc_id)),
+ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from scored left join ranked using (doc_id)"""
+
+EMBEDDING_DEDUP = """
+with recursive
+able as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from able a join able b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, component_id = vec_id as kept
+from (select vec_id, least(vec_id, (select min(b) from reach where a = vec_id)) as component_id from embeddings)"""
+
+
+def _rounds(n: int) -> str:
+    """Assignment and new entries of each round, one pair of tables after the other, and the last assignment."""
+    near = """a{r} as materialized (
+  select vec_id, label, m, v, min(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i])))::bigint * 16 + k) as best
+  from parts join e{r} using (m) group by vec_id, label, m, v),"""
+    move = """u{r} as (
+  select m, best % 16 as k, i, sum(v[i])::bigint as s, count(*) as n from (select m, best, v, unnest(range(1, len(v) + 1)) as i from a{r}) group by all),
+c{r} as (select m, k, list((s - ((s % n) + n) % n) // n order by i) as e from u{r} group by m, k),
+e{n} as materialized (select m, k, coalesce(c{r}.e, e{r}.e) as e from e{r} left join c{r} using (m, k)),"""
+    return "\n".join(near.format(r=r) + "\n" + (move.format(r=r, n=r + 1) if r < n else "") for r in range(n + 1))
+
+
+VECTOR_CODES = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as s from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (
+  select vec_id, label, m, s[m * (len(s) // 8) + 1:(m + 1) * (len(s) // 8)] as v from kept, (select unnest(range(8)) as m)),
+e0 as materialized (
+  select m, row_number() over (partition by m order by vec_id) - 1 as k, v as e from parts qualify k < 16),
+{_rounds(6)}
+books as (select sha256(string_agg(x, ',' order by m, k, i)) as codebooks_sha256 from (
+  select m, k, unnest(range(1, len(e) + 1)) as i, unnest(e)::varchar as x from e6)),
+codes as (
+  select vec_id, label, string_agg(printf('%02x', (best % 16)::int), '' order by m) as code, sum(best // 16)::bigint as error
+  from a6 group by vec_id, label)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from codes, books"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.llm import decontamination, exact_dedup, language_id, license_scan, oracles, packing, secrets, sharding, simhash, substring_dedup, toxicity
+from waitline.llm import decontamination, exact_dedup, language_id, license_scan, oracles, packing, pivot_codes, projection_passes, resampling, secrets, sharding, simhash, substring_dedup, toxicity
 from waitline.llm.common import table
 
 
@@ -51,9 +51,23 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_embedding_dedup(spark, sf_dir):
+    return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings")).drop("n_copies")
+
+
+def op13_vector_codes(spark, sf_dir):
+    return pivot_codes.encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_sharding, op3_license_scan, op4_substring_dedup, op5_exact_dedup,
-    op6_language_id, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing)}
+    op6_language_id, op7_simhash, op8_decontamination, op9_secret_scan, op10_packing,
+    op11_resampling, op12_embedding_dedup, op13_vector_codes)}
 
 ORACLES = {
-    "op2_sharding": oracles.SHARDING, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_exact_dedup": oracles.EXACT_DEDUP}
+    "op2_sharding": oracles.SHARDING, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_exact_dedup": oracles.EXACT_DEDUP,
+    "op11_resampling": oracles.RESAMPLING, "op12_embedding_dedup": oracles.EMBEDDING_DEDUP, "op13_vector_codes": oracles.VECTOR_CODES}
