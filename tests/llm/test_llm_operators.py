@@ -415,6 +415,102 @@ def test_names_that_open_a_sentence_and_copies_in_other_case(spark):
     assert rows.first().contaminated
 
 
+def brute_forms(text):
+    """Template words of the three forms and the plain words, word by word."""
+    unit = regex.compile(rf"(?:{'|'.join(decontamination.UNITS)})(?![\p{{L}}\p{{N}}])")
+    text = regex.sub("[<>]+", " ", text or "")
+    words = text.split()
+    marks = lambda w: regex.sub(r"[^\p{L}\p{N}]+", "", w)
+    value, out = [], ([], [], [])
+    for i, w in enumerate(words):
+        number = any(c.isdecimal() for c in w)
+        behind = i > 0 and any(c.isdecimal() for c in words[i - 1])
+        plain = "percent" if w == "%" and behind else marks(w).lower()
+        forms = []
+        for k, x in enumerate((w, w, w.lower())):
+            mark = unit.match(x) if behind and not number else None
+            if number:
+                forms.append("<num>")
+                continue
+            head, rest = ("<unit>", x[mark.end():]) if mark else ("", x)
+            if k == 0 and not mark and i and not words[i - 1][-1] in ".!?:":
+                rest = regex.sub(r"^\p{Lu}\p{Ll}+", "<name>", rest)
+            if k == 1:
+                rest = regex.sub(r"(?<![\p{L}\p{N}<'\u2019])\p{Lu}\p{Ll}+", "<name>", rest)
+            forms.append(head + "".join(p if p == "<name>" else marks(p) for p in regex.split("(<name>)", rest)).lower())
+        if any(forms):
+            value.append(plain)
+            for o, f in zip(out, forms, strict=True):
+                o.append(f)
+    return out, value
+
+
+def brute_leaks(text, items):
+    """Items whose consistent copies hold 0.8 of their windows: all windows of a text against all of an item."""
+    forms, value = brute_forms(text)
+    at = lambda f, i: {tuple(w[i:i + 5]) for w in f}
+    bare = lambda ws: {w for w in ws if all(x in ("<num>", "<unit>", "<name>") for x in w)}
+    own = [at(forms, i) for i in range(len(value) - 4)]
+    found = []
+    for item, question in items.items():
+        held, names = brute_forms(question)
+        slots = {p for p in range(len(names)) if any(f[p] in ("<num>", "<unit>", "<name>") for f in held)}
+        wins = [at(held, j) for j in range(len(names) - 4)]
+        shifts = defaultdict(set)
+        for i, mine in enumerate(own):
+            for j, theirs in enumerate(wins):
+                if (mine & theirs) - bare(mine):
+                    shifts[i - j].add(j)
+        hit = set()
+        for shift, js in shifts.items():
+            now = defaultdict(set)
+            for p in slots & {j + k for j in js for k in range(5)}:
+                now[names[p]].add(value[p + shift])
+            if all(len(v) == 1 for v in now.values()):
+                hit |= js
+        if hit:
+            loose = set().union(*map(bare, own))
+            hit |= {j for j, theirs in enumerate(wins) if theirs & loose}
+        if wins and len(hit) / len(wins) >= 0.8:
+            found.append(item)
+    return sorted(found)
+
+
+def test_leaks_match_brute_force_over_all_forms_and_slots(spark):
+    r = random.Random(11)
+    names, units = ["Alice", "Bruno", "Carla", "Dora"], ["km", "hours", "apples", "%"]
+    base = ["Alice has 12 apples and buys 30 km of rope. How many apples does Alice have after 12 days?",
+            "When Bruno drives 60 km in 2 hours, how far does Bruno get in 5 hours?", "add 1 2 3 4 5 6 7 8 then stop and say the sum to Dora",
+            "1 2 3 4 5 6 7 8", "one two three"]
+    items = dict(enumerate(base, 1))
+    docs = []
+    for i in range(300):
+        words = r.choice(base).split()
+        change = {w: r.choice(names) for w in names} | {u: r.choice(units) for u in units}
+        number = defaultdict(lambda: str(r.randint(1, 99)))
+        for p, w in enumerate(words):
+            if w in change and r.random() < 0.7:
+                words[p] = change[w]
+            elif w.isdigit() and r.random() < 0.8:
+                words[p] = number[w] if r.random() < 0.8 else str(r.randint(1, 9))
+        if r.random() < 0.2:
+            words[r.randrange(len(words))] = "other"
+        text = "Some lead. " * r.randint(0, 2) + " ".join(words) + " and more 5 km 7 8 9"
+        docs.append((i, text.upper() if r.random() < 0.1 else text))
+    got = decontamination.contaminated(frame(spark, docs), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    want = {i: brute_leaks(t, items) for i, t in docs}
+    assert {x.doc_id: x.item_ids for x in got} == want
+    assert sum(map(bool, want.values())) > 30 and not all(want.values())
+
+
+def test_a_long_list_of_numbers_makes_no_product(spark):
+    numbers = frame(spark, [(1, " ".join(map(str, range(20_000)))), (2, "count 1 2 3 4 5 6 7 on")])
+    items = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, "please count 4 5 6 7 8 9 1 2 and on")], "item_id long, text string")
+    windows = decontamination.item_windows(items)
+    assert decontamination.hits(numbers, windows).where("doc_id = 1").count() <= 20_000
+    assert [r.contaminated for r in decontamination.contaminated(numbers, items).orderBy("doc_id").collect()] == [False, False]
+
+
 # 9 secrets
 
 def test_base_patterns():

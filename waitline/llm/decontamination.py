@@ -25,7 +25,7 @@ UNITS = (
     "hour", "h", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "cents", "euros", "euro",
     "mph", "kmh", "degrees", "degree")
 
-_NUMBER = r"(?<!\S)[^\s\d]*+\d\S*+"
+_NUMBER = r"\d\S*+"
 _UNIT = rf"(?<=<num>\s)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _NAME = r"\p{Lu}(?<=[^.!?:\s]\s\p{Lu})\p{Ll}+"
 _CAPITAL = r"(?<![\p{L}\p{N}<'\u2019])\p{Lu}\p{Ll}+"
@@ -36,22 +36,30 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def templates(text: Column) -> list[Column]:
-    """Template words of a text in each form, the form with names inside sentences first.
+def _steps(frame: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """One ``select`` for each step, so that what a step makes is computed once however often the next one names it."""
+    for step in steps:
+        frame = frame.withColumns(step)
+    return frame
 
-    A word keeps its place, so that the forms line up with each other and with ``plain``; null gives no words.
-    """
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>]+", " ")
-    text = F.regexp_replace(text, _NUMBER, "<num>")
-    units = lambda t: F.when(F.contains(t, F.lit("<num>")), F.regexp_replace(t, _UNIT, "<unit>")).otherwise(t)
-    typed = units(text)
-    forms = [F.regexp_replace(typed, _NAME, "<name>"), F.regexp_replace(typed, _CAPITAL, "<name>"), units(F.lower(text))]
-    return [_split(F.lower(F.regexp_replace(t, _MARKS, ""))) for t in forms]
 
+def templates(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and the template words _w0, _w1, _w2 of ``text`` in each form, names inside sentences first.
 
-def _formed(rows: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and the forms _w0, _w1, _w2 of the texts."""
-    return rows.select(*keep, *[w.alias(f"_w{k}") for k, w in enumerate(templates(F.col("text")))])
+    A word keeps its place, so that the forms line up with each other and with ``plain``; null gives no words.
+    """
+    t, a = F.col("_s"), F.col("_a")
+    units = lambda c: F.when(F.contains(c, F.lit("<num>")), F.regexp_replace(c, _UNIT, "<unit>")).otherwise(c)
+    # A number is found by its first digit; what stands before it in its word goes when the words are told apart.
+    words = lambda c: F.transform(_split(F.lower(c)), lambda w: F.when(F.endswith(w, F.lit("<num>")), F.lit("<num>")).otherwise(w))
+    made = _steps(
+        rows.select(*keep, F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[<>]+", " ").alias("_s")),
+        {"_s": F.regexp_replace(t, _NUMBER, "<num>")},
+        {"_s": units(t), "_a": F.lower(t)},
+        {"_a": units(a), "_b": F.regexp_replace(t, _CAPITAL, "<name>"), "_s": F.regexp_replace(t, _NAME, "<name>")},
+        {c: F.regexp_replace(c, _MARKS, "") for c in ("_s", "_b", "_a")},
+        {f"_w{k}": words(F.col(c)) for k, c in enumerate(("_s", "_b", "_a"))})
+    return made.select(*keep, "_w0", "_w1", "_w2")
 
 
 def plain(text: Column) -> Column:
@@ -73,17 +81,26 @@ def _windows() -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, n_windows, j, h of every item; equal texts under two ids are two items, repeated rows one."""
-    words = _formed(items.where("item_id is not null and text is not null"), "item_id").distinct()
-    return words.select("item_id", (F.size("_w0") - (WINDOW - 1)).alias("n_windows"), F.inline(_windows())).withColumnRenamed("i", "j")
+    """item_id, n_windows, j, h, bare of every item; equal texts under two ids are two items, repeated rows one.
+
+    A bare window holds placeholders only: it is the same in every list of numbers.
+    """
+    words = templates(items.where("item_id is not null and text is not null"), "item_id").distinct()
+    found = words.select("item_id", (F.size("_w0") - (WINDOW - 1)).alias("n_windows"), F.inline(_windows())).withColumnRenamed("i", "j")
+    kinds = items.sparkSession.createDataFrame([("<num>",), ("<unit>",), ("<name>",)], "k string")
+    runs = kinds.select(F.collect_list("k").alias("k"))
+    for n in range(WINDOW):  # the 243 runs of five placeholders
+        runs = runs.withColumn(f"k{n}", F.explode("k"))
+    bare = runs.select(F.xxhash64(*[f"k{n}" for n in range(WINDOW)]).alias("_h")).withColumn("bare", F.lit(True))
+    return found.join(F.broadcast(bare), F.col("h") == F.col("_h"), "left").select(
+        "item_id", "n_windows", "j", "h", F.coalesce("bare", F.lit(False)).alias("bare"))
 
 
 def item_slots(items: DataFrame) -> DataFrame:
     """item_id, p, value: the words behind the placeholders of an item, in whatever form."""
-    text = F.col("text")
-    kinds = [w.alias(f"k{k}") for k, w in enumerate(templates(text))]
-    slots = items.where("item_id is not null and text is not null").select(
-        "item_id", F.posexplode(F.arrays_zip(*kinds, plain(text).alias("value"))).alias("p", "w"))
+    named = items.where("item_id is not null and text is not null").select("item_id", "text", plain(F.col("text")).alias("value"))
+    kinds = [F.col(f"_w{k}").alias(f"k{k}") for k in range(3)]
+    slots = templates(named, "item_id", "value").select("item_id", F.posexplode(F.arrays_zip(*kinds, "value")).alias("p", "w"))
     some = F.expr(" or ".join(f"w.k{k} in ('<num>', '<unit>', '<name>')" for k in range(3)))
     return slots.where(some).select("item_id", "p", F.col("w.value").alias("value")).distinct()
 
@@ -94,8 +111,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, _t, item_id, shift, j, n_windows: windows of an item that a document has, by their distance."""
-    found = _formed(_keyed(docs), "doc_id", "_t").select("doc_id", "_t", F.inline(_windows()))
+    """doc_id, _t, item_id, shift, j, n_windows: windows of an item that a document has, by their distance.
+
+    A bare window of a document is told once, whatever its place, and has no shift.
+    """
+    known = windows.select(F.col("h").alias("_h"), F.col("bare").alias("_bare")).distinct()
+    found = templates(_keyed(docs), "doc_id", "_t").select("doc_id", "_t", F.inline(_windows()))
+    found = found.join(checked_broadcast(known), F.col("h") == F.col("_h")).select(
+        "doc_id", "_t", F.when(~F.col("_bare"), F.col("i")).alias("i"), "h").distinct()
     return found.join(checked_broadcast(windows), "h").select(
         "doc_id", "_t", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "n_windows")
 
@@ -123,9 +146,12 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
     ``containment`` is that of the fullest item, 0 without a hit; ``n_changed`` counts the changed slots of the items
     found.  A copy in other case is found with other numbers, not with other names as well.  Items and texts
     of fewer than five words have no window and match nothing; null texts and ids likewise
-    (rows without an id are judged like others).  Repeated rows get equal results; no items, no contamination.
+    (rows without an id are judged like others), and items in which no five words in a row hold a plain word.  Runs of
+    equal windows, as in very long lists of numbers, count once.  Repeated rows get equal results; no items, no
+    contamination; an empty table gives an empty result.
     """
-    found = written(hits(docs, item_windows(items)), "template-hits")
+    all_hits = written(hits(docs, written(item_windows(items), "item-windows")), "template-hits")
+    found = all_hits.where("shift is not null")
     kept = found.join(
         copies(docs, items, found).select(
             F.col("doc_id").alias("_id"), F.col("_t").alias("_u"), F.col("item_id").alias("_item"), F.col("shift").alias("_s"), "broken", "n_changed"),
@@ -133,7 +159,11 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
         "left").where(~F.coalesce("broken", F.lit(False)))
     by_copy = kept.groupBy("doc_id", "_t", "item_id", "shift").agg(F.max("n_changed").alias("n_changed"))
     changed = by_copy.groupBy("doc_id", "_t", "item_id").agg(F.sum("n_changed").alias("_c"))
-    full = kept.select("doc_id", "_t", "item_id", "j", "n_windows").distinct().groupBy("doc_id", "_t", "item_id", "n_windows").agg(
+    # Bare windows add to an item that the document has a copy of; alone they say nothing.
+    there = kept.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_u"), F.col("item_id").alias("_item")).distinct()
+    bare = all_hits.where("shift is null").join(
+        there, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")) & (F.col("item_id") == F.col("_item")), "left_semi")
+    full = kept.unionByName(bare, allowMissingColumns=True).select("doc_id", "_t", "item_id", "j", "n_windows").distinct().groupBy("doc_id", "_t", "item_id", "n_windows").agg(
         (F.count(F.lit(1)) / F.col("n_windows")).alias("_share"))
     named = changed.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_u"), F.col("item_id").alias("_item"), "_c")
     full = full.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")) & (F.col("item_id") == F.col("_item")))
