@@ -149,15 +149,60 @@ def test_size_bounds_lose_no_licence():
             assert (m.best(grams) is not None) == (every >= m.threshold)
 
 
+def template(name, part):
+    return next(re.sub(r"\s+", " ", t) for n, t in license_scan.TEMPLATES if n == name and part in t)
+
+
 def test_licence_lines_blocks_and_whole_texts(spark):
-    mit = license_scan.TEMPLATES[11][1]
-    wrapped = re.sub(r"\s+", " ", mit).replace(", ", ",\n")
-    rows = [(1, "foo bar\nReleased under the MIT license!\nbaz"), (2, f"Intro text here.\n{wrapped}\nThe end of it all."), (3, "released under a licence"),
-            (4, mit), (5, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.")]
+    mit, apache, bsd = template("MIT", "hereby granted"), template("Apache-2.0", "compliance"), template("BSD-3-Clause", "Neither")
+    filler = "\n".join(f"line {i} of a long file with other words" for i in range(400))
+    laid_out = mit.replace(", ", ",\n").replace("The above", "\n\nThe above")
+    warranty = template("MIT", "AS IS").replace(". IN NO", ".\n\nIN NO")
+    header = apache.replace(" You may obtain", "\n\n You may obtain").replace(" Unless", "\n\n Unless")
+    clauses = bsd.replace(" 1.", "\n\n1.").replace(" 2.", "\n\n2.").replace(" 3.", "\n\n3.")
+    notice = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    rows = [(1, "foo bar\nReleased under the MIT license!\nbaz"), (2, f"Intro text here.\n{laid_out}\nThe end of it all."), (3, "released under a licence"),
+            (4, mit), (5, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0."), (6, f"{filler}\n{laid_out}\n\n{warranty}\n{filler}"),
+            (7, f"{filler}\n{header}\n{filler}"), (8, f"{filler}\n{clauses}\n{filler}"), (9, " ".join([notice] * 60)),
+            (10, f"{filler} {notice} and on it goes in one line {filler}".replace("\n", " ")), (11, filler)]
     got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
     assert got[1].licence == "MIT" and got[1].units == "MIT:1:2" and got[1].dice == 1.0
     assert got[2].licence == "MIT" and got[4].licence == "MIT" and got[3].licence is None
     assert got[5].licences == ["CC-BY-NC-4.0"]
+    assert got[6].licences == ["MIT"] and got[6].n_units == 2 and got[6].units.startswith("MIT:400:")
+    assert "Apache-2.0" in got[7].licences and got[7].dice == 1.0 and got[8].licence == "BSD-3-Clause" and got[8].dice == 1.0
+    assert got[9].licences == ["CC-BY-NC-4.0"] and got[9].n_units == 60
+    assert got[10].licence == "CC-BY-NC-4.0" and got[10].dice == 1.0 and got[11].licence is None
+
+
+def test_licence_windows_match_brute_force():
+    """All windows of all sizes: a template is found just where some window reaches the threshold, with its best value."""
+    templates = [("A", "one two three four five six"), ("B", "two three nine ten eleven"), ("C", "one one two one")]
+    m, r = license_scan.Matcher(templates), random.Random(9)
+    pool = "one two three four five six nine ten eleven x y".split()
+    hits = 0
+    for _ in range(300):
+        words = [r.choice(pool) for _ in range(r.randint(0, 25))]
+        if r.random() < 0.6:
+            words[3:3] = r.choice(templates)[1].split()
+        best = {}
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                for k, (_, t) in enumerate(templates):
+                    d = license_scan.dice(license_scan.bigrams(words[i:j]), license_scan.bigrams(t.split()))
+                    if d >= m.threshold:
+                        best[k] = max(best.get(k, 0), d)
+        got = {}
+        for _, _, d, k, _ in m.scan(" ".join(words).replace(" x ", "\n\nx\n")):
+            got[k] = max(got.get(k, 0), d)
+        assert got == best
+        hits += bool(best)
+    assert hits > 50
+
+
+def test_ties_go_to_the_first_template(spark):
+    same = [("First", "alpha beta gamma delta"), ("Second", "alpha beta gamma delta")]
+    assert license_scan.scan(frame(spark, [(1, "alpha beta gamma delta")]), same).first().licence == "First"
 
 
 # 4 substrings

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,9 +49,9 @@ def map_texts(docs: DataFrame, work: Callable[[list], dict], schema: str) -> Dat
             for at in range(0, batch.num_rows, step):
                 rows = batch.slice(at, step)
                 made = work(rows.column("text").to_pylist())
-                cells = [rows.column("doc_id").cast(kinds.field("doc_id").type)]
+                cells = [rows.column("doc_id")]
                 cells += [pa.array(made[f.name], type=f.type, from_pandas=True) for f in list(kinds)[1:]]
-                yield pa.RecordBatch.from_arrays(cells, schema=kinds)
+                yield pa.RecordBatch.from_arrays(cells, names=kinds.names)
 
     return source.mapInArrow(each, out)
 
@@ -66,13 +67,31 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, flag: str) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` has no decision with a false ``flag``.
+def with_row_keys(docs: DataFrame, first: bool) -> DataFrame:
+    """``docs`` with a key of its own for each row in place of ``doc_id``: (flag, id, file, row).
 
-    The dropped ids are the shorter list; rows without an id are kept, whatever the decisions say.
+    The place of a row in the files it is read from tells rows apart that share an id, have none, or are equal in
+    everything.  Keys are ordered by id; ``first`` says whether the smallest key or the largest is going to stay, and
+    the flag makes rows without an id the last choice either way.
     """
-    gone = decisions.where(~F.col(flag)).select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    try:
+        placed = docs.select("*", "_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:  # not read from files, or no longer only that
+        placed = written(docs, "rows").select("*", "_metadata.file_path", "_metadata.row_index")
+    id_ = F.col("doc_id")
+    key = F.struct((id_.isNull() if first else id_.isNotNull()).alias("flag"), id_.alias("id"),
+                   F.xxhash64("file_path").alias("file"), F.col("row_index").alias("row"))
+    return placed.select(*[key.alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns])
+
+
+def keep_rows(keyed: DataFrame, decisions: DataFrame, flag: str) -> DataFrame:
+    """The rows with keys of their own whose decision has no false ``flag``, with their ids put back.
+
+    The dropped keys are the shorter list.
+    """
+    gone = decisions.where(~F.col(flag)).select(F.col("doc_id").alias("_gone"))
+    kept = keyed.join(checked_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return kept.withColumn("doc_id", F.col("doc_id.id"))
 
 
 def numbered(df: DataFrame, group: list[str], cell: Column, order: list[str], name: str, cells: int) -> DataFrame:

@@ -41,9 +41,12 @@ def distinct_digests(rows: DataFrame, buckets: int) -> DataFrame:
     return held.withColumn("bucket", hash_mod(F.col("text_sha256"), buckets))
 
 
-def snapshot(rows: DataFrame, bucket_keys: int = BUCKET_KEYS) -> Snapshot:
-    """Write the exact buckets and the filters of a set of digests; neither is changed afterwards."""
-    buckets = max(1, -(-rows.count() // bucket_keys))
+def snapshot(rows: DataFrame, bucket_keys: int = BUCKET_KEYS, incoming: int = 0) -> Snapshot:
+    """Write the exact buckets and the filters of a set of digests; neither is changed afterwards.
+
+    ``incoming`` is the size of the largest batch to come: a bucket's share of either side fits a task.
+    """
+    buckets = max(1, -(-max(rows.count(), incoming) // bucket_keys))
     exact = written(distinct_digests(rows, buckets), "exact-buckets")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -64,8 +67,8 @@ def screened(batch: DataFrame, old: Snapshot) -> DataFrame:
         return rows.select(["text_sha256", "n", "last"]).append_column("positive", pa.array(passed))
 
     new = distinct_digests(batch, old.buckets).withColumn("key", F.xxhash64("text_sha256"))
-    return new.groupBy("bucket").cogroup(old.filters.groupBy("bucket")).applyInArrow(
-        screen, "text_sha256 string, n long, last long, positive boolean")
+    schema = new.select("text_sha256", "n", "last", F.lit(True).alias("positive")).schema
+    return new.groupBy("bucket").cogroup(old.filters.groupBy("bucket")).applyInArrow(screen, schema)
 
 
 def matched(docs: DataFrame, new: DataFrame, old: Snapshot) -> DataFrame:
@@ -94,8 +97,9 @@ def dedup(docs: DataFrame, in_snapshot) -> DataFrame:
     """
     side = F.when(F.coalesce(in_snapshot, F.lit(False)), F.lit("snapshot")).otherwise(F.lit("batch"))
     rows = written(digests(docs).withColumn("side", side), "digests")
-    old = snapshot(rows.where("side = 'snapshot'"))
-    new = written(screened(rows.where("side = 'batch'"), old), "screened")
+    batch = rows.where("side = 'batch'")
+    old = snapshot(rows.where("side = 'snapshot'"), incoming=batch.count())
+    new = written(screened(batch, old), "screened")
     common = written(matched(docs, new, old), "byte-checked")
     pick = ("text_sha256", F.col("old_n"), F.col("old_last"), F.col("n").alias("new_n"), F.col("last").alias("new_last"))
     links = common.select(*pick)
