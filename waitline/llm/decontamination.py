@@ -51,7 +51,8 @@ def templates(rows: DataFrame, *keep: str) -> DataFrame:
     t, a = F.col("_s"), F.col("_a")
     units = lambda c: F.when(F.contains(c, F.lit("<num>")), F.regexp_replace(c, _UNIT, "<unit>")).otherwise(c)
     # A number is found by its first digit; what stands before it in its word goes when the words are told apart.
-    words = lambda c: F.transform(_split(F.lower(c)), lambda w: F.when(F.endswith(w, F.lit("<num>")), F.lit("<num>")).otherwise(w))
+    cut = lambda w: F.when(F.endswith(w, F.lit("<num>")), F.lit("<num>")).otherwise(w)
+    words = lambda c: F.transform(_split(F.lower(c)), cut)
     made = _steps(
         rows.select(*keep, F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[<>]+", " ").alias("_s")),
         {"_s": F.regexp_replace(t, _NUMBER, "<num>")},
@@ -69,15 +70,19 @@ def plain(text: Column) -> Column:
     return _split(F.lower(F.regexp_replace(text, _MARKS, "")))
 
 
-def _windows() -> Column:
-    """Start from 0 and hash of each window of the forms _w0, _w1, _w2; equal hashes at one start are one."""
-    words = [F.col(f"_w{k}") for k in range(3)]
-    at = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
-    cells = lambda i: F.transform(
-        F.array_distinct(F.array(*[at(w, i) for w in words])), lambda h: F.struct(i.alias("i"), h.alias("h")))
-    none = F.array().cast("array<struct<i:int,h:bigint>>")
-    starts = F.sequence(F.lit(0), F.size(words[0]) - WINDOW)
-    return F.when(F.size(words[0]) >= WINDOW, F.flatten(F.transform(starts, cells))).otherwise(none)
+def windows(formed: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, start i from 0 and hash h of each window of the forms _w0, _w1, _w2.
+
+    Starts become rows before anything is hashed, so that the hashes are compiled with the rest of the stage.  Hashes
+    that agree at one start are one row.
+    """
+    starts = F.when(F.size("_w0") >= WINDOW, F.sequence(F.lit(0), F.size("_w0") - WINDOW))
+    rows = formed.select(*keep, "_w0", "_w1", "_w2", F.explode(starts).alias("i"))
+    at = lambda w: F.xxhash64(*[F.get(w, F.col("i") + k) for k in range(WINDOW)])
+    hashed = rows.select(*keep, "i", *[at(f"_w{k}").alias(f"_h{k}") for k in range(3)])
+    h0, h1, h2 = (F.col(f"_h{k}") for k in range(3))
+    each = F.array(h0, F.when(h1 != h0, h1), F.when((h2 != h0) & (h2 != h1), h2))
+    return hashed.select(*keep, "i", F.explode(each).alias("h")).where("h is not null")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -86,7 +91,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     A bare window holds placeholders only: it is the same in every list of numbers.
     """
     words = templates(items.where("item_id is not null and text is not null"), "item_id").distinct()
-    found = words.select("item_id", (F.size("_w0") - (WINDOW - 1)).alias("n_windows"), F.inline(_windows())).withColumnRenamed("i", "j")
+    words = words.withColumn("n_windows", F.size("_w0") - (WINDOW - 1))
+    found = windows(words, "item_id", "n_windows").withColumnRenamed("i", "j")
     kinds = items.sparkSession.createDataFrame([("<num>",), ("<unit>",), ("<name>",)], "k string")
     runs = kinds.select(F.collect_list("k").alias("k"))
     for n in range(WINDOW):  # the 243 runs of five placeholders
@@ -110,16 +116,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select("doc_id", "text", F.xxhash64("text").alias("_t"))
 
 
-def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, _t, item_id, shift, j, n_windows: windows of an item that a document has, by their distance.
 
     A bare window of a document is told once, whatever its place, and has no shift.
     """
-    known = windows.select(F.col("h").alias("_h"), F.col("bare").alias("_bare")).distinct()
-    found = templates(_keyed(docs), "doc_id", "_t").select("doc_id", "_t", F.inline(_windows()))
+    known = wanted.select(F.col("h").alias("_h"), F.col("bare").alias("_bare")).distinct()
+    found = windows(templates(_keyed(docs), "doc_id", "_t"), "doc_id", "_t")
     found = found.join(checked_broadcast(known), F.col("h") == F.col("_h")).select(
         "doc_id", "_t", F.when(~F.col("_bare"), F.col("i")).alias("i"), "h").distinct()
-    return found.join(checked_broadcast(windows), "h").select(
+    return found.join(checked_broadcast(wanted), "h").select(
         "doc_id", "_t", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", "n_windows")
 
 
