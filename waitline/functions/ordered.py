@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waitline.session import written
+
 BUCKETS = 1024
 
 
@@ -25,6 +27,26 @@ def score_bucket(value, low: float = 0.0, high: float = 1.0, n: int = BUCKETS) -
     return F.width_bucket(value.cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(n)).cast("int")
 
 
+def quantile_buckets(df: DataFrame, keys: Sequence[str], value: str, n: int, name: str, accuracy: int = 10_000) -> DataFrame:
+    """Add ``name``: which of about ``n`` buckets of equal size, per keys, the value lies in; monotone in it.
+
+    The splitters are quantiles from a mergeable sketch, so that the buckets follow the values however they are spread:
+    equal values share a bucket, and a bucket only exceeds its share by what is equal.  Null values are bucket -1.
+    """
+    cuts = F.array(*[F.lit(i / n) for i in range(1, n)])
+    splitters = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, cuts, accuracy)).alias("_splits"))
+    with_cuts = join_null_safe(df, splitters, keys) if keys else _with_total(df, splitters)
+    # How many splitters lie below, by halving the sorted array.
+    low, high = F.lit(0), F.size("_splits")
+    state = F.struct(low.alias("lo"), high.alias("hi"))
+    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(
+        F.get("_splits", mid(s)) < F.col(value), F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+        F.struct(s["lo"].alias("lo"), mid(s).alias("hi")))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length() + 1))), state, step, lambda s: s["lo"])
+    return with_cuts.withColumn(name, F.when(F.col(value).isNull(), F.lit(-1)).otherwise(found).cast("int")).drop("_splits")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equality join that lets a null key meet a null key; the keys of the left side stay."""
     there = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -87,6 +109,24 @@ def row_numbers(
     )
 
 
+def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the gapless position from 0 in the total order ``order``, as a long ``name``.  The result is a written table.
+
+    The order must tell any two rows apart: then no run of equal rows has to lie in one task, however the values are
+    spread.  Rows are cut into ranges, sorted and written; how many rows lie before a range is a sum over one count
+    for each range, so that the table of offsets has as many rows as the shuffle has partitions.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    held = written(cut.withColumn("_at", F.monotonically_increasing_id()), name.strip("_") + "-order")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return held.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
+        *df.columns, (F.col("_before") + row).alias(name))
+
+
 def hash_numbers(
     df: DataFrame, key: str, keys: Sequence[str] = (), name: str = "slot", total: str | None = None
 ) -> DataFrame:

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waitline import registry
-from waitline.functions.ordered import average_ranks, running_totals, score_bucket
+from waitline.functions.ordered import average_ranks, quantile_buckets, running_totals, score_bucket
 from waitline.operators import metrics as M
 from waitline.operators.bootstrap import draw_weights
 from waitline.operators.gates import checks
@@ -136,12 +139,88 @@ def _weighted_spearman(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return s.select(*keys, rho.alias("rho"))
 
 
+#: Blocks of the score axis per (scenario, fold, model), steps that are spread over the draws at a time.
+BLOCKS, STEPS = 64, 256
+
+
+def _weight_matrix(rows: pd.DataFrame, weights: pd.DataFrame, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """[project, draw + 1] how often each project occurs in each draw, absent means zero; the project of each row."""
+    place = {p: i for i, p in enumerate(weights["project"])}
+    dense = np.zeros((len(place), draws + 1), np.float64)
+    for i, (at, w) in enumerate(zip(weights["draws"], weights["times"], strict=True)):
+        dense[i, np.asarray(at) + 1] = w
+    return dense, rows["project"].map(place).to_numpy()
+
+
+def drawn_precision(rows: DataFrame, weights: DataFrame, draws: int) -> DataFrame:
+    """(scenario, fold, model, draw, ap) for every draw, folds with one class in a draw left out.
+
+    ``rows``: scenario, fold, model, project, score, is_slow; ``weights``: draw (from -1), project, weight.
+
+    Rows are counted per (score, project), and the score axis of each fold and model is cut into blocks that hold equal
+    scores together.  A task holds one block and, for the projects in it, their weights in all draws.  It first adds up
+    positives and rows for every draw; a running total over blocks gives what lies above a block, and a second pass
+    turns steps of the block into one partial sum for each draw.  Rows and draws meet only inside a task, a few steps at
+    a time; what is shuffled is blocks x draws and, for each block, the weights of its projects.
+    """
+    axis = ["scenario", "fold", "model"]
+    broken = F.when(F.col("score").isNull(), F.raise_error(F.lit("a row has no score"))).otherwise(F.col("score").cast("double"))
+    counted = rows.select(*axis, "project", broken.alias("score"), F.col("is_slow").cast("boolean").alias("_y")).groupBy(*axis, "score", "project").agg(
+        F.count_if("_y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    counts = written(quantile_buckets(written(counted, "scores"), axis, "score", BLOCKS, "block"), "score-blocks")
+    spread = written(weights.groupBy("project").agg(F.collect_list(F.struct("draw", "weight")).alias("w")).select(
+        "project", F.col("w.draw").alias("draws"), F.col("w.weight").alias("times")), "project-draws")
+    key = [*axis, "block"]
+    here = written(counts.select(*key, "project").distinct().join(spread, "project"), "block-weights")
+
+    def totals(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[*key, "draw", "pos", "n"])
+        dense, at = _weight_matrix(rows, weights, draws)
+        pos, n = (np.bincount(at, weights=rows[c], minlength=len(dense)) @ dense for c in ("pos", "n"))
+        return pd.DataFrame({**{c: rows[c].iloc[0] for c in key}, "draw": np.arange(-1, draws), "pos": pos, "n": n})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*key).schema)
+    total = written(counts.groupBy(*key).cogroup(here.groupBy(*key)).applyInPandas(totals, f"{kinds}, draw int, pos double, n double"), "block-totals")
+    above = W.partitionBy(*axis, "draw").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    carry = total.select(*key, "draw", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(c) for c in ("pos", "n")])
+    carry = carry.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("draw", "pos", "n"))).alias("c")).select(
+        *key, F.col("c.pos").alias("pos_above"), F.col("c.n").alias("n_above"))
+    # The carried totals travel as one more row of the block's weights.
+    here = here.unionByName(carry, allowMissingColumns=True).groupBy(*key)
+
+    def partial(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[*axis, "draw", "part"])
+        rows = rows.sort_values("score", ascending=False, kind="stable")
+        top = weights[weights["pos_above"].notna()].iloc[0]
+        dense, at = _weight_matrix(rows, weights[weights["pos_above"].isna()], draws)
+        pos_above, n_above, part = np.array(top["pos_above"]), np.array(top["n_above"]), np.zeros(draws + 1)
+        score, pos, n = (rows[c].to_numpy() for c in ("score", "pos", "n"))
+        first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        for k in range(0, len(first), STEPS):
+            ends = [*first[k:k + STEPS], first[k + STEPS] if k + STEPS < len(first) else len(score)]
+            w, cut = dense[at[ends[0]:ends[-1]]], np.array(ends[:-1]) - ends[0]
+            step_pos = np.add.reduceat(w * pos[ends[0]:ends[-1], None], cut, axis=0)
+            cum_pos = pos_above + np.cumsum(step_pos, axis=0)
+            cum_n = n_above + np.cumsum(np.add.reduceat(w * n[ends[0]:ends[-1], None], cut, axis=0), axis=0)
+            part += (step_pos * cum_pos / np.maximum(cum_n, 1)).sum(axis=0)
+            pos_above, n_above = cum_pos[-1], cum_n[-1]
+        return pd.DataFrame({**{c: rows[c].iloc[0] for c in axis}, "draw": np.arange(-1, draws), "part": part})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*axis).schema)
+    parts = counts.groupBy(*key).cogroup(here).applyInPandas(partial, f"{kinds}, draw int, part double")
+    sums = parts.groupBy(*axis, "draw").agg(F.sum("part").alias("part"))
+    whole = total.groupBy(*axis, "draw").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n")).where("_p > 0 and _p < _n")
+    return whole.join(sums, [*axis, "draw"]).select(*axis, "draw", (F.col("part") / F.col("_p")).alias("ap"))
+
+
 def paired_bootstrap(rows: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """T and I with intervals from one set of project draws shared by both scenarios.
 
-    ``rows``: scenario (A, B), fold, project, is_slow, p_nlr, p_no_project, contrib.  Scores are
-    counted per (fold, project, score) before draws multiply them; draw -1 takes every project once
-    and gives the point estimates through the same path.
+    ``rows``: scenario (A, B), fold, project, is_slow, p_nlr, p_no_project, contrib.  Draw -1 takes every
+    project once and gives the point estimates through the same path.  Of the projects, draws make
+    projects x draws rows; of the rows they make none (see ``drawn_precision``).
     """
     per = written(per_project(rows, ["scenario"]), "per-project")
     sides = per.groupBy("project").agg(F.count_distinct("scenario").alias("k")).where(F.col("k") != 2).limit(1).count()
@@ -156,10 +235,8 @@ def paired_bootstrap(rows: DataFrame, draws: int, seed: int, level: float = 0.95
     t = rho.groupBy("draw").agg(
         *[F.max(F.when(F.col("scenario") == s, F.col("rho"))).alias(f"rho_{s.lower()}") for s in "AB"])
 
-    counted = _both_models(rows, {"new": "p_no_project", "old": "p_nlr"}, ["scenario", "project"]).groupBy(
-        "scenario", "fold", "project", "model", "score", "is_slow").agg(F.count(F.lit(1)).alias("rows"))
-    drawn = written(counted, "scores").join(weights, "project").withColumn("w", F.col("rows") * F.col("weight"))
-    ap = fold_precision(drawn, "score", ["scenario", "draw", "model"], weight="w").groupBy("scenario", "draw").agg(
+    ap = drawn_precision(_both_models(rows, {"new": "p_no_project", "old": "p_nlr"}, ["scenario", "project"]), weights, draws)
+    ap = ap.groupBy("scenario", "draw").agg(
         (F.avg(F.when(F.col("model") == "new", F.col("ap"))) - F.avg(F.when(F.col("model") == "old", F.col("ap")))).alias("delta"))
     i = ap.groupBy("draw").agg(
         *[F.max(F.when(F.col("scenario") == s, F.col("delta"))).alias(f"delta_{s.lower()}") for s in "AB"])

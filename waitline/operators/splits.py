@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waitline.conf import DAY_US, Settings
 from waitline.functions.columns import instant, micros, seeded
-from waitline.functions.ordered import row_numbers, with_scalars
+from waitline.functions.ordered import positions, row_numbers, with_scalars
+from waitline.session import written
 
 
 def draw_order(rows: DataFrame, seed: int) -> DataFrame:
@@ -34,30 +37,59 @@ def scenario_a(rows: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def group_folds(rows: DataFrame, k: int, group: str = "project") -> DataFrame:
-    """(project, n, fold): largest group first, each to the lightest fold so far.
+def lightest_first(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[int]]]:
+    """(size, loads before, groups per fold) of each (size, number of groups), given in descending order of size.
 
-    The assignment is sequential by nature, over one (name, size) pair per group; the rows
-    themselves are only counted.  Persist the result: it is sensitive to small size changes.
+    Equal groups that always go to the lightest fold take the places of a merge: fold i offers its loads L_i, L_i + n,
+    L_i + 2n, ... and the smallest offers are taken first, of equal ones the lower fold.  How many each fold gets follows
+    from the highest offer taken, which is found by halving; nothing is done group by group.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    queue = sizes.agg(F.sort_array(F.collect_list(F.struct("n", group)), asc=False).alias("queue"))
-    start = F.struct(
-        F.array(*[F.lit(0).cast("long")] * k).alias("load"),
-        F.expr("cast(array() as array<int>)").alias("folds"),
-    )
+    loads, out = [0] * k, []
+    for n, groups in sizes:
+        below = lambda v: sum(max(0, -(-(v - load) // n)) for load in loads)  # noqa: E731, B023  offers less than v
+        low, high = min(loads), max(loads) + groups * n
+        while low < high:  # the largest v with at most ``groups`` offers below it
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if below(mid) <= groups else (low, mid - 1)
+        got = [max(0, -(-(low - load) // n)) for load in loads]
+        for i in range(k):
+            if sum(got) < groups and loads[i] + got[i] * n == low:
+                got[i] += 1
+        out.append((n, list(loads), got))
+        loads = [load + g * n for load, g in zip(loads, got, strict=True)]
+    return out
+
+
+#: Groups that one row of the table of places unfolds into.
+PLACES = 100_000
 
-    def place(state, item):
-        lightest = F.array_position(state["load"], F.array_min(state["load"])).cast("int")
-        load = F.transform(
-            state["load"], lambda v, i: F.when(i == lightest - 1, v + item["n"]).otherwise(v)
-        )
-        return F.struct(load.alias("load"), F.concat(state["folds"], F.array(lightest - 1)).alias("folds"))
 
-    placed = queue.withColumn("folds", F.aggregate("queue", start, place, lambda s: s["folds"]))
-    return placed.select(F.explode(F.arrays_zip("queue", "folds")).alias("z")).select(
-        F.col(f"z.queue.{group}").alias(group), F.col("z.queue.n").alias("n"), F.col("z.folds").cast("long").alias("fold")
-    )
+def group_folds(rows: DataFrame, k: int, group: str = "project") -> DataFrame:
+    """(project, n, fold): largest group first, each to the lightest fold so far; of equal sizes the last name first.
+
+    Only the distinct sizes and how many groups have each reach the driver, at most the square root of twice the rows.
+    Groups are numbered by ranges of (size, name) and meet the places of their size by number.  Persist the result: it is
+    sensitive to small size changes.
+    """
+    spark = rows.sparkSession
+    sizes = written(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    held = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("n")).collect()
+    runs, firsts = lightest_first([(r.n, r.groups) for r in held], k), [0, *accumulate(r.groups for r in held)]
+    table = spark.createDataFrame(
+        [(first, n, load, fold, got) for first, (n, load, each) in zip(firsts, runs) for fold, got in enumerate(each) if got],
+        "first long, n long, loads array<long>, fold int, got long")
+    blocks = table.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("got") - 1, F.lit(PLACES).cast("long"))))
+    blocks = blocks.repartition("n", "fold", "_first")
+    places = blocks.withColumn("_j", F.explode(F.sequence("_first", F.least(F.col("_first") + (PLACES - 1), F.col("got") - 1))))
+    # The number of a place is how many offers come before it: lower ones, and equal ones of lower folds.
+    offer = F.element_at("loads", F.col("fold") + 1) + F.col("_j") * F.col("n")
+    before = F.transform("loads", lambda load, i: F.greatest(
+        F.lit(0).cast("long"), F.ceil((offer - load) / F.col("n")) + F.when(
+            (i < F.col("fold")) & (offer >= load) & ((offer - load) % F.col("n") == 0), 1).otherwise(0)))
+    number = F.aggregate(before, F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = places.select((F.col("first") + number).alias("_no"), F.col("fold").cast("long").alias("fold"))
+    numbered = positions(sizes, [F.desc("n"), F.desc_nulls_last(group)], "_at")
+    return numbered.join(placed, F.col("_at") == F.col("_no")).select(group, "n", "fold")
 
 
 def scenario_b(rows: DataFrame, settings: Settings) -> DataFrame:

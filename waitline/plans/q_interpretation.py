@@ -247,7 +247,7 @@ def x9_precision_delta(spark, sf):
     return X.precision_delta(pair(spark, sf), "p_no_project", "p_nlr", ["scenario"]).select("scenario", *r9("delta"))
 
 
-DRAWS = 20
+DRAWS = 2000
 DRAW_SQL = f"""
 pg as (select project, row_number() over (order by md5(project), project) - 1 as slot, count(*) over () as n from (select distinct project from pair)),
 dw as (select draw, p.project from (select d.draw, ('0x' || substr(md5(concat_ws(':', '{SETTINGS_T.seed}', d.draw, g.slot)), 1, 8))::bigint % g.n as pick
