@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from waitline.conf import Settings
 from waitline.functions.columns import instant
+from waitline.functions.ordered import join_null_safe
 
 
 def in_window(subjects: DataFrame, settings: Settings) -> DataFrame:
@@ -34,38 +35,63 @@ def degeneracy(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return r.withColumn("pass", F.col("never").between(0.10, 0.35) & F.col("slow").between(0.05, 0.60))
 
 
-def contamination(subjects: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Share of subjects with a post-open event of each type: how wrong the current state would be."""
-    opened = subjects.select("id", F.col("created_at").alias("opened_at"))
-    hit = timeline.join(opened, "id").where(F.col("created_at") > F.col("opened_at"))
-    # One row per (type, id) before counting, so a flood of events on one id is combined early.
-    per = hit.groupBy("event_type", "id").agg(F.lit(1).alias("one")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = subjects.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return per.select("event_type", "n", (F.col("n") / total).alias("share"))
+def by_level(df: DataFrame, keys: Sequence[str], *more: str) -> GroupedData:
+    """Groups of every key and of all rows at once, in one scan; without keys only the latter.  ``more`` splits both."""
+    if not keys:
+        return df.groupBy(*more)
+    return df.groupingSets([[F.col(c) for c in (*keys, *more)], [F.col(c) for c in more]], *keys, *more)
+
+
+def level(keys: Sequence[str]) -> list[Column]:
+    """Tells the rows of ``by_level`` apart, as a key may be null itself: each key's, or all."""
+    return [F.when(F.grouping(keys[0]) == 1, "all").otherwise("each").alias("level")] if keys else []
+
 
+def contamination(subjects: DataFrame, timeline: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Share of subjects with a post-open event of each type: how wrong the current state would be.
 
-def diff_rates(diffs: DataFrame, commit_counts: DataFrame) -> DataFrame:
-    """Share of subjects with several commits and with an exactly known at-open size."""
-    j = commit_counts.join(diffs, "id", "left")
-    return j.agg(
-        F.avg((F.col("n_commits") > 1).cast("double")).alias("multi_commit_rate"),
+    With ``keys`` the rates of each key and, as ``level`` says, of all together.
+    """
+    opened = subjects.select("id", *keys, F.col("created_at").alias("opened_at"))
+    events = timeline.select("id", "event_type", F.col("created_at").alias("event_at"))
+    hit = events.join(opened, "id").where(F.col("event_at") > F.col("opened_at"))
+    # One row per (type, id) before counting, so a flood of events on one id is combined early.
+    per = by_level(hit.groupBy(*keys, "event_type", "id").agg(F.lit(1).alias("one")), keys, "event_type").agg(
+        *level(keys), F.count(F.lit(1)).alias("n"))
+    total = by_level(subjects, keys).agg(*level(keys), F.count(F.lit(1)).alias("_all"))
+    if not keys:
+        return per.select("event_type", "n", (F.col("n") / total.scalar()).alias("share"))
+    both = join_null_safe(per, total, [*keys, "level"])
+    return both.select("level", *keys, "event_type", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def diff_rates(diffs: DataFrame, commit_counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Share of subjects with several commits and with an exactly known at-open size; ``keys`` are in ``commit_counts``."""
+    j = commit_counts.join(diffs.select("id", "diff_is_exact"), "id", "left")
+    return by_level(j, keys).agg(
+        *level(keys), F.avg((F.col("n_commits") > 1).cast("double")).alias("multi_commit_rate"),
         F.avg(F.coalesce("diff_is_exact", F.lit(False)).cast("double")).alias("diff_exact_rate"))
 
 
-def warm_up(history: DataFrame, settings: Settings, early_days: int = 90) -> DataFrame:
+def warm_up(history: DataFrame, settings: Settings, early_days: int = 90, keys: Sequence[str] = ()) -> DataFrame:
     """Rows open when the window starts, and early rows whose actor already had history in the same project."""
     start = instant(settings.window_start)
     end = F.expr(f"timestampadd(DAY, {early_days}, _start)")
     h = history.withColumn("_start", start)
-    old = h.where(F.col("created_at") < F.col("_start"))
-    open_ = old.where(F.col("closed_at").isNull() | (F.col("closed_at") > F.col("_start")))
-    early = h.where((F.col("created_at") >= F.col("_start")) & (F.col("created_at") < end))
-    veterans = old.select("project", "actor_login").where("actor_login is not null").distinct().withColumn("veteran", F.lit(1))
-    share = early.join(veterans, ["project", "actor_login"], "left").agg(F.avg(F.coalesce("veteran", F.lit(0)).cast("double")).alias("s"))
-    return open_.agg(F.count(F.lit(1)).alias("open_at_window_start")).withColumn("early_actors_with_history", share.scalar())
-
-
-def mutability(history: DataFrame, status: str = "CONTRIBUTOR") -> DataFrame:
+    before = F.col("created_at") < F.col("_start")
+    open_ = before & (F.col("closed_at").isNull() | (F.col("closed_at") > F.col("_start")))
+    early = (F.col("created_at") >= F.col("_start")) & (F.col("created_at") < end)
+    veterans = h.where(before & F.col("actor_login").isNotNull()).select("project", "actor_login").distinct().withColumn("veteran", F.lit(1.0))
+    # Only what is counted goes on; rows without an actor have no veteran to meet and stay out of the join.
+    flags = h.select("project", *[k for k in keys if k != "project"], "actor_login", open_.alias("_open"), early.alias("_early")).where("_open or _early")
+    told = flags.where("_early and actor_login is not null").join(veterans, ["project", "actor_login"], "left")
+    rest = flags.where("not _early or actor_login is null").withColumn("veteran", F.lit(None).cast("double"))
+    return by_level(told.unionByName(rest), keys).agg(
+        *level(keys), F.count_if("_open").alias("open_at_window_start"),
+        F.avg(F.when(F.col("_early"), F.coalesce("veteran", F.lit(0.0)))).alias("early_actors_with_history"))
+
+
+def mutability(history: DataFrame, status: str = "CONTRIBUTOR", keys: Sequence[str] = ()) -> DataFrame:
     """Share of a project's actors whose first known status there is one that only later rows could have earned.
 
     The first non-null status in (created_at, id) order; an ordered minimum, so no window is needed.
@@ -73,18 +99,18 @@ def mutability(history: DataFrame, status: str = "CONTRIBUTOR") -> DataFrame:
     known = F.when(F.col("association_current").isNotNull(), F.struct("created_at", "id"))
     first = history.where("actor_login is not null").groupBy("project", "actor_login").agg(
         F.min_by("association_current", known).alias("first_status"))
-    return first.agg(
-        F.count(F.lit(1)).alias("n_actors"), F.count_if(F.col("first_status") == status).alias("n_status"),
+    return by_level(first, keys).agg(
+        *level(keys), F.count(F.lit(1)).alias("n_actors"), F.count_if(F.col("first_status") == status).alias("n_status"),
         F.avg(F.coalesce(F.col("first_status") == status, F.lit(False)).cast("double")).alias("rate"))
 
 
-def cost(manifest: DataFrame) -> DataFrame:
+def cost(manifest: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Points and bytes per collected row over the rich pages."""
-    t = manifest.where((F.col("tier") == 2) & (F.col("pr_count") > 0)).agg(
-        F.sum(F.coalesce("rate_limit_cost", F.lit(0))).alias("points"), F.sum("pr_count").alias("rows"),
+    t = by_level(manifest.where((F.col("tier") == 2) & (F.col("pr_count") > 0)), keys).agg(
+        *level(keys), F.sum(F.coalesce("rate_limit_cost", F.lit(0))).alias("points"), F.sum("pr_count").alias("rows"),
         F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"))
     return t.select(
-        "points", "rows", (F.col("points") / F.nullif("rows", F.lit(0)) * 1000).alias("points_per_1k"),
+        *(["level", *keys] if keys else []), "points", "rows", (F.col("points") / F.nullif("rows", F.lit(0)) * 1000).alias("points_per_1k"),
         (F.col("bytes") / F.nullif("rows", F.lit(0))).alias("bytes_per_row"))
 
 

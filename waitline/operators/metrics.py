@@ -9,7 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waitline.functions.columns import seeded
-from waitline.functions.ordered import join_null_safe, running_totals, score_bucket
+from waitline.functions.ordered import join_null_safe, quantile_buckets, running_totals
+from waitline.session import written
+
+#: Blocks of the score axis per slice.
+BLOCKS = 256
 
 
 def precision_per_project(
@@ -43,16 +47,20 @@ def score_steps(
 ) -> DataFrame:
     """Per distinct score, from the top: positives, rows and their running totals.
 
-    ``bucket`` splits the score axis over tasks (default: equal widths over [0, 1]).  A missing score
-    cannot be ranked and fails the job.
+    ``bucket`` splits the score axis over tasks; by default splitters come from a quantile sketch per
+    keys, so that a skewed score splits as evenly as any other.  A missing score cannot be ranked and
+    fails the job.
     """
     ranked = F.when(F.col(score).isNull(), F.raise_error(F.lit(f"a row has no {score}"))).otherwise(F.col(score))
     one = F.col(weight) if weight else F.lit(1)
     counts = scored.withColumn(score, ranked).groupBy(*keys, score).agg(
         F.sum(F.when(F.col(outcome).cast("boolean"), one).otherwise(F.lit(0))).alias("pos"), F.sum(one).alias("n")
     )
-    cut = score_bucket(F.col(score)) if bucket is None else bucket
-    return running_totals(counts, keys, score, ["pos", "n"], cut, descending=True)
+    if bucket is not None:
+        return running_totals(counts, keys, score, ["pos", "n"], bucket, descending=True)
+    # Written: the sketch, the sums per bucket and the steps all read the counts.
+    cut = quantile_buckets(written(counts, "score-counts"), keys, score, BLOCKS, "_cut")
+    return running_totals(cut, keys, score, ["pos", "n"], F.col("_cut"), descending=True).drop("_cut")
 
 
 def average_precision(

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from waitline.conf import DAY_US, Settings
 from waitline.functions.columns import as_col, days_between, instant, iso_week, micros, nearest, seeded, seeded_int
-from waitline.functions.ordered import hash_numbers, row_numbers, running_totals, score_bucket, with_scalars
+from waitline.functions.ordered import hash_numbers, quantile_buckets, row_numbers, running_totals, with_scalars
+from waitline.operators.metrics import BLOCKS
 
 # The exhaustive wait buckets; the last three are the stalled ones.
 WAIT_BUCKETS = (
@@ -80,11 +81,13 @@ def outcome() -> Column:
 def ranked(rows: DataFrame, at: Column, top: int | None = None) -> DataFrame:
     """Each project's waiting subjects by risk, then age, then number.  ``top`` keeps a top-k report.
 
-    The full list is numbered in two levels, over buckets of the score; a top-k is cut in every partition first.
+    The full list is numbered in two levels, over buckets of the score that a quantile sketch sets for each project;
+    a top-k is cut in every partition first.
     """
     order = [F.desc("p_hat"), "created_at", "number"]
     if top is None:
-        out = row_numbers(awaiting(rows, at), ["project"], order, -score_bucket(F.col("p_hat")), "rank")
+        cut = quantile_buckets(awaiting(rows, at), ["project"], "p_hat", BLOCKS, "_cut")
+        out = row_numbers(cut, ["project"], order, -F.col("_cut"), "rank")
     else:
         w = W.partitionBy("project").orderBy(*order)
         out = awaiting(rows, at).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -119,7 +122,8 @@ def find(rows: DataFrame, references: DataFrame) -> DataFrame:
 def rank_in_project(rows: DataFrame) -> DataFrame:
     """(id, share_lower, n_others): share of the project's other rows with a strictly lower score."""
     counts = rows.groupBy("project", "p_hat").agg(F.count(F.lit(1)).alias("n"))
-    below = running_totals(counts, ["project"], "p_hat", ["n"], score_bucket(F.col("p_hat")))
+    cut = quantile_buckets(counts, ["project"], "p_hat", BLOCKS, "_cut")
+    below = running_totals(cut, ["project"], "p_hat", ["n"], F.col("_cut"))
     total = counts.groupBy("project").agg(F.sum("n").alias("_all"))
     table = below.join(total, "project").select(
         "project", "p_hat", (F.col("cum_n") - F.col("n")).alias("lower"), (F.col("_all") - 1).alias("n_others"))
@@ -269,7 +273,8 @@ def game_hit_rate(rows: DataFrame, size: int = 4) -> DataFrame:
         "project", "week", "n_fine", "is_slow", "p_hat",
         F.struct(F.col("p_hat"), (-F.col("number")).alias("minus")).alias("place"),
         (~F.col("is_slow")).cast("int").alias("fine"))
-    below = running_totals(members, ["project", "week"], "place", ["fine"], score_bucket(F.col("p_hat")))
+    members = quantile_buckets(members, ["project", "week"], "p_hat", BLOCKS, "_cut")
+    below = running_totals(members, ["project", "week"], "place", ["fine"], F.col("_cut"))
     ways = lambda c: [F.greatest(F.col(c) - i, F.lit(0)).cast("double") for i in range(size - 1)]
     chance = F.lit(1.0)
     for top, bottom in zip(ways("cum_fine"), ways("n_fine")):

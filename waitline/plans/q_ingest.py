@@ -12,6 +12,7 @@ from waitline.plans.registry import Book
 from waitline.session import scratch_path, written
 from waitline.sources import pages as P
 from waitline.sources import tables as S
+from waitline.sources.parse import TABLES, parse
 from waitline.streaming import ingest as I
 
 book = Book()
@@ -233,25 +234,30 @@ def s21_coerce_times(spark, sf):
     return P.coerce_times(raw_).select("id", us("made_at", "us"), "text")
 
 
-@book.query("s22_project_meta", o.with_(o.META, """
-sz as (select n_name as project, l_returnflag as name, floor(sum(l_quantity))::bigint as size from lineitem join orders on l_orderkey = o_orderkey
-   join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all),
-dm as (select project, name from (select *, row_number() over (partition by project order by size desc, name) as rn from sz) where rn = 1)""") + """
-select project, cast(p_us as varchar) as p_us, owner_type, dm.name as language_dominant, default_branch, n_assignable_users, has_codeowners, has_pr_template, has_contributing,
-  n_ci_workflows from meta left join dm using (project)""")
-def s22_project_meta(spark, sf):
+def meta_texts(spark, sf):
+    """One raw metadata text per project."""
     t = OrderTables(spark, sf)
     place = t.history().select("id", "project")
     sizes = t._t("lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("name"), "l_quantity").join(place, "id").groupBy(
         "project", "name").agg(F.sum("l_quantity").cast("long").alias("size"))
     langs = sizes.groupBy("project").agg(F.sort_array(F.collect_list(F.struct("name", "size"))).alias("ls"))
-    texts = t.project_meta().drop("language_dominant").join(langs, "project", "left").selectExpr(
+    return t.project_meta().drop("language_dominant").join(langs, "project", "left").selectExpr(
         "to_json(named_struct('data', named_struct('repository', named_struct('nameWithOwner', project, 'createdAt', date_format(created_at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"),"
         " 'owner', named_struct('__typename', owner_type), 'defaultBranchRef', named_struct('name', default_branch),"
         " 'languages', named_struct('edges', transform(ls, x -> named_struct('size', x.size, 'node', named_struct('name', x.name)))),"
         " 'assignableUsers', named_struct('totalCount', n_assignable_users), 'codeowners_root', if(has_codeowners, named_struct('login', 'x'), null),"
         " 'pr_template_upper', if(has_pr_template, named_struct('login', 'x'), null), 'contributing_md', if(has_contributing, named_struct('login', 'x'), null),"
         " 'workflows', if(n_ci_workflows = 0, null, named_struct('entries', transform(sequence(1, n_ci_workflows), i -> named_struct('name', cast(i as string))))))))) as value")
+
+
+@book.query("s22_project_meta", o.with_(o.META, """
+sz as (select n_name as project, l_returnflag as name, floor(sum(l_quantity))::bigint as size from lineitem join orders on l_orderkey = o_orderkey
+   join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all),
+dm as (select project, name from (select *, row_number() over (partition by project order by size desc, name) as rn from sz) where rn = 1)""") + """
+select project, cast(p_us as varchar) as p_us, owner_type, dm.name as language_dominant, default_branch, n_assignable_users, has_codeowners, has_pr_template, has_contributing,
+  n_ci_workflows from meta left join dm using (project)""")
+def s22_project_meta(spark, sf):
+    texts = meta_texts(spark, sf)
     return P.project_meta_rows(texts).select(
         "project", us("created_at", "p_us"), "owner_type", "language_dominant", "default_branch", "n_assignable_users",
         "has_codeowners", "has_pr_template", "has_contributing", F.col("n_ci_workflows").cast("long").alias("n_ci_workflows"))
@@ -284,13 +290,41 @@ def s24_write_entities(spark, sf):
     return S.load_entity(spark, root, "responses", rows.schema).groupBy("project", flag).agg(F.count("*").alias("n"))
 
 
+@book.query("s2_parse", o.with_(RAW, DIFF) + """
+select (select count(*) from pg) - (select count(*) from pg join nat using (project) where tier = 2 and page = 0 and k % 7 = 3) as pages_read,
+  (select count(*) from pg join nat using (project) where tier = 2 and page = 0 and k % 7 = 3) + (select count(*) from nat where k % 7 = 4) as pages_bad,
+  (select count(*) from s1) + (select count(*) from s2) as unique_subjects, (select count(*) from s1) as n_history, (select count(*) from s2) as n_subjects,
+  (select count(*) from s2 join ln using (id) where l_returnflag = 'R') as n_reviews, (select count(*) from s2 join ln using (id) where l_returnflag = 'A') as n_thread_comments,
+  (select count(*) from s2 join ln using (id) where l_returnflag = 'N') as n_issue_comments, (select count(*) from s2 join ln using (id)) as n_timeline,
+  (select count(*) from s2 join ln using (id)) as n_commits, (select count(*) from nat) as n_project_meta,
+  'unreadable or altered pages;error pages;order violations;mixed query versions' as failures""")
+def s2_parse(spark, sf):
+    """Manifest and pages to eight tables and their report, from one call."""
+    folder, manifest = raw(OrderTables(spark, sf))
+    report = parse(spark, manifest, folder, scratch_path(spark, "parsed"), FOLDERS, meta_texts(spark, sf))
+    return report.select("pages_read", "pages_bad", "unique_subjects", *[f"n_{t}" for t in TABLES], F.array_join("failures", ";").alias("failures"))
+
+
+@book.query("s2_parsed_tables", o.with_(RAW) + """
+select project, 'history' as entity, count(*) as n from s1 group by project union all select project, 'subjects', count(*) from s2 group by project
+union all select project, 'commits', count(*) from s2 join ln using (id) group by project""")
+def s2_parsed_tables(spark, sf):
+    """Rows per project of three of the tables, read back from disk."""
+    folder, manifest = raw(OrderTables(spark, sf))
+    root = scratch_path(spark, "parsed")
+    parse(spark, manifest, folder, root, FOLDERS)
+    read = [spark.read.parquet(f"{root}/{e}").groupBy("project").agg(F.count("*").alias("n")).select("project", F.lit(e).alias("entity"), "n")
+            for e in ("history", "subjects", "commits")]
+    return S.union_all(read)
+
+
 @book.query("s25_write_features", o.with_(o.SUBJECTS, o.KEPT, o.MODEL_ROWS) + """
 select count(*) as n, '1' as version from mrows where project in (select project from kept)""")
 def s25_write_features(spark, sf):
     root = scratch_path(spark, "features")
     S.write_features(OrderTables(spark, sf).feature_table(), root, "1")
-    n = spark.read.parquet(f"{root}/features").agg(F.count("*").alias("n"))
-    return n.withColumn("version", spark.read.schema("built_at string, version string").json(f"{root}/features_build").select("version").scalar())
+    table = spark.read.parquet(f"{root}/features")
+    return table.agg(F.count("*").alias("n")).withColumn("version", F.lit(S.build_facts(table)["version"]))
 
 
 @book.query("s26_experiment_log", o.with_(o.SCENARIOS) + """

@@ -192,6 +192,64 @@ def g8_collection_cost(spark, sf):
         F.round("bytes_per_row", 6).alias("bytes_per_row"))
 
 
+# --- the gate of every project and of all together, in one scan each ------------------------------
+
+LEVEL = "case when grouping(project) = 1 then 'all' else 'each' end as level, project"
+BY = ["project"]
+
+
+@book.query("g5_contamination_levels", o.with_(o.SUBJECTS, o.TIMELINE) + f"""
+, ins as (select * from subj where c_us between {o.WSTART} and {o.WEND}),
+hit as (select {LEVEL}, event_type, count(distinct id) as n from (
+    select ins.project, tl.event_type, ins.id from tl join ins on tl.id = ins.id where e_us > c_us) group by grouping sets ((project, event_type), (event_type))),
+tot as (select {LEVEL}, count(*) as m from ins group by grouping sets ((project), ()))
+select hit.level, hit.project, event_type, n, round(n / m, 9) as share from hit join tot on hit.level = tot.level and hit.project is not distinct from tot.project""")
+def g5_contamination_levels(spark, sf):
+    t = OrderTables(spark, sf)
+    return G.contamination(G.in_window(t.subjects(), t.settings), t.timeline(), BY).select("level", "project", "event_type", "n", *r9("share"))
+
+
+@book.query("g5_diff_rates_levels", o.with_(o.SUBJECTS) + f"""
+select {LEVEL}, round(avg(case when n > 1 then 1.0 else 0.0 end), 9) as multi_commit_rate,
+  round(avg(case when n = 1 and e = 1 then 1.0 else 0.0 end), 9) as diff_exact_rate
+from (select s.id, s.project, count(l_orderkey) as n, count(*) filter (epoch_us(l_shipdate) <= c_us) as e
+      from subj s left join lineitem on l_orderkey = s.number group by s.id, s.project) group by grouping sets ((project), ())""")
+def g5_diff_rates_levels(spark, sf):
+    t = OrderTables(spark, sf)
+    n = t.commits().groupBy("id").agg(F.count("*").alias("n"))
+    counts = t.subjects().select("id", "project").join(n, "id", "left").select("id", "project", F.coalesce("n", F.lit(0)).alias("n_commits"))
+    return G.diff_rates(commits_at_open(t.subjects(), t.commits()), counts, BY).select("level", "project", *r9("multi_commit_rate", "diff_exact_rate"))
+
+
+@book.query("g6_warm_up_levels", o.with_(o.SUBJECTS) + f"""
+select {LEVEL}, count(*) filter (c_us < {o.WSTART} and (x_us is null or x_us > {o.WSTART})) as open_at_window_start,
+  round(avg(case when exists (select 1 from subj v where v.c_us < {o.WSTART} and v.project = subj.project and v.actor_login = subj.actor_login) then 1.0 else 0.0 end)
+        filter (c_us >= {o.WSTART} and c_us < {o.WSTART} + 90 * {o.DAY}), 9) as early_actors_with_history
+from subj group by grouping sets ((project), ())""")
+def g6_warm_up_levels(spark, sf):
+    t = OrderTables(spark, sf)
+    return G.warm_up(t.history(), t.settings, keys=BY).select("level", "project", "open_at_window_start", *r9("early_actors_with_history"))
+
+
+@book.query("g7_mutability_levels", o.with_(o.SUBJECTS) + f"""
+select {LEVEL}, count(*) as n_actors, count(*) filter (s = 'CONTRIBUTOR') as n_status,
+  round(avg(case when s = 'CONTRIBUTOR' then 1.0 else 0.0 end), 9) as rate
+from (select project, actor_login, (array_agg(association_current order by c_us, id) filter (association_current is not null))[1] as s
+      from subj where actor_login is not null group by project, actor_login) group by grouping sets ((project), ())""")
+def g7_mutability_levels(spark, sf):
+    return G.mutability(OrderTables(spark, sf).history(), keys=BY).select("level", "project", "n_actors", "n_status", *r9("rate"))
+
+
+@book.query("g8_cost_levels", o.with_(o.ORDERS, o.MANIFEST) + f"""
+select level, project, points, n_rows, round(points / n_rows * 1000, 6) as points_per_1k, round(bytes / n_rows, 6) as bytes_per_row
+from (select {LEVEL}, sum(coalesce(rate_limit_cost, 0))::bigint as points, sum(pr_count)::bigint as n_rows, sum(bytes)::bigint as bytes
+      from man where tier = 2 and pr_count > 0 group by grouping sets ((project), ()))""")
+def g8_cost_levels(spark, sf):
+    return G.cost(OrderTables(spark, sf).manifest(), BY).select(
+        "level", "project", "points", F.col("rows").alias("n_rows"), F.round("points_per_1k", 6).alias("points_per_1k"),
+        F.round("bytes_per_row", 6).alias("bytes_per_row"))
+
+
 # --- distributions -------------------------------------------------------------------------------
 
 @book.query("e1_definition_table", o.with_(ALL_LABELS, DEF_SQL) + """
