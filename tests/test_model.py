@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -47,30 +48,55 @@ def test_attribution_adds_up_to_the_log_odds(spark, fitted):
     assert D.logit_gap(e.withColumn("score", F.col("p_hat"))).first().gap < 1e-9
 
 
-def test_attribution_equals_enumeration_of_coalitions():
-    """Path-dependent Shapley values by brute force over subsets of three features."""
-    leaves = [(1.0, [(0, -math.inf, 0.5, None, 0.4)]),
-              (2.0, [(0, 0.5, math.inf, None, 0.6), (1, -math.inf, 0.0, None, 0.3)]),
-              (-3.0, [(0, 0.5, math.inf, None, 0.6), (1, 0.0, math.inf, None, 0.7), (2, -math.inf, math.inf, frozenset({1.0}), 0.2)]),
-              (5.0, [(0, 0.5, math.inf, None, 0.6), (1, 0.0, math.inf, None, 0.7), (2, -math.inf, math.inf, frozenset({0.0, 2.0}), 0.8)])]
-
-    def met(cell, row):
-        f, lo, hi, cats, _ = cell
-        return row[f] in cats if cats is not None else lo < row[f] <= hi
-
-    def value(known, row):
-        return sum(v * math.prod((1.0 if met(c, row) else 0.0) if c[0] in known else c[4] for c in cells) for v, cells in leaves)
-
-    rows = np.array([[0.1, 1.0, 1.0], [0.9, -1.0, 0.0], [0.9, 1.0, 1.0], [0.9, 1.0, 2.0]])
-    got = T.attribute(rows, leaves)
-    for r, row in enumerate(rows):
-        for i in range(3):
-            others, want = [j for j in range(3) if j != i], 0.0
-            for k in range(3):
+def random_trees(r, trees, depth, features, kinds):
+    """Flat arrays of random trees; features repeat on paths, one is categorical."""
+    left, right, feature, threshold, categories, value, cover, root = [], [], [], [], [], [], [], []
+
+    def grow(d, n):
+        at = len(left)
+        for a, v in ((left, -1), (right, -1), (feature, -1), (threshold, math.nan), (categories, None), (value, r.uniform(-2, 2)), (cover, float(n))):
+            a.append(v)
+        if d and n > 1 and r.random() < 0.9:
+            feature[at] = r.randrange(features)
+            if feature[at] == 0:
+                categories[at] = np.array(r.sample(range(kinds), r.randint(1, kinds - 1)), float)
+            else:
+                threshold[at] = r.choice([-0.5, 0.0, 0.5])
+            less = r.randint(1, n - 1)
+            left[at], right[at] = grow(d - 1, less), grow(d - 1, n - less)
+        return at
+
+    for _ in range(trees):
+        root.append(grow(depth, 100))
+    return T.Trees(*map(np.array, (root, left, right, feature, threshold)), categories, np.array(value), np.array(cover))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_attribution_equals_enumeration_of_coalitions(seed):
+    """Path-dependent Shapley values by brute force over subsets of four features."""
+    r, n = random.Random(seed), 4
+    trees = random_trees(r, 3, 5, n, 3)
+    rows = np.array([[r.randrange(3), *(r.choice([-1.0, -0.5, 0.2, 0.5, 0.7]) for _ in range(n - 1))] for _ in range(7)])
+
+    def value(known, row, at):
+        if trees.left[at] < 0:
+            return trees.value[at]
+        f, cats, kids = trees.feature[at], trees.categories[at], (trees.left[at], trees.right[at])
+        if f in known:
+            goes = row[f] in cats if cats is not None else row[f] <= trees.threshold[at]
+            return value(known, row, kids[0] if goes else kids[1])
+        return sum(trees.cover[k] / trees.cover[at] * value(known, row, k) for k in kids)
+
+    got = T.attribute(rows, trees)
+    assert T.base_value(trees) == pytest.approx(sum(value(set(), rows[0], k) for k in trees.root))
+    for at, row in enumerate(rows):
+        whole = lambda known: sum(value(known, row, k) for k in trees.root)  # noqa: E731, B023
+        for i in range(n):
+            others, want = [j for j in range(n) if j != i], 0.0
+            for k in range(n):
                 for s in itertools.combinations(others, k):
-                    w = math.factorial(k) * math.factorial(2 - k) / math.factorial(3)
-                    want += w * (value({*s, i}, row) - value(set(s), row))
-            assert got[r, i] == pytest.approx(want)
+                    want += math.factorial(k) * math.factorial(n - 1 - k) / math.factorial(n) * (whole({*s, i}) - whole(set(s)))
+            assert got[at, i] == pytest.approx(want)
 
 
 TRI = "project string, id string, number long, created_at timestamp, closed_at timestamp, first_response_at timestamp, p_hat double, is_slow boolean, url string, title string"
