@@ -114,22 +114,3 @@ def numbered(df: DataFrame, group: list[str], cell: Column, order: list[str], na
         offsets = F.broadcast(offsets)
     return ranked.join(offsets, [*names, "_cell"]).select(
         *df.columns, (F.col("_before") + F.col("_row") - 1).cast("long").alias(name))
-
-
-def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the gapless position from 0 in the total order ``order``, as a long ``name``.  The result is a written table.
-
-    The order must tell any two rows apart: then no run of equal rows has to lie in one task, however the values are
-    spread.  Rows are cut into ranges, sorted and written; how many rows lie before a range is a sum over one count
-    for each range, so that the table of offsets has as many rows as the shuffle has partitions.
-    """
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    held = written(cut.withColumn("_at", F.monotonically_increasing_id()), name.strip("_") + "-order")
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return held.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_before") + row).alias(name))

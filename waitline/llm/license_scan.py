@@ -101,7 +101,7 @@ class Matcher:
         self.bounds = [(len(g) * ratio - 1e-9, len(g) / ratio + 1e-9) for _, _, g in self.templates]
 
     def best(self, grams: set) -> tuple[float, int, str] | None:
-        """The highest coefficient at or above the threshold; the first template of equal ones."""
+        """The highest coefficient at or above the threshold; the first template of equal ones.  Sizes out of bounds are not compared."""
         near = [(dice(grams, g), -k, name) for (k, name, g), (low, high) in zip(self.templates, self.bounds, strict=True) if low <= len(grams) <= high]
         top = max(near, default=None)
         return (top[0], -top[1], top[2]) if top and top[0] >= self.threshold else None

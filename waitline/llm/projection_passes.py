@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waitline.llm.common import positions
+from waitline.functions.ordered import positions
 from waitline.llm.components import components
 from waitline.session import written
 

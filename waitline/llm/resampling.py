@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waitline.llm.common import SLICE_BYTES, positions
+from waitline.functions.ordered import positions
+from waitline.llm.common import SLICE_BYTES
 from waitline.session import written
 
 #: Longest run of words that is a feature, buckets, seed of the noise, words a drawn document has at least, per cent drawn.
