@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waitline.sources import pages as P
 from waitline.sources import tables as S
+from waitline.sources.parse import TABLES, parse
 from waitline.streaming import ingest as I
 
 
@@ -86,8 +87,73 @@ def test_interrupted_ingest_adds_nothing_twice(spark, tmp_path):
     more.write.mode("append").parquet(src)
     I.ingest(spark, src, schema, sink, chk)
     I.ingest(spark, src, schema, sink, chk)
-    landed = spark.read.parquet(sink)
+    landed = I.landed(spark, sink)
     assert landed.count() == 80 and landed.select("id").distinct().count() == 80
+    assert {r.page_index for r in landed.where("id = 'i41'").collect()} == {4}
+
+
+def pages_of(spark, *rows):
+    return spark.createDataFrame([("p", 1, i, page, f"{i}@{page}") for i, page in rows], I.SCHEMA)
+
+
+def state(spark, sink):
+    return {r.id: r.page_index for r in I.landed(spark, sink).collect()}
+
+
+def test_log_keeps_the_earliest_page_whatever_the_order(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    assert state(spark, sink) == {}
+    I.land(pages_of(spark, ("a", 7), ("b", 3), ("b", 5)), sink, "b1")
+    I.land(pages_of(spark, ("a", 2), ("b", 9), ("c", 1)), sink, "b2")
+    I.land(pages_of(spark, ("a", 1), ("d", 1)), sink, "b2")  # replayed after its commit
+    assert state(spark, sink) == {"a": 2, "b": 3, "c": 1}
+
+
+def test_what_is_not_committed_is_not_read(spark, tmp_path, monkeypatch):
+    sink = str(tmp_path / "sink")
+    I.land(pages_of(spark, ("a", 7)), sink, "b1")
+    pages_of(spark, ("a", 1), ("x", 1)).write.partitionBy("project").parquet(f"{sink}/data/b2-dead")  # a crash before the commit
+    assert state(spark, sink) == {"a": 7}
+    I.land(pages_of(spark, ("a", 1), ("x", 1)), sink, "b2")
+    assert state(spark, sink) == {"a": 1, "x": 1}
+
+
+def test_compaction_merges_by_tier_and_changes_nothing(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    want = {}
+    for n in range(9):
+        rows = [(f"k{(n * 7 + j) % 11}", (n * 5 + j) % 13) for j in range(4)]
+        for k, page in rows:
+            want[k] = min(want.get(k, 99), page)
+        before = {e.path for e in I.live_entries(spark, sink)}
+        I.land(pages_of(spark, *rows), sink, f"b{n}")
+        assert before < {e.path for e in I.live_entries(spark, sink)}  # a batch rewrites nothing
+        I.compact(spark, sink, fan=3)
+        assert state(spark, sink) == want
+    assert [e.tier for e in I.live_entries(spark, sink)] == [2]
+
+
+def test_parse_writes_eight_tables_and_reports_them(spark, collected, tmp_path):
+    pages_dir, manifest = collected
+    root = str(tmp_path / "out")
+    meta = spark.createDataFrame([('{"data": {"repository": {"nameWithOwner": "acme/tool", "id": "R"}}}',)], "value string")
+    r = parse(spark, manifest, pages_dir, root, meta=meta).first()
+    assert (r.pages_read, r.pages_bad, r.rows_seen, r.unique_subjects, r.duplicate_rows, r.error_pages) == (3, 1, 5, 4, 1, 2)
+    assert (r.n_history, r.n_subjects, r.n_reviews, r.n_thread_comments, r.n_commits, r.n_project_meta) == (3, 1, 2, 1, 1, 1)
+    assert "written rows do not add up" not in r.failures
+    for name in TABLES:
+        if r[f"n_{name}"]:
+            assert spark.read.parquet(f"{root}/{name}").count() == r[f"n_{name}"]
+    with pytest.raises(RuntimeError, match="order violations"):
+        parse(spark, manifest, pages_dir, str(tmp_path / "strict"), strict=True)
+
+
+def test_build_facts_travel_in_the_footer(spark, tmp_path):
+    S.write_features(spark.createDataFrame([("a", 1)], "id string, n long"), str(tmp_path), "7")
+    again = spark.read.parquet(f"{tmp_path}/features")
+    assert S.build_facts(again)["version"] == "7" and again.columns == ["id", "n"]
+    with pytest.raises(ValueError, match="no build facts"):
+        S.build_facts(spark.createDataFrame([("a",)], "id string"))
 
 
 def test_absent_tables_are_empty_and_log_is_strict(spark, tmp_path):

@@ -364,8 +364,7 @@ def s28_resumable_ingest(spark, sf):
     rows.where(first).write.mode("append").parquet(source)
     I.ingest(spark, source, schema, sink, checkpoint)
     I.ingest(spark, source, schema, sink, checkpoint)
-    landed = spark.read.schema(schema).parquet(sink)
-    return landed.groupBy("project", "tier").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.sum("page_index").alias("pages"))
+    return I.landed(spark, sink).groupBy("project", "tier").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.sum("page_index").alias("pages"))
 
 
 @book.query("s29_search_candidates", o.with_(o.CANDIDATES) + """
