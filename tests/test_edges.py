@@ -116,7 +116,7 @@ def test_the_earliest_page_wins_in_any_order_of_arrival(spark):
         rows = [("p", 1, "x", page, json.dumps(page)), ("p", 1, f"only{page}", page, "{}")]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         ingest.ingest(spark, source, schema, sink, checkpoint)
-    got = {r.id: r.page_index for r in spark.read.parquet(sink).collect()}
+    got = {r.id: r.page_index for r in ingest.landed(spark, sink).collect()}
     assert got == {"x": 2, "only5": 5, "only2": 2, "only9": 9}
 
 
