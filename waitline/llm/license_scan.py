@@ -175,8 +175,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
     A unit is a window of words near a template, the best around its place.  ``licence`` and ``dice`` are those of the
     nearest unit (of equal ones that of the longer template, which may contain the other, then the first), null and 0 if none reaches the threshold; ``units`` lists
-    licence:first line:line after the last.  A notice that repeats is a unit each time it stands apart.  Null and empty
-    texts have none; very long texts and lines are looked at whole; repeated rows get equal results; an empty table
+    licence:first line:line after the last.  A notice that repeats is a unit on each of its lines, and one unit within a
+    line.  Null and empty texts have none; very long texts and lines are looked at whole; repeated rows get equal results; an empty table
     gives an empty result.
     """
 
