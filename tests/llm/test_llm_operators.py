@@ -251,6 +251,53 @@ def test_substrings_of_the_given_documents(docs, texts):
     assert {x.doc_id: tuple(x[1:]) for x in substring_dedup.dedup(docs).collect()} == brute_substrings(texts.items())
 
 
+def hot_rows():
+    """Texts of random words, a third with one long address, some of them with the same words around it."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=r.randint(2, 7)))
+    address = "https://www.example.org/one/address/in/many/texts"
+    around = [word() for _ in range(30)]
+    rows = []
+    for i in range(900):
+        w = [word() for _ in range(60)]
+        if i % 3 == 0:
+            near = around[:i % 12] if i % 2 else []
+            w[30:30] = [*near, address, *near[::-1]]
+        if i % 50 == 0:
+            w += [address, *around, address]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_hot_anchor_is_taken_apart_and_equal_windows_still_meet(spark):
+    rows = hot_rows()
+    want = brute_substrings(rows)
+    for shard_bytes in (20_000, 3_000):
+        got = {x.doc_id: tuple(x[1:]) for x in substring_dedup.dedup(frame(spark, rows), shard_bytes=shard_bytes).collect()}
+        assert got == want
+    small = {x.doc_id: tuple(x[1:]) for x in substring_dedup.dedup(frame(spark, rows), 5, 2_000).collect()}
+    assert small == brute_substrings(rows, 5)
+    assert sum(v[1] > 0 for v in want.values()) > 10
+
+
+def test_no_group_of_a_hot_anchor_stays_larger_than_a_shard():
+    texts = [t.encode() for _, t in hot_rows()]
+    size, most, data = sum(map(len, texts)), 4_000, b" ".join(texts)
+
+    def largest(hot):
+        """Bytes of the largest group; equal pieces of a block are sent once."""
+        pieces = {(k, data[a:b]) for k, a, b in substring_dedup.cut(texts, 13, hot)[["key", "a", "b"]].itertuples(index=False)}
+        total = Counter()
+        for k, piece in pieces:
+            total[k] += len(piece)
+        return max(total.values())
+
+    table = np.zeros(substring_dedup.SLOTS, np.int64)
+    substring_dedup._weigh(table, texts, 13, most)
+    assert largest(None) > size / 10
+    assert largest(table > most) <= most
+
+
 def test_backward_search_counts_occurrences():
     r = np.random.default_rng(2)
     text = np.append(r.integers(1, 6, 400), 0)

@@ -2,7 +2,9 @@
 
 Shards are cut by content, so that no document has to visit every shard: the longest word of a window (of equal lengths
 the one with the least hash) is its anchor, and neighbouring windows with one anchor form a piece.  Equal windows have
-equal anchors and meet in one shard.  A shard drops pieces whose anchor only one document has, and of the others the windows whose least
+equal anchors and meet in one shard.  Windows of an anchor with more text than a shard holds are told apart by their least
+hash of three words as well, then of seven, then of all their words, until no group is larger; these are functions of the
+window too, so that equal windows still meet.  A shard drops pieces whose anchor only one document has, and of the others the windows whose least
 hash of three words only one document has; it indexes what is left and streams it against the index; windows whose matching statistic reaches the threshold are looked up for the smallest
 document that has them.  Equal pieces are merged first, within a block of documents before the shuffle and within a
 shard after it: of a passage that millions of documents share, a block sends one piece.
@@ -28,6 +30,9 @@ from waitline.session import written
 WINDOW = 13
 #: Bytes of text to a shard and to a block of documents that is cut at a time; windows of a piece at most.
 SHARD_BYTES, BLOCK_BYTES, PIECE = 4 << 20, 2 << 20, 1024
+#: Counters of the bytes of groups, which share one where their keys fall together; runs of words that tell windows of a
+#: large group apart.
+SLOTS, FINER = 1 << 22, (3, 7)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -98,30 +103,113 @@ def _seeds(slices: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(seeds)
 
 
-def cut(texts: list[bytes], window: int = WINDOW) -> pd.DataFrame:
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(20)).astype(np.int64) % SLOTS
+
+
+def _finer(key: np.ndarray, h: np.ndarray, at: np.ndarray, width: int, window: int) -> np.ndarray:
+    """The keys of the windows at ``at``, told apart by the least hash of their runs of ``width`` words."""
+    n = len(h) - width + 1
+    runs = _mix(sum(h[j:n + j] * np.uint64(2 * j + 3) for j in range(width)))
+    return _mix(key * np.uint64(3) + sliding_least(runs, window - width + 1)[at])
+
+
+def _widths(window: int) -> list[int]:
+    return [*(w for w in FINER if w < window), window]
+
+
+class _Block:
+    """The windows of a block of texts: the words they start at, their documents and the keys of their groups."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        self.starts, self.ends, self.h = words_of(data)
+        heads = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        self.doc = np.searchsorted(heads, self.starts, "right") - 1
+        self.window = window
+        n = max(0, len(self.starts) - window + 1)
+        self.at = np.flatnonzero(self.doc[:n] == self.doc[window - 1:]) if n else np.zeros(0, np.int64)
+        self.key = np.zeros(0, np.uint64)
+        if len(self.at):
+            size = np.minimum(self.ends - self.starts, 15).astype(np.uint64)
+            low = (np.uint64(15) - size) << np.uint64(60) | self.h >> np.uint64(4)
+            self.key = _mix(sliding_least(low, window)[self.at])
+
+    def refine(self, hot: np.ndarray) -> None:
+        """Takes windows whose group is hot (a flag for each slot) apart, as long as it is."""
+        rest = np.arange(len(self.at))
+        for width in _widths(self.window):
+            rest = rest[hot[_slot(self.key[rest])]]
+            if not len(rest):
+                return
+            self.key[rest] = _finer(self.key[rest], self.h, self.at[rest], width, self.window)
+
+    def pieces(self, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of neighbouring windows (all, or those listed) of one group: first window, windows, place of the bytes."""
+        at = self.at if some is None else self.at[some]
+        key = self.key if some is None else self.key[some]
+        new = np.concatenate([[True], (np.diff(at) != 1) | (key[1:] != key[:-1])])
+        run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        new |= (np.arange(len(at)) - run) % PIECE == 0
+        first = np.flatnonzero(new)
+        windows = np.diff(np.append(first, len(at)))
+        a = at[first]
+        return first if some is None else some[first], windows, self.starts[a] - 1, self.ends[a + windows + self.window - 2] - 1
+
+
+def cut(texts: list[bytes], window: int = WINDOW, hot: np.ndarray | None = None) -> pd.DataFrame:
     """The pieces of a block of texts: key, doc (index into the block), start (first word), windows, and place of the bytes."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    starts, ends, h = words_of(data)
-    heads = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    doc = np.searchsorted(heads, starts, "right") - 1
-    n = len(starts) - window + 1
-    if n <= 0:
+    block = _Block(texts, window)
+    if not len(block.at):
         return _NONE
-    low = (np.uint64(15) - np.minimum(ends - starts, 15).astype(np.uint64)) << np.uint64(60) | h >> np.uint64(4)
-    best = sliding_least(low, window)
-    at = np.flatnonzero(doc[:n] == doc[window - 1:])
-    if not len(at):
-        return _NONE
-    new = np.concatenate([[True], (np.diff(at) != 1) | (best[at[1:]] != best[at[:-1]])])
-    run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    new |= (np.arange(len(at)) - run) % PIECE == 0
-    first = np.flatnonzero(new)
-    windows = np.diff(np.append(first, len(at)))
-    a = at[first]
+    if hot is not None:
+        block.refine(hot)
+    first, windows, a, b = block.pieces()
+    at, doc = block.at[first], block.doc
     word = np.searchsorted(doc, np.arange(len(texts)))
-    return pd.DataFrame({
-        "key": _mix(best[a]), "doc": doc[a], "start": a - word[doc[a]], "windows": windows,
-        "a": starts[a] - 1, "b": ends[a + windows + window - 2] - 1})
+    return pd.DataFrame({"key": block.key[first], "doc": doc[at], "start": at - word[doc[at]], "windows": windows, "a": a, "b": b})
+
+
+def _weigh(table: np.ndarray, texts: list[bytes], window: int, least: float) -> None:
+    """Adds to each slot the bytes of the block's pieces, equal ones once; finer groups of those with ``least`` bytes too."""
+    block = _Block(texts, window)
+    rest = np.arange(len(block.at))
+    if not len(rest):
+        return
+    words = np.concatenate([np.zeros(1, np.uint64), np.cumsum(block.h, dtype=np.uint64)])
+    for width in [*_widths(window), 0]:
+        first, windows, a, b = block.pieces(rest)
+        key, at = block.key[first], block.at[first]
+        _, once = np.unique(_mix(key + (words[at + windows + window - 1] - words[at]) * np.uint64(5)), return_index=True)
+        np.add.at(table, _slot(key[once]), (b - a)[once])
+        rest = rest[table[_slot(block.key[rest])] >= least]
+        if not width or not len(rest):
+            return
+        block.key[rest] = _finer(block.key[rest], block.h, block.at[rest], width, window)
+
+
+def hot_groups(rows: DataFrame, window: int, size: int, most: int) -> np.ndarray:
+    """A flag for each slot: all whose anchors have more than ``most`` bytes of ``size``, perhaps others with over half.
+
+    A task reports the slots that have an eighth of their share of its own bytes, so that less than an eighth of ``most``
+    goes unreported of any, and counts finer groups from where the coarser one has it.  Pieces of finer groups overlap
+    more, so that one may grow to a few times ``most`` before it is found; that costs time, never a result.
+    """
+    share = most / size / 8
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, seen = np.zeros(SLOTS, np.int64), 0
+        for part in batches:
+            for _, _, texts in _blocks(part["doc_id"].tolist(), part["row"].tolist(), part["text"].tolist()):
+                seen += sum(map(len, texts))
+                _weigh(table, texts, window, share * seen)
+        slot = np.flatnonzero(table > share * seen)
+        yield pd.DataFrame({"slot": slot, "bytes": table[slot]})
+
+    hot = np.zeros(SLOTS, bool)
+    counted = rows.mapInPandas(count, "slot long, bytes long").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+    hot[[r.slot for r in counted.where(F.col("bytes") > most / 2).select("slot").collect()]] = True
+    return hot
 
 
 def _merge(slices: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +230,10 @@ def _blocks(ids: list, rows: list, texts: list[str]) -> Iterator[tuple]:
             at, held = i + 1, 0
 
 
-def _send(block: tuple, shards: int, packer, window: int = WINDOW) -> pd.DataFrame:
+def _send(block: tuple, shards: int, packer, window: int = WINDOW, hot: np.ndarray | None = None) -> pd.DataFrame:
     """Rows of a block: packed pieces for each shard, and windows already known to repeat."""
     ids, rows, texts = block
-    pieces = cut(texts, window)
+    pieces = cut(texts, window, hot)
     data = b" ".join(texts)
     key, doc = pieces["key"].to_numpy(), pieces["doc"].to_numpy()
     a, b = pieces["a"].tolist(), pieces["b"].tolist()
@@ -262,22 +350,38 @@ def _shard(blobs: list[bytes], window: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, row, start, windows: runs of windows, by their first word, that also start in a document with a smaller id.
+def _sent(rows: DataFrame, window: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """The packed pieces of all texts, each for one of the shards.
 
-    ``row`` is the hash of the text, which tells rows apart that repeat an id.  Rows without id or text have none.
+    The flags of large groups are ``SLOTS`` bits, whatever the input; groups over a shard's size, or eight times the mean
+    of a slot where that is more, are taken apart.
     """
-    if not 3 <= window <= DEPTH:
-        raise ValueError(f"a window has 3 to {DEPTH} words")
-    rows = id_and_text(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
+    flags = None
+    if shards > 1:
+        flags = np.packbits(hot_groups(rows, window, size, max(shard_bytes, 8 * size // SLOTS)))
+        flags = zstandard.compress(flags.tobytes())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=5)
+        hot = None if flags is None else np.unpackbits(np.frombuffer(zstandard.decompress(flags), np.uint8)).astype(bool)
         for part in batches:
             for block in _blocks(part["doc_id"].tolist(), part["row"].tolist(), part["text"].tolist()):
-                yield _send(block, shards, packer, window)
+                yield _send(block, shards, packer, window, hot)
+
+    return rows.mapInPandas(send, _SENT), shards
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, row, start, windows: runs of windows, by their first word, that also start in a document with a smaller id.
+
+    ``row`` is the hash of the text, which tells rows apart that repeat an id.  Rows without id or text have none.
+    """
+    if not 3 <= window <= DEPTH:
+        raise ValueError(f"a window has 3 to {DEPTH} words")
+    rows = id_and_text(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    sent, _ = _sent(rows, window, shard_bytes)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         packed = group["pieces"].notna()
@@ -285,7 +389,6 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
         blobs = group.loc[packed, "pieces"].tolist()
         return pd.concat([known, _shard(blobs, window)], ignore_index=True) if blobs else known
 
-    sent = rows.mapInPandas(send, _SENT)
     return sent.groupBy("bucket").applyInPandas(search, "doc_id long, row long, start long, windows long")
 
 
@@ -301,13 +404,13 @@ def drop_words(text: str | None, runs: list | None, window: int) -> tuple[int, i
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row: without the words of windows that a smaller document has.
 
     Null text has no words.  Rows without an id neither lose words nor take any from others; rows that share an id
     take none from each other.  All windows are those of the input.
     """
-    runs = written(repeats(docs, window), "repeats").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
+    runs = written(repeats(docs, window, shard_bytes), "repeats").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
         F.collect_list(F.struct("start", "windows")).alias("runs"))
     rows = id_and_text(docs).withColumn("_t", F.xxhash64("text"))
     both = rows.join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_row")), "left").select("doc_id", "text", "runs")
