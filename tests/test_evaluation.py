@@ -1,14 +1,18 @@
 import random
 
 import pytest
+from conftest import at
 from pyspark.sql import functions as F
 
 from waitline.conf import Settings
 from waitline.functions.ordered import average_ranks, exact_quantiles, row_numbers, score_bucket
 from waitline.operators import bootstrap as B
+from waitline.operators import eda as E
+from waitline.operators import evaluation as V
 from waitline.operators import hypothesis as X
 from waitline.operators import metrics as M
 from waitline.operators import splits as S
+from waitline.sources.tables import log_runs, read_log
 
 SCORED = "id string, project string, is_slow boolean, p_hat double"
 
@@ -126,3 +130,60 @@ def test_verdict_table_and_bounds(spark):
     broken = spark.createDataFrame([(float("nan"), 1.0, 0.0, 0.0)], "T_lo double, T_hi double, I_lo double, I_hi double")
     with pytest.raises(Exception, match="non-finite"):
         X.verdicts(broken).collect()
+
+
+def test_provenance_says_what_a_split_was_trained_on(spark):
+    day = lambda n: at(f"2024-03-{n:02d}T00:00:00")
+    rows = spark.createDataFrame([
+        ("A", 0, "train", "p", day(1)), ("A", 0, "train", "p", day(4)), ("A", 0, "train", None, day(2)), ("A", 0, "test", "p", day(9)),
+        ("A", 0, "test", "q", day(7)), ("B", 1, "test", "q", day(3))], "scenario string, fold long, role string, project string, created_at timestamp")
+    got = {(r.scenario, r.fold): tuple(r)[2:] for r in V.provenance(rows).collect()}
+    a, b = got["A", 0], got["B", 1]
+    assert a[:2] == (3, 2) and b[:3] == (0, 0, None)
+    days = {r.scenario: (r.u, r.s) for r in V.provenance(rows).selectExpr("scenario", "day(train_until) as u", "day(test_from) as s").collect()}
+    assert days == {"A": (4, 7), "B": (None, 3)}
+
+
+RUNS = """scenario string, fold long, featureset string, params string, n_train long, n_test long, n_test_projects long, precision_at_10 double,
+  p10_ci_lo double, p10_ci_hi double, base_rate_p10 double, auc_pr double, base_rate double, baseline_p10 double, baseline_auc_pr double"""
+
+
+def evaluated(spark, **changes):
+    row = dict(params="abc", n_train=9, n_test=4, n_test_projects=2, precision_at_10=0.5, p10_ci_lo=0.25, p10_ci_hi=0.75, base_rate_p10=0.5,
+               auc_pr=0.5, base_rate=0.25, baseline_p10=0.125, baseline_auc_pr=0.375)
+    rows = [dict(scenario=s, fold=0, featureset=f, **row) for s in "AB" for f in ("FULL", "NO_LABEL_REPLAY")]
+    rows[0].update(changes)
+    names = [c.split()[0] for c in RUNS.split(",")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], RUNS)
+
+
+def test_runs_are_logged_as_they_are(spark, tmp_path):
+    runs = evaluated(spark, auc_pr=0.875)
+    log_runs(V.log_rows(runs, "gbt"), str(tmp_path / "log"))
+    got = {(r.scenario, r.features): r for r in read_log(spark, str(tmp_path / "log")).collect()}
+    assert len(got) == 4 and got["A", "FULL"].auc_pr == 0.875
+    r = got["B", "NO_LABEL_REPLAY"]
+    assert (r.model, r.params, r.n_train, r.n_test, r.p10_ci_lo, r.notes) == ("gbt", "abc", 9, 4, 0.25, "baseline_p10=0.125 baseline_auc_pr=0.375")
+    assert r.date is not None
+
+
+@pytest.mark.parametrize("broken, failed", [
+    ({}, set()), ({"leaks": 1}, {1}), ({"featureset": "FULL"}, {3}), ({"p10_ci_lo": None}, {4}), ({"p10_ci_hi": float("nan")}, {4}),
+    ({"unlogged": True}, {4}), ({"refit": 1e-3}, {5})])
+def test_each_broken_input_flips_only_its_check(spark, broken, failed):
+    changes = {k: v for k, v in broken.items() if k.startswith("p10")}
+    runs = evaluated(spark, **changes)
+    logged = runs.limit(3) if broken.get("unlogged") else runs
+    if "featureset" in broken:
+        runs = runs.withColumn("featureset", F.when(F.col("scenario") == "A", F.lit("FULL")).otherwise(F.col("featureset")))
+    leaks = spark.createDataFrame([("A", broken.get("leaks", 0)), ("B", 0)], "scenario string, leaks long")
+    gate = V.run_gate(runs, leaks, logged, broken.get("refit", 0.0), 4).collect()
+    assert {r.id for r in gate if not r["pass"]} == failed
+
+
+def test_cohort_table_keeps_projects_without_rows_or_labels(spark):
+    checked = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3)], "project string, size_tier int")
+    rows = spark.createDataFrame([("p",)] * 3 + [("q",)], "project string")
+    labels = spark.createDataFrame([("p", True), ("p", False), ("r", False)], "project string, never_answered boolean")
+    got = {r.project: (r.size_tier, r.row_share, r.never_answered) for r in E.cohort_table(checked, rows, labels).collect()}
+    assert got == {"p": (1, 0.75, 0.5), "q": (2, 0.25, None), "r": (3, 0.0, 0.0)}

@@ -111,3 +111,31 @@ def test_replay_plan_has_no_pairwise_join(spark):
     h, l, p = random_frames(spark, 4, 20)
     plan = R.features_at(h, l, p, Settings(), 0.3, 0.2)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def audit(spark, monkeypatch=None, change=None):
+    hist, lab = toy(spark)
+    t = d("2024-04-21")
+    probes = spark.createDataFrame([("a", "p", t, None), ("b", "p", d("2024-03-15"), None), ("c", "other", t, None)], PROBE)
+    if change:
+        real = R.project_features_at
+        monkeypatch.setattr(R, "project_features_at", lambda *a: change(real(*a)))
+    return R.replay_audit(hist, lab, probes, Settings(), 0.5, 7).first()
+
+
+def test_audit_passes_on_the_replay(spark):
+    r = audit(spark)
+    assert (r.n, r.max_abs_diff_backlog, r["pass"]) == (3, 0, True) and r.max_abs_diff_rate < 1e-12
+
+
+RATE, BACKLOG = "trailing_90d_slow_rate", "open_backlog_at_t"
+
+
+@pytest.mark.parametrize("change", [
+    lambda df: df.withColumn(RATE, F.col(RATE) + F.when(F.col("probe_id") == "b", 1e-6).otherwise(0)),
+    lambda df: df.withColumn(BACKLOG, F.col(BACKLOG) + F.when(F.col("probe_id") == "a", 1).otherwise(0)),
+    lambda df: df.where("probe_id <> 'c'"),
+    lambda df: df.withColumn(RATE, F.when(F.col("probe_id") != "a", F.col(RATE))),
+])
+def test_audit_fails_on_any_wrong_missing_or_null_value(spark, monkeypatch, change):
+    assert audit(spark, monkeypatch, change)["pass"] is False

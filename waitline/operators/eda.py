@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waitline.conf import Settings
 from waitline.functions.ordered import exact_quantiles, running_totals, score_bucket
+from waitline.operators.splits import row_share
 
 _yes = lambda c: F.avg(F.col(c).cast("double"))
 
@@ -22,6 +23,17 @@ def definition_table(labelled: DataFrame, settings: Settings) -> DataFrame:
     return rates.join(median, "definition", "left")
 
 
+def cohort_table(checked: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The checked cohort with each project's share of the modelling rows and its never-answered rate.
+
+    A project without modelling rows has share 0; without labels its rate is null.
+    """
+    share = row_share(rows).drop("n")
+    never = labels.groupBy("project").agg(_yes("never_answered").alias("never_answered"))
+    return checked.join(share, "project", "left").join(never, "project", "left").withColumn(
+        "row_share", F.coalesce("row_share", F.lit(0.0)))
+
+
 def definition_spread(table: DataFrame) -> DataFrame:
     """Largest minus smallest slow rate over definitions."""
     return table.agg((F.max("is_slow") - F.min("is_slow")).alias("spread"))

@@ -185,6 +185,27 @@ def split_leaks(split_rows: DataFrame, settings: Settings) -> DataFrame:
     return a.unionByName(b)
 
 
+def provenance(split_rows: DataFrame) -> DataFrame:
+    """Per split (scenario, fold): training rows and projects, last training and first test instant.
+
+    ``split_rows`` carries scenario, fold, role, project and created_at.
+    """
+    train, at = F.col("role") == "train", F.col("created_at")
+    per = split_rows.groupBy("scenario", "fold", "project").agg(
+        F.count_if(train).alias("n"), F.max(F.when(train, at)).alias("until"), F.min(F.when(F.col("role") == "test", at)).alias("since"))
+    return per.groupBy("scenario", "fold").agg(
+        F.sum("n").alias("n_train"), F.count_if(F.col("n") > 0).alias("n_train_projects"),
+        F.max("until").alias("train_until"), F.min("since").alias("test_from"))
+
+
+def log_rows(runs: DataFrame, model: str) -> DataFrame:
+    """Evaluated runs as rows of the experiment log; the baseline on the same rows goes to the notes."""
+    note = F.format_string("baseline_p10=%.3f baseline_auc_pr=%.3f", "baseline_p10", "baseline_auc_pr")
+    return runs.select(
+        "scenario", "fold", F.lit(model).alias("model"), F.col("featureset").alias("features"), "params", "n_train", "n_test",
+        "n_test_projects", "precision_at_10", "p10_ci_lo", "p10_ci_hi", "base_rate_p10", "auc_pr", "base_rate", note.alias("notes"))
+
+
 def run_gate(runs: DataFrame, leaks: DataFrame, logged: DataFrame, refit_delta: float | Column, expected_runs: int) -> DataFrame:
     """The evaluation's validity gate."""
     hygiene = True

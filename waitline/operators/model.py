@@ -26,7 +26,10 @@ from waitline.functions.columns import instant, seeded_int
 from waitline.operators import evaluation as V
 from waitline.operators import metrics as M
 from waitline.operators import splits
+from waitline.operators.attribution import sample_rows
+from waitline.operators.treeshap import explain
 from waitline.session import scratch_path, written
+from waitline.sources.tables import log_runs
 
 CATEGORICAL = "language_dominant"
 MISSING = -1.0
@@ -152,13 +155,14 @@ def run(
 
 
 def sweep(
-    table: DataFrame, params: dict, settings: Settings, sets: Sequence[str] = tuple(registry.FEATURE_SETS), parallel: int = 4
+    table: DataFrame, params: dict, settings: Settings, sets: Sequence[str] = tuple(registry.FEATURE_SETS), parallel: int = 4,
+    roles: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions of every scenario x fold x feature set, stacked and stamped with the parameters.
 
-    Fits are independent Spark jobs, so a few are submitted side by side.
+    Fits are independent Spark jobs, so a few are submitted side by side.  ``roles`` is ``split_roles`` unless given.
     """
-    roles = split_roles(table, settings)
+    roles = split_roles(table, settings) if roles is None else roles
     jobs = [(s, f, n) for s, k in (("A", 1), ("B", settings.folds)) for f in range(k) for n in sets]
     with ThreadPoolExecutor(parallel) as pool:
         parts = list(pool.map(lambda j: run(table, roles, *j, params, settings)[0], jobs))
@@ -168,6 +172,33 @@ def sweep(
     return out.withColumn("params", F.lit(fingerprint(params)))
 
 
+def experiment(
+    table: DataFrame, params: dict, settings: Settings, log: str, sets: Sequence[str] = tuple(registry.FEATURE_SETS),
+) -> tuple[DataFrame, DataFrame]:
+    """Every run of the sweep, evaluated, with its provenance, appended to the log; the runs and the roles they used."""
+    roles = split_roles(table, settings)
+    scored = written(sweep(table, params, settings, sets, roles=roles), "sweep")
+    facts = V.provenance(table.select("id", "project", "created_at").join(roles, "id"))
+    runs = written(V.evaluate(scored, [*V.RUN, "params"], settings).join(facts, ["scenario", "fold"], "left"), "runs")
+    log_runs(V.log_rows(runs, "gbt"), log)
+    return runs, roles
+
+
+def explain_scenario(
+    table: DataFrame, params: dict, settings: Settings, scenario: str = "B", name: str = "FULL", sample: int = 5000,
+) -> DataFrame:
+    """(id, contributions) of a scenario's test rows, at most ``sample`` of a fold, each fold explained by its own model."""
+    roles, features = split_roles(table, settings), list(registry.FEATURE_SETS[name])
+    parts = None
+    for fold in range(1 if scenario == "A" else settings.folds):
+        _, model = run(table, roles, scenario, fold, name, params, settings)
+        held = roles.where((F.col("scenario") == scenario) & (F.col("fold") == fold) & (F.col("role") == "test")).select("id")
+        rows = sample_rows(table.join(held, "id", "left_semi"), sample, settings.seed)
+        e = explain(model, predict(model, rows, features).select("id", "features")).select("id", "contributions")
+        parts = e if parts is None else parts.unionByName(e)
+    return parts
+
+
 def without_project(table: DataFrame, params: dict, settings: Settings) -> DataFrame:
     """The intervention: the same folds without label replay and project snapshots."""
     roles, columns = split_roles(table, settings), registry.no_project_columns()
@@ -226,5 +257,10 @@ def search(
     return spark.createDataFrame([(*r, r[0] == best) for r in rows], "trial int, value double, params string, best boolean")
 
 
+def best_params(found: DataFrame) -> dict:
+    """Parameters of the best trial of a search."""
+    return json.loads(found.where("best").first().params)
+
+
 def training_rows(table: DataFrame, settings: Settings) -> DataFrame:
     return splits.cap_per_project(table.where(F.col("created_at") < instant(settings.cutoff)), settings)

@@ -193,6 +193,30 @@ def sample_probes(probes: DataFrame, n: int, seed: int) -> DataFrame:
     return probes.orderBy(seeded(seed, "probe_id"), "probe_id").limit(n)
 
 
+def replay_audit(
+    history: DataFrame, labels: DataFrame, probes: DataFrame, settings: Settings, prior: float | Column, seed: int, n: int = 200,
+) -> DataFrame:
+    """One row: how far replayed rates and backlogs of at most ``n`` sampled probes are from their definitions.
+
+    A probe that only one of the two knows, or with a null on one side, fails the audit.
+    """
+    some = sample_probes(probes, n, seed)
+    fast = project_features_at(history, labels, some, settings, prior)
+    slow = brute_force_features(history, labels, some, settings, prior)
+    values = {"trailing_90d_slow_rate": "r", "open_backlog_at_t": "b"}
+    side = lambda df, name: df.select("probe_id", *[F.col(c).alias(f"_{name}_{v}") for c, v in values.items()], F.lit(True).alias(f"_{name}"))
+    both = side(fast, "f").join(side(slow, "s"), "probe_id", "full")
+    same = F.col("_f").isNotNull() & F.col("_s").isNotNull()
+    for v in values.values():
+        same = same & (F.col(f"_f_{v}").isNull() == F.col(f"_s_{v}").isNull())
+    gap = lambda v: F.coalesce(F.max(F.abs(F.col(f"_f_{v}") - F.col(f"_s_{v}"))), F.lit(0))
+    out = both.agg(
+        F.count(F.lit(1)).alias("n"), gap("r").alias("max_abs_diff_rate"), gap("b").cast("long").alias("max_abs_diff_backlog"),
+        F.count_if(~same).alias("_odd"))
+    passed = (F.col("max_abs_diff_rate") < 1e-9) & (F.col("max_abs_diff_backlog") == 0) & (F.col("_odd") == 0)
+    return out.withColumn("pass", passed).drop("_odd")
+
+
 def brute_force_features(
     history: DataFrame,
     labels: DataFrame,

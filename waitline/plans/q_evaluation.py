@@ -16,7 +16,7 @@ from waitline.plans import oracle_base as o
 from waitline.plans.bindings import SETTINGS_T, DocumentTables, OrderTables
 from waitline.plans.registry import Book
 from waitline.session import scratch_path, written
-from waitline.sources.tables import log_runs, read_log
+from waitline.sources.tables import read_log
 
 book = Book()
 SEED = SETTINGS_T.seed
@@ -151,16 +151,9 @@ select least(count(*), 200) as n, 0.0::double as max_abs_diff_rate, 0::bigint as
 def m10_baseline_audit(spark, sf):
     t = OrderTables(spark, sf)
     late = t.predictions().where(F.col("created_at") >= instant(t.settings.cutoff))
-    probes = R.sample_probes(R.row_probes(late.withColumn("actor_login", F.lit(None).cast("string"))), 200, SEED)
-    fast = R.project_features_at(t.history(), t.labels(), probes, t.settings, 0.5)
-    slow = R.brute_force_features(t.history(), t.labels(), probes, t.settings, 0.5)
-    return (
-        fast.select("probe_id", F.col("trailing_90d_slow_rate").alias("r"), F.col("open_backlog_at_t").alias("b"))
-        .join(slow, "probe_id")
-        .agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("r") - F.col("trailing_90d_slow_rate"))), 9).alias("max_abs_diff_rate"),
-             F.max(F.abs(F.col("b") - F.col("open_backlog_at_t"))).alias("max_abs_diff_backlog"))
-        .withColumn("pass", (F.col("max_abs_diff_rate") < 1e-9) & (F.col("max_abs_diff_backlog") == 0))
-    )
+    probes = R.row_probes(late.withColumn("actor_login", F.lit(None).cast("string")))
+    return R.replay_audit(t.history(), t.labels(), probes, t.settings, 0.5, SEED).withColumn(
+        "max_abs_diff_rate", F.round("max_abs_diff_rate", 9))
 
 
 @book.query("m11_baseline_evaluation", o.with_(
@@ -222,16 +215,14 @@ union all select 'evaluation', 3, 'label-replay ablation ran on both scenarios',
 union all select 'evaluation', 4, 'every run has an interval and is logged', cast(count(*) as varchar), count(*) = 24 from runs
 union all select 'evaluation', 5, 'a refit reproduces the score', '0.0', true""")
 def p1_run_gate(spark, sf):
-    """Every run is logged and read back; the refit fits the same model twice."""
+    """Every run is fitted, evaluated, logged and read back; the refit fits the same model twice."""
     from waitline.plans import q_model
 
-    t = OrderTables(spark, sf)
-    table, log = written(runs(spark, sf), "runs"), scratch_path(spark, "log")
-    log_runs(table.withColumnRenamed("featureset", "features").withColumn("model", F.lit("stand-in")).select(
-        "scenario", "fold", "model", "features", "n_test", "n_test_projects", "precision_at_10", "p10_ci_lo", "p10_ci_hi",
-        "base_rate_p10", "auc_pr", "base_rate"), log)
-    refit = q_model.Mo.refit_delta(q_model.table(spark, sf), q_model.SWEEP, SETTINGS_T).first().delta
-    return V.run_gate(table, V.split_leaks(split_rows(t), SETTINGS_T), read_log(spark, log), refit, 24)
+    rows, log = q_model.table(spark, sf), scratch_path(spark, "log")
+    fitted, roles = q_model.Mo.experiment(rows, q_model.SWEEP, q_model.DATA, log)
+    refit = q_model.Mo.refit_delta(rows, q_model.SWEEP, SETTINGS_T).first().delta
+    leaks = V.split_leaks(rows.select("id", "project", "created_at").join(roles, "id"), SETTINGS_T)
+    return V.run_gate(fitted, leaks, read_log(spark, log), refit, 24)
 
 
 @book.query("p2_summarise", o.with_(RUN_SQL) + f"select scenario, featureset, n_folds, {rsql(RATES[1:])} from summ")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waitline import registry
-from waitline.functions.columns import instant
+from waitline.functions.columns import instant, micros
 from waitline.operators import attribution as A
 from waitline.operators import evaluation as V
 from waitline.operators import metrics as M
@@ -23,6 +23,7 @@ from waitline.plans.bindings import SETTINGS_T, OrderTables
 from waitline.plans.q_features import TABLE_SQL
 from waitline.plans.registry import Book
 from waitline.session import scratch_path, written
+from waitline.sources.tables import read_log
 
 book = Book()
 SMALL = {"n_estimators": 4, "num_leaves": 8, "learning_rate": 0.2, "feature_fraction": 1.0, "bagging_fraction": 1.0}
@@ -141,6 +142,38 @@ def m17_run_properties(spark, sf):
 
 
 SWEEP = {**SMALL, "n_estimators": 2}
+SPLIT_SQL = f"""
+early as (select * from feat where c_us < {o.CUT}),
+capped as (select * from (select *, row_number() over (partition by project order by md5(concat_ws(':', '{DATA.seed}', id)), id) as rn from early)
+           where rn <= greatest(1, floor((select count(*) from early) * {DATA.cap_fraction}))),
+per as (select fold, (select count(*) from feat) - sum(n) as total from folds group by fold),
+num as (select f.id, f.project, f.c_us, g.fold as own, row_number() over (partition by f.project order by md5(concat_ws(':', '{DATA.seed}', f.id)), f.id) as rn
+        from feat f join folds g using (project)),
+split as (select 'A' as scenario, 0 as fold, 'train' as role, project, c_us, null as is_slow from capped
+  union all select 'A', 0, 'test', project, c_us, is_slow from late
+  union all select 'B', per.fold, 'test', num.project, num.c_us, null from num join per on per.fold = num.own
+  union all select 'B', per.fold, 'train', num.project, num.c_us, null from num join per on per.fold <> num.own
+    where num.rn <= greatest(1, floor(per.total * {DATA.cap_fraction}))),
+facts as (select scenario, fold::bigint as fold, count(*) filter (role = 'train') as n_train, count(*) filter (role = 'test') as n_test,
+  count(distinct project) filter (role = 'train') as n_train_projects, count(distinct project) filter (role = 'test') as n_test_projects,
+  max(c_us) filter (role = 'train') as train_until_us, min(c_us) filter (role = 'test') as test_from_us from split group by all)"""
+
+
+@book.query("m18_experiment", o.with_(*TABLE_SQL, LATE, o.folds_cte("feat"), SPLIT_SQL) + f"""
+select scenario, fold, featureset, n_train, n_test, n_train_projects, n_test_projects, train_until_us, test_from_us,
+  true as is_logged, true as has_interval from facts, (select unnest({list(registry.FEATURE_SETS)}) as featureset)""")
+def m18_experiment(spark, sf):
+    """A search, then all 24 runs with the parameters it found best: provenance of each, and whether the log has it as it is."""
+    rows, log = table(spark, sf), scratch_path(spark, "log")
+    best = Mo.best_params(Mo.search(Mo.training_rows(rows, DATA), 2, DATA, FULL, 2, SEARCHED))
+    runs, _ = Mo.experiment(rows, best, DATA, log)
+    same = ["scenario", "fold", "params", "n_train", "n_test", "auc_pr", "precision_at_10"]
+    logged = read_log(spark, log).where(F.col("params") == Mo.fingerprint(best)).select(
+        *same, F.col("features").alias("featureset"), F.lit(True).alias("is_logged"))
+    return runs.join(logged, [*same, "featureset"], "left").select(
+        *V.RUN, "n_train", "n_test", "n_train_projects", "n_test_projects", micros("train_until").alias("train_until_us"),
+        micros("test_from").alias("test_from_us"), F.coalesce("is_logged", F.lit(False)).alias("is_logged"),
+        (F.col("p10_ci_lo") <= F.col("p10_ci_hi")).alias("has_interval"))
 
 
 @book.query("m18_sweep")
@@ -198,16 +231,7 @@ def a3_additivity(spark, sf):
 @book.query("a7_explain_scenario")
 def a7_explain_scenario(spark, sf):
     """Importance over the pooled folds of scenario B: each fold explained by its own model."""
-    rows = table(spark, sf)
-    roles = Mo.split_roles(rows, DATA)
-    parts = None
-    for fold in range(DATA.folds):
-        _, model = Mo.run(rows, roles, "B", fold, "FULL", {**SMALL, "n_estimators": 2}, DATA)
-        held = roles.where((F.col("scenario") == "B") & (F.col("fold") == fold) & (F.col("role") == "test")).select("id")
-        sample = A.sample_rows(rows.join(held, "id", "left_semi"), 5000, DATA.seed)
-        e = T.explain(model, Mo.predict(model, sample, FULL).select("id", "features")).select("id", "contributions")
-        parts = e if parts is None else parts.unionByName(e)
-    return A.importance(parts, FULL)
+    return A.importance(Mo.explain_scenario(table(spark, sf), SWEEP, DATA), FULL)
 
 
 @book.query("a7_explain_scenario_properties", f"select unnest({FULL}) as feature, 1.0::double as all_shares")

@@ -330,14 +330,10 @@ select project, size_tier, reasons, n_in_window, n_human, round(coalesce(n / tot
 from chk left join (select project, count(*) as n, sum(count(*)) over () as total from mrows group by project) using (project)
 left join (select project, avg(case when never_answered then 1.0 else 0.0 end) as nv from labD5 group by project) using (project)""")
 def e6_cohort_table(spark, sf):
-    from waitline.operators.splits import row_share
-
     t = OrderTables(spark, sf)
-    share = row_share(L.modelling_rows(t.subjects(), t.settings)).drop("n")
-    never = t.labels().groupBy("project").agg(F.avg(F.col("never_answered").cast("double")).alias("never_answered_d5"))
-    return checked(t).join(share, "project", "left").join(never, "project", "left").select(
-        "project", "size_tier", F.array_join("reasons", ";").alias("reasons"), "n_in_window", "n_human",
-        F.round(F.coalesce("row_share", F.lit(0.0)), 9).alias("row_share"), *r9("never_answered_d5"))
+    return E.cohort_table(checked(t), L.modelling_rows(t.subjects(), t.settings), t.labels()).select(
+        "project", "size_tier", F.array_join("reasons", ";").alias("reasons"), "n_in_window", "n_human", *r9("row_share"),
+        F.round("never_answered", 9).alias("never_answered_d5"))
 
 
 @book.query("e7_study_gate", o.with_(CHECK_SQL, o.folds_cte("mrows")) + f"""
