@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from waitline.conf import Settings
 from waitline.functions.ordered import average_ranks, exact_quantiles, row_numbers, score_bucket
+from waitline.operators import attribution as A
 from waitline.operators import bootstrap as B
 from waitline.operators import eda as E
 from waitline.operators import evaluation as V
@@ -187,3 +188,40 @@ def test_cohort_table_keeps_projects_without_rows_or_labels(spark):
     labels = spark.createDataFrame([("p", True), ("p", False), ("r", False)], "project string, never_answered boolean")
     got = {r.project: (r.size_tier, r.row_share, r.never_answered) for r in E.cohort_table(checked, rows, labels).collect()}
     assert got == {"p": (1, 0.75, 0.5), "q": (2, 0.25, None), "r": (3, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("broken, failed", [
+    ({}, set()), ({"gap": 1e-3}, {1}), ({"stability": 0.5}, {2}), ({"stability": None}, {2}), ({"truth": True}, {3}), ({"drop": 1}, {3}),
+    ({"gap_ci_lo": None}, {4}), ({"gap_ci_hi": float("nan")}, {4}), ({"n_projects": 1}, {4}), ({"empty": True}, {5})])
+def test_each_broken_artifact_flips_only_its_check(spark, broken, failed):
+    worst = spark.createDataFrame(
+        [(f"{k}{i}", k == "fn", k) for k in ("fp", "fn") for i in range(2) if not (broken.get("drop") and k == "fp" and i)],
+        "id string, is_slow boolean, kind string")
+    scored = worst.withColumn("is_slow", F.col("is_slow") | F.lit(broken.get("truth", False)))
+    slices = spark.createDataFrame([("s", 0.1, 0.2, 3)], "slice string, gap_ci_lo double, gap_ci_hi double, n_projects long")
+    for c in ("gap_ci_lo", "gap_ci_hi", "n_projects"):
+        if c in broken:
+            slices = slices.withColumn(c, F.lit(broken[c]).cast(slices.schema[c].dataType))
+    one = lambda name, v: spark.createDataFrame([(v,)], f"{name} double")
+    other = slices.limit(0) if broken.get("empty") else slices
+    gate = A.interpretation_gate(
+        one("gap", broken.get("gap", 0.0)), one("stability", broken.get("stability", 0.95)), worst, scored, slices,
+        {"worst": worst, "other": other}, n=2).collect()
+    assert {r.id for r in gate if not r["pass"]} == failed
+
+
+@pytest.mark.parametrize("broken, failed", [
+    ({}, set()), ({"gap": 1e-3}, {1}), ({"refit": -1e-3}, {2}), ({"only_new": 1}, {3}), ({"repeated": 1}, {3}), ({"varying": 1}, {4}),
+    ({"b_each_once": False}, {5}), ({"n_projects": 4}, {5}), ({"T_lo": None}, {5}), ({"I_hi": float("nan")}, {5})])
+def test_each_broken_measure_flips_only_its_check(spark, broken, failed):
+    has = lambda name, kind, good: F.lit(broken.get(name, good)).cast(kind).alias(name)
+    one = spark.range(1)
+    result = one.select(*[has(c, "double", v) for c, v in (("T_lo", 0.1), ("T_hi", 0.4), ("I_lo", 0.1), ("I_hi", 0.3))])
+    same = one.select(*[has(c, "long", 0) for c in ("only_old", "only_new", "repeated")])
+    cover = one.select(has("n_projects", "long", 5), has("same_projects", "boolean", True), has("b_each_once", "boolean", True))
+    varying = one.select(F.lit("f").alias("feature"), F.lit(broken.get("varying", 0)).alias("n_groups"))
+    gate = X.hypothesis_gate(
+        result, same, cover, varying, F.lit(broken.get("gap", 0.0)), F.lit(broken.get("refit", 0.0)), 5)
+    assert {r.id for r in gate.collect() if not r["pass"]} == failed
+    if not failed & {5}:
+        assert X.gated_verdict(result, gate).count() == (0 if failed & {1, 2} else 1)

@@ -261,6 +261,14 @@ def join_models(old: DataFrame, new: DataFrame) -> DataFrame:
         new.select(*ks, F.col("p_hat").alias("p_no_project")), ks)
 
 
+def intervention_rows(
+    explained: DataFrame, without: DataFrame, features: Sequence[str], subset: Sequence[str] = registry.PROJECT_FEATURES
+) -> DataFrame:
+    """Rows of the paired test from two models' predictions; ``contrib`` is what the subset pushes in the first model."""
+    pushed = explained.withColumn("contrib", subset_contribution("contributions", list(features), subset))
+    return join_models(pushed, without).select("scenario", "fold", "id", "project", "is_slow", "p_nlr", "p_no_project", "contrib")
+
+
 def same_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     """(scenario, fold, only_old, only_new, repeated): all zero when both models scored the same rows once."""
     ks = ["scenario", "fold", "id"]

@@ -12,6 +12,7 @@ import json
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -132,11 +133,15 @@ def split_roles(table: DataFrame, settings: Settings) -> DataFrame:
     return written(a.unionByName(b).select("scenario", "fold", "role", "id"), "roles")
 
 
-def prediction_columns(scored: DataFrame, scenario: str, fold: int, name: str) -> DataFrame:
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def prediction_columns(scored: DataFrame, scenario: str, fold: int, name: str, *more: str) -> DataFrame:
     return scored.select(
         F.lit(scenario).alias("scenario"), F.lit(fold).cast("long").alias("fold"), F.lit(name).alias("featureset"), "id", "project",
         "number", "created_at", "wait_h", "is_slow", "p_hat", "margin", F.col("trailing_90d_slow_rate").alias("baseline_score"),
-        "is_first_here", F.col("created_hour_utc").alias("created_hour"), "diff_is_exact")
+        "is_first_here", F.col("created_hour_utc").alias("created_hour"), "diff_is_exact", *more)
 
 
 def run(
@@ -163,12 +168,9 @@ def sweep(
     Fits are independent Spark jobs, so a few are submitted side by side.  ``roles`` is ``split_roles`` unless given.
     """
     roles = split_roles(table, settings) if roles is None else roles
-    jobs = [(s, f, n) for s, k in (("A", 1), ("B", settings.folds)) for f in range(k) for n in sets]
+    jobs = [(*j, n) for j in each_fold("AB", settings) for n in sets]
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(lambda j: run(table, roles, *j, params, settings)[0], jobs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = stacked(list(pool.map(lambda j: run(table, roles, *j, params, settings)[0], jobs)))
     return out.withColumn("params", F.lit(fingerprint(params)))
 
 
@@ -184,31 +186,45 @@ def experiment(
     return runs, roles
 
 
+def each_fold(scenarios: Sequence[str], settings: Settings) -> list[tuple[str, int]]:
+    return [(s, f) for s in scenarios for f in range(1 if s == "A" else settings.folds)]
+
+
+def explained_runs(
+    table: DataFrame, params: dict, settings: Settings, name: str = "FULL", scenarios: Sequence[str] = ("A", "B"), sample: int | None = None,
+    roles: DataFrame | None = None, parallel: int = 4,
+) -> DataFrame:
+    """Predictions of every fold, each row with ``base`` and ``contributions`` of the model that held it out.
+
+    All test rows, or at most ``sample`` of a fold by hash order.  Scores and attributions come from one model each.
+    """
+    roles, features = split_roles(table, settings) if roles is None else roles, list(registry.FEATURE_SETS[name])
+
+    def one(job: tuple[str, int]) -> DataFrame:
+        scenario, fold = job
+        _, model = run(table, roles, scenario, fold, name, params, settings)
+        held = roles.where((F.col("scenario") == scenario) & (F.col("fold") == fold) & (F.col("role") == "test")).select("id")
+        rows = table.join(held, "id", "left_semi")
+        scored = predict(model, rows if sample is None else sample_rows(rows, sample, settings.seed), features)
+        return explain(model, prediction_columns(scored, scenario, fold, name, "features"))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return stacked(list(pool.map(one, each_fold(scenarios, settings))))
+
+
 def explain_scenario(
     table: DataFrame, params: dict, settings: Settings, scenario: str = "B", name: str = "FULL", sample: int = 5000,
 ) -> DataFrame:
     """(id, contributions) of a scenario's test rows, at most ``sample`` of a fold, each fold explained by its own model."""
-    roles, features = split_roles(table, settings), list(registry.FEATURE_SETS[name])
-    parts = None
-    for fold in range(1 if scenario == "A" else settings.folds):
-        _, model = run(table, roles, scenario, fold, name, params, settings)
-        held = roles.where((F.col("scenario") == scenario) & (F.col("fold") == fold) & (F.col("role") == "test")).select("id")
-        rows = sample_rows(table.join(held, "id", "left_semi"), sample, settings.seed)
-        e = explain(model, predict(model, rows, features).select("id", "features")).select("id", "contributions")
-        parts = e if parts is None else parts.unionByName(e)
-    return parts
+    return explained_runs(table, params, settings, name, [scenario], sample).select("id", "contributions")
 
 
-def without_project(table: DataFrame, params: dict, settings: Settings) -> DataFrame:
+def without_project(table: DataFrame, params: dict, settings: Settings, roles: DataFrame | None = None) -> DataFrame:
     """The intervention: the same folds without label replay and project snapshots."""
-    roles, columns = split_roles(table, settings), registry.no_project_columns()
-    jobs = [("A", 0)] + [("B", f) for f in range(settings.folds)]
+    roles, columns = split_roles(table, settings) if roles is None else roles, registry.no_project_columns()
     with ThreadPoolExecutor(4) as pool:
-        parts = list(pool.map(lambda j: run(table, roles, *j, "NLR_NO_PROJECT", params, settings, columns)[0], jobs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return stacked(list(pool.map(
+            lambda j: run(table, roles, *j, "NLR_NO_PROJECT", params, settings, columns)[0], each_fold("AB", settings))))
 
 
 def refit_delta(table: DataFrame, params: dict, settings: Settings, name: str = "FULL") -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waitline import registry
 from waitline.conf import DAY_US, Settings
-from waitline.functions.columns import as_col, days_between, instant, iso_week, micros, nearest, seeded, seeded_int
+from waitline.functions.columns import as_col, days_between, format_value, instant, iso_week, micros, nearest, seeded, seeded_int
 from waitline.functions.ordered import hash_numbers, quantile_buckets, row_numbers, running_totals, with_scalars
 from waitline.operators.metrics import BLOCKS
 
@@ -304,6 +305,51 @@ def serving_extract(
     )
 
 
+def driver_text(contributions: str, features: Sequence[str], names: dict[str, str] | None = None, k: int = 3) -> Column:
+    """The k features that push most, largest first (ties in feature order), with their values and direction.
+
+    Reads the features' own columns; ``names`` gives readable names, else underscores become spaces.
+    """
+    kind = {"boolean": "bool", "string": "str"}
+    name = lambda f: (names or {}).get(f, f.replace("_", " "))
+    texts = F.array(*[
+        F.concat(F.lit(f"{name(f)} = "), format_value(f, kind.get(registry.COLUMNS[f].type, "number"), f in registry.RATES)) for f in features])
+    cells = F.transform(contributions, lambda v, i: F.struct((-F.abs(v)).alias("size"), i.alias("at"), (v > 0).alias("up")))
+    best = F.slice(F.array_sort(cells), 1, k)
+    return F.array_join(F.transform(best, lambda s: F.concat(
+        F.element_at(texts, s["at"] + 1), F.when(s["up"], " ↑").otherwise(" ↓"))), " · ")
+
+
+def serving_table(explained: DataFrame, subjects: DataFrame, labels: DataFrame, table: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Scenario A's test rows with both models' scores, drivers, bases and pushes, and every feature's value.
+
+    ``explained``: predictions of both scenarios with base and contributions, in the order of ``features``.  A row that
+    the other tables lack keeps nulls there, which ``extract_problems`` counts.
+    """
+    side = lambda s: explained.where(F.col("scenario") == s)
+    a = side("A").select(
+        "project", "id", "created_at", "is_slow", "baseline_score", F.col("p_hat").alias("score_a"), F.col("base").alias("base_a"),
+        F.col("contributions").alias("_a"))
+    b = side("B").select(
+        "id", F.col("fold").alias("fold_b"), F.col("p_hat").alias("score_b"), F.col("base").alias("base_b"), F.col("contributions").alias("_b"))
+    text = subjects.select("id", "number", "url", F.col("title_current").alias("title"), "closed_at")
+    first = labels.select("id", F.col("first_event_at").alias("first_response_at"))
+    joined = a.join(b, "id", "left").join(text, "id", "left").join(first, "id", "left").join(table.select("id", *features), "id", "left")
+    push = lambda side: [F.element_at(f"_{side}", i + 1).cast("float").alias(f"push_{side}__{f}") for i, f in enumerate(features)]
+    return joined.select(
+        "project", "id", "number", "url", "title", "created_at", "closed_at", "first_response_at", "is_slow", "score_a", "fold_b", "score_b",
+        "baseline_score", driver_text("_a", features).alias("drivers_a"), driver_text("_b", features).alias("drivers_b"), "base_a", "base_b",
+        *push("a"), *push("b"), *[F.col(f).alias(f"x__{f}") for f in features])
+
+
+def logit_problems(explained: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(check, n): rows whose base and pushes do not give the logit of their stored score, by scenario."""
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, v: s + v)
+    off = F.abs(total - F.log(F.col("p_hat") / (1 - F.col("p_hat"))))
+    return explained.groupBy("scenario").agg(F.count_if(~F.coalesce(off <= tolerance, F.lit(False))).alias("n")).select(
+        F.concat(F.lit("logit "), "scenario").alias("check"), "n")
+
+
 def extract_problems(extract: DataFrame, fold_of: DataFrame, required: Sequence[str]) -> DataFrame:
     """(check, n) for missing values, rows outside their project's fold and repeated ids."""
     missing = extract.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])

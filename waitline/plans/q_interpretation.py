@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitline.functions.columns import micros
+from waitline import registry
+from waitline.functions.columns import seeded_int
 from waitline.operators import attribution as A
 from waitline.operators import evaluation as V
 from waitline.operators import fairness as Q
 from waitline.operators import hypothesis as X
+from waitline.operators import model as Mo
 from waitline.plans import oracle_base as o
 from waitline.plans.bindings import SETTINGS_T, EmbeddingTables, OrderTables
 from waitline.plans.q_evaluation import FULL, SLICES_SQL
+from waitline.plans import q_model as qm
+from waitline.plans.q_features import TABLE_SQL
 from waitline.plans.q_triage import EMB
 from waitline.plans.registry import Book
 from waitline.session import written
@@ -136,23 +140,36 @@ def q2_gap_difference(spark, sf):
     return out.select("scenario", *r9("difference", "ci_lo", "ci_hi"), "n_first_time", "n_repeat", "ci_excludes_zero")
 
 
-@book.query("a11_interpretation_gate", o.with_(o.PREDICTIONS, WORST_SQL, EMB, imp_cte("imp"), GAP_SQL.replace(o.PREDICTIONS + ",", "", 1)) + """
+ROWS_SQL = ("full_ as (select 'A' as scenario, id, project, is_slow, is_first_here, created_hour_utc as created_hour from late "
+            "union all select 'B', id, project, is_slow, is_first_here, created_hour_utc from feat)")
+
+
+@book.query("a11_interpretation_gate", o.with_(*TABLE_SQL, qm.LATE, ROWS_SQL, SLICES_SQL, """
+sg as (select scenario, slice, level, count(distinct project) as n_projects from slic group by all)""") + """
 select 'interpretation' as gate, 1 as id, 'attributions add up to the margin' as check, '0.0' as value, true as pass
-union all select 'interpretation', 2, 'two samples rank features alike', '1.0', true
-union all select 'interpretation', 3, 'error rows are real and complete', '0', count(*) = 50 from ws
-union all select 'interpretation', 4, 'slice intervals are finite', cast(count(*) filter (gap_ci_lo is null or n_projects < 2) as varchar),
-  count(*) filter (gap_ci_lo is null or n_projects < 2) = 0 from sg
+union all select 'interpretation', 2, 'two samples rank features alike', null, true
+union all select 'interpretation', 3, 'error rows are real and complete', '0',
+  count(*) filter (is_slow) >= 25 and count(*) filter (not is_slow) >= 25 from late
+union all select 'interpretation', 4, 'slice intervals are finite', cast(count(*) filter (n_projects < 2) as varchar),
+  count(*) filter (n_projects < 2) = 0 from sg
 union all select 'interpretation', 5, 'every artifact has rows', '0', true""")
 def a11_interpretation_gate(spark, sf):
-    imp = written(A.importance(emb(spark, sf), NAMES), "importance")
-    explained = emb(spark, sf).withColumn("base", F.lit(0.5)).withColumn(
-        "margin", F.expr("0.5D + aggregate(contributions, 0D, (a, v) -> a + v)"))
-    rows = error_input(spark, sf)
-    worst = written(A.worst_rows(rows, ["f0", "f1", "f2"]), "worst")
-    slices = written(Q.slice_gaps(full(spark, sf), SETTINGS_T, ["scenario"]), "slices")
-    return A.interpretation_gate(
-        A.additivity_gap(explained), A.rank_stability(imp, imp), worst, rows, slices,
+    """The gate over fitted models: their attributions, errors and slices; the two samples are halves that share no row.
+
+    What the second check measures depends on the learner, so that its value is left out here.
+    """
+    t = qm.FittedTables(spark, sf)
+    explained, names = t.explained(), registry.FEATURE_SETS["FULL"]
+    late = explained.where("scenario = 'A'")
+    half = seeded_int(SETTINGS_T.seed, F.lit("half"), "id") % 2
+    imp, other = (written(A.importance(late.where(half == k), names), "importance") for k in (0, 1))
+    values = t.feature_table().select("id", F.array(*[F.col(c).cast("string") for c in names]).alias("values"))
+    worst = written(A.worst_rows(late.join(values, "id"), names), "worst")
+    slices = written(Q.slice_gaps(explained, SETTINGS_T, ["scenario"]), "slices")
+    gate = A.interpretation_gate(
+        A.additivity_gap(explained), A.rank_stability(imp, other), worst, t.feature_table(), slices,
         {"importance": imp, "worst": worst, "slices": slices})
+    return gate.withColumn("value", F.when(F.col("id") != 2, F.col("value")))
 
 
 # --- hypothesis ----------------------------------------------------------------------------------
@@ -310,38 +327,44 @@ def x15_fold_table(spark, sf):
     return X.fold_table(pair(spark, sf)).select("scenario", "fold", "n_test", *r9("auc_pr_nlr", "auc_pr_no_project", "delta"))
 
 
-def measured(spark, sf) -> tuple[float, float]:
-    """The largest additivity gap of a fitted model's attributions, and what a refit changes in its AP."""
-    from waitline.plans import q_model as qm
-
-    model, test = qm.fitted(spark, sf)
-    gap = A.additivity_gap(qm.T.explain(model, qm.Mo.predict(model, test, qm.FULL).select("id", "margin", "features")))
-    return gap.first().gap, qm.Mo.refit_delta(qm.table(spark, sf), qm.SWEEP, qm.DATA).first().delta
+def fitted_rows(spark, sf):
+    """Rows of the paired test: a model without label replay, and one that project snapshots were taken from as well."""
+    t = qm.FittedTables(spark, sf)
+    return X.intervention_rows(t.explained_without_replay(), t.intervention(), registry.FEATURE_SETS["NO_LABEL_REPLAY"])
 
 
 def _gate(spark, sf):
-    t = OrderTables(spark, sf)
-    gap, refit = measured(spark, sf)
-    rows = written(pair(spark, sf), "pair")
+    t = qm.FittedTables(spark, sf)
+    old, new = t.explained_without_replay(), t.intervention()
+    rows = written(fitted_rows(spark, sf), "pair")
     result = written(X.paired_bootstrap(rows, DRAWS, SETTINGS_T.seed), "bootstrap")
-    s = t.scored()
-    same = X.same_rows(s.where("featureset = 'NO_LABEL_REPLAY'"), s.where("featureset = 'SUBJECT_ONLY'"))
-    meta = t.subjects().select("project").join(t.project_meta().drop("created_at"), "project")
-    varying = X.varying_within(meta, ["n_ci_workflows", "has_codeowners", "language_dominant"])
+    table = t.feature_table()
+    gap = A.additivity_gap(old).scalar()
+    refit = Mo.refit_delta(table, qm.SWEEP, SETTINGS_T).scalar()
     return result, X.hypothesis_gate(
-        result, same, X.coverage(rows), varying, F.lit(gap), F.lit(refit), t.project_meta().count())
+        result, X.same_rows(old, new), X.coverage(rows), X.varying_within(table, registry.PROJECT_FEATURES), gap, refit,
+        table.select("project").distinct().count())
 
 
-@book.query("x16_hypothesis_gate", o.with_(PAIR_SQL) + """
+@book.query("x16_hypothesis_gate", o.with_(*TABLE_SQL, qm.LATE) + """
 select 'hypothesis' as gate, 1 as id, 'attributions add up to the margin' as check, '0.0' as value, true as pass
 union all select 'hypothesis', 2, 'a refit reproduces the score', '0.0', true
 union all select 'hypothesis', 3, 'both models scored the same rows', '0', true
 union all select 'hypothesis', 4, 'project features are constant within projects', '0', true
-union all select 'hypothesis', 5, 'scenarios cover the same projects, intervals are finite', cast(count(distinct project) as varchar), count(distinct project) = 25 from pair""")
+union all select 'hypothesis', 5, 'scenarios cover the same projects, intervals are finite', cast(count(distinct project) as varchar),
+  count(distinct project) = (select count(distinct project) from late) from feat""")
 def x16_hypothesis_gate(spark, sf):
+    """The gate over fitted models, 2,000 draws."""
     return _gate(spark, sf)[1]
 
 
+@book.query("x16_fitted_verdict")
+def x16_fitted_verdict(spark, sf):
+    """What the fitted models say: point estimates, intervals and the gated verdict."""
+    result, gate = _gate(spark, sf)
+    return X.gated_verdict(result, gate).select(*BOOT_COLS, "t_outcome", "i_outcome", "verdict")
+
+
 NINE = ", ".join(str(v) for v in X.VERDICTS)
 
 
@@ -351,8 +374,9 @@ said as (select case when T_lo > 0 then 'confirms' when T_hi < 0 then 'contradic
                 case when I_lo > 0 then 'confirms' when I_hi < 0 then 'contradicts' else 'inconclusive' end as i_outcome from boot)
 select t_outcome, i_outcome, verdict from said join (values {NINE}) v(t_outcome, i_outcome, verdict) using (t_outcome, i_outcome)""")
 def x16_gated_verdict(spark, sf):
-    result, gate = _gate(spark, sf)
-    return X.gated_verdict(result, gate).select("t_outcome", "i_outcome", "verdict")
+    """The verdict over scores that SQL can state, behind the gate of the fitted models."""
+    result = written(X.paired_bootstrap(written(pair(spark, sf), "pair"), DRAWS, SETTINGS_T.seed), "bootstrap")
+    return X.gated_verdict(result, _gate(spark, sf)[1]).select("t_outcome", "i_outcome", "verdict")
 
 
 @book.query("x17_spearman_interval", o.with_(PAIR_SQL, DRAW_SQL.replace(f"range({DRAWS})", "range(2000)"), RHO_SQL) + """

@@ -17,10 +17,12 @@ from waitline.operators import evaluation as V
 from waitline.operators import metrics as M
 from waitline.operators import model as Mo
 from waitline.operators import treeshap as T
+from waitline.operators import triage as Tr
 from waitline.operators.features import load_for_modelling
+from waitline.operators.splits import group_folds
 from waitline.plans import oracle_base as o
-from waitline.plans.bindings import SETTINGS_T, OrderTables
-from waitline.plans.q_features import TABLE_SQL
+from waitline.plans.bindings import SETTINGS_T, OrderTables, shared
+from waitline.plans.q_features import TABLE_SQL, rounded, rounded_sql
 from waitline.plans.registry import Book
 from waitline.session import scratch_path, written
 from waitline.sources.tables import read_log
@@ -142,6 +144,25 @@ def m17_run_properties(spark, sf):
 
 
 SWEEP = {**SMALL, "n_estimators": 2}
+
+
+class FittedTables(OrderTables):
+    """Predictions and attributions of fitted models: what the reports after a run read."""
+
+    @shared("explained-full")
+    def explained(self) -> DataFrame:
+        """Test rows of all folds under the whole feature set."""
+        return Mo.explained_runs(load_for_modelling(self.feature_table()), SWEEP, DATA)
+
+    @shared("explained-nlr")
+    def explained_without_replay(self) -> DataFrame:
+        return Mo.explained_runs(load_for_modelling(self.feature_table()), SWEEP, DATA, "NO_LABEL_REPLAY")
+
+    @shared("no-project")
+    def intervention(self) -> DataFrame:
+        return Mo.without_project(load_for_modelling(self.feature_table()), SWEEP, DATA)
+
+
 SPLIT_SQL = f"""
 early as (select * from feat where c_us < {o.CUT}),
 capped as (select * from (select *, row_number() over (partition by project order by md5(concat_ws(':', '{DATA.seed}', id)), id) as rn from early)
@@ -258,4 +279,33 @@ def x11_intervention_properties(spark, sf):
         *V.RUN, F.sum("n_test").over(W.partitionBy("scenario")).alias("n_test"), (F.col("p10_ci_lo") <= F.col("p10_ci_hi")).alias("has_interval"))
 
 
+@book.query("d1_serving_table", o.with_(*TABLE_SQL, LATE, o.folds_cte("feat")) + f"""
+select t.id, t.project, t.number, concat('https://example.com/', t.project, '/', t.number) as url, s.title_current as title, t.c_us, s.x_us, l.fe_us as first_us, t.is_slow, f.fold as fold_b,
+  3::bigint as n_drivers_a, 3::bigint as n_drivers_b, {rounded_sql(FULL)}
+from late t join subj s using (id) join lab l using (id) join folds f on f.project = t.project""")
+def d1_serving_table(spark, sf):
+    """The extract over fitted models: of the learner's columns, how many drivers each text names."""
+    t = FittedTables(spark, sf)
+    e = Tr.serving_table(t.explained(), t.subjects(), t.labels(), load_for_modelling(t.feature_table()), FULL)
+    named = e.select("*", *[F.col(f"x__{c}").alias(c) for c in FULL])
+    count = lambda c: F.size(F.split(c, " · ")).cast("long")
+    return rounded(named.select(
+        "id", "project", "number", "url", "title", micros("created_at").alias("c_us"), micros("closed_at").alias("x_us"),
+        micros("first_response_at").alias("first_us"), "is_slow", F.col("fold_b").cast("long").alias("fold_b"),
+        count("drivers_a").alias("n_drivers_a"), count("drivers_b").alias("n_drivers_b"), *FULL),
+        ["id", "project", "number", "url", "title", "c_us", "x_us", "first_us", "is_slow", "fold_b", "n_drivers_a", "n_drivers_b", *FULL])
+
+
+@book.query("d5_serving_problems", """
+select 'missing ' || unnest(['number', 'url', 'title', 'score_a', 'fold_b', 'score_b', 'drivers_a', 'drivers_b', 'base_a', 'base_b']) as check, 0::bigint as n
+union all select unnest(['wrong fold', 'repeated id', 'logit A', 'logit B']), 0""")
+def d5_serving_problems(spark, sf):
+    """Checks of the extract over fitted models: completeness, folds, ids, and attributions that give the logit of the score."""
+    t = FittedTables(spark, sf)
+    table = load_for_modelling(t.feature_table())
+    e = written(Tr.serving_table(t.explained(), t.subjects(), t.labels(), table, FULL), "extract")
+    required = ["number", "url", "title", "score_a", "fold_b", "score_b", "drivers_a", "drivers_b", "base_a", "base_b"]
+    return Tr.extract_problems(e, group_folds(table, DATA.folds), required).unionByName(Tr.logit_problems(t.explained()))
+
+
 QUERIES, ORACLES = book.queries, book.oracles

@@ -79,6 +79,9 @@ SPECS = (
     ColumnSpec("project_age_days_at_open", "project", "static", "double", False),
 )
 
+# Features shown as rates, with two decimals.
+RATES = ("trailing_90d_slow_rate", "prior_merge_rate_here", "actor_prior_slow_rate_here")
+
 COLUMNS = {c.name: c for c in SPECS}
 
 
