@@ -7,6 +7,7 @@ as many texts as the token budget holds at that boundary.
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waitline.llm.common import hash_mod, map_texts, numbered
+from waitline.session import written
 
 #: Buckets, tokens of a batch, cells of a bucket for numbering.
 BUCKETS, BUDGET, CELLS = 16, 65_536, 4096
@@ -29,15 +31,16 @@ def _tokenizer(path: str):
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens: words, or tokens of the tokenizer file at that path, and one for the end of the text."""
+    """doc_id, n_tokens, text_crc32: words, or tokens of the tokenizer file at that path, and one for the end of the text."""
 
     def count(texts: list) -> dict:
+        crc = [zlib.crc32((x or "").encode()) for x in texts]
         if tokenizer is None:  # bytes split at space and the control characters 9 to 13
-            return {"n_tokens": [len((x or "").encode().split()) + 1 for x in texts]}
+            return {"n_tokens": [len((x or "").encode().split()) + 1 for x in texts], "text_crc32": crc}
         found = _tokenizer(tokenizer).encode_batch([x or "" for x in texts], add_special_tokens=False)
-        return {"n_tokens": [len(x.ids) + 1 for x in found]}
+        return {"n_tokens": [len(x.ids) + 1 for x in found], "text_crc32": crc}
 
-    return map_texts(docs, count, "n_tokens long")
+    return map_texts(docs, count, "n_tokens long, text_crc32 long")
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -78,26 +81,24 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return [int(lengths[e - 1]) for e in reversed(ends)]
 
 
-def histogram(rows: DataFrame, bins: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """The distinct lengths, ascending, how many rows have each, and the grain.
+def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct lengths, ascending, and how many rows have each.
 
-    D distinct lengths take at least D (D + 1) / 2 tokens, so that they are few even where texts are very long.  Only
-    with ``bins``, which ``pack`` does not set, lengths are rounded up to a grain that leaves at most so many.
+    D distinct lengths take at least D (D + 1) / 2 tokens, so that they are few even where texts are very long.
     """
-    longest = rows.agg(F.max("n_tokens")).first()[0] or 0 if bins else 0
-    grain = max(1, -(-longest // bins)) if bins else 1
-    held = rows.groupBy((F.ceil(F.col("n_tokens") / grain) * grain if bins else F.col("n_tokens")).alias("length")).count().orderBy("length").collect()
-    return np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64), grain
+    held = rows.groupBy(F.col("n_tokens").alias("length")).count().orderBy("length").collect()
+    return np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch_id, place, padding of every row.
 
     A text longer than the budget is a batch of its own, whole.  Null and empty texts have one token.  Batches are
-    numbered without gaps over all buckets; repeated rows take a place each.  An empty table gives an empty result.
+    numbered without gaps over all buckets; repeated rows take a place each.  Rows without an id are spread by their
+    texts.  An empty table gives an empty result.
     """
-    rows = token_lengths(docs, tokenizer)
-    lengths, counts, _ = histogram(rows)
+    rows = written(token_lengths(docs, tokenizer), "lengths")  # texts are read and taken apart once
+    lengths, counts = histogram(rows)
     ends = boundaries(lengths, counts, buckets) if len(lengths) else [1]
     fits = [max(1, budget // e) for e in ends]
     held = [int(counts[(lengths <= e) & (lengths > (ends[k - 1] if k else 0))].sum()) if len(lengths) else 0 for k, e in enumerate(ends)]
@@ -105,7 +106,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokenize
     of = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
     bucket = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e < F.col("n_tokens")))
     placed = rows.withColumn("bucket", bucket.cast("int"))
-    placed = numbered(placed, ["bucket"], hash_mod(F.col("doc_id"), CELLS), ["doc_id", "n_tokens"], "_at", len(ends) * CELLS)
+    cell = hash_mod(F.when(F.col("doc_id").isNull(), F.col("text_crc32").cast("string")).otherwise(F.col("doc_id").cast("string")), CELLS)
+    placed = numbered(placed, ["bucket"], cell, ["doc_id", "n_tokens"], "_at", len(ends) * CELLS)
     return placed.select(
         "doc_id", "n_tokens", "bucket", of(ends).alias("bucket_len"),
         (of(first[:-1]) + F.floor(F.col("_at") / of(fits))).cast("long").alias("batch_id"),
