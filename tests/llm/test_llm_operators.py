@@ -103,6 +103,21 @@ def test_toxic_words_and_compounds_are_learned(spark):
     assert min(got[i].severity for i in range(0, 600, 6)) > max(got[i].severity for i in range(600) if i % 6)
 
 
+def test_scores_equal_the_definition_on_every_document(spark, docs, texts):
+    """Severity from the model's weights and thresholds, each feature counted by a plain scan over the words."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model is not None and model.thresholds == sorted(model.thresholds)
+    for r in toxicity.score(docs, model).collect():
+        found = "".join(c if c.isalnum() else " " for c in (texts[r.doc_id] or "").lower()).split()
+        s = 0.0
+        for f, w in model.weights.items():
+            hit = (lambda x: len(x) >= len(f) and x.startswith(f[:-1])) if f.endswith("-") else f.__eq__
+            s += w * math.log1p(sum(map(hit, found)))
+        above = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert abs(r.severity - sum(above)) < 2e-6 and abs(r.p_toxic - above[0]) < 2e-6
+        assert r.grade == sum(a >= 0.5 for a in above) and r.rejected == (above[0] >= toxicity.REJECT)
+
+
 def test_without_both_labels_nothing_goes(odd, spark):
     assert toxicity.fit(odd, spark.createDataFrame([(1, 0)], "doc_id long, toxic int")) is None
     assert not any(r.rejected for r in toxicity.score(odd, None).collect())
@@ -393,6 +408,42 @@ def test_code_switched_words_follow_their_neighbours():
     assert (post[0, :4, 0] > 0.5).all() and (post[0, 4:, 1] > 0.5).all() and post[0, 2, 0] > 0.8
 
 
+def test_runs_of_a_text_in_two_languages(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = defaultdict(list)
+    for r in d.where("text is not null and lang is not null").orderBy("doc_id").limit(400).collect():
+        w = language_id.words(r.text)
+        if len(w) >= 40 and len(by[r.lang]) < 5:
+            by[r.lang].append(w[:40])
+    langs = sorted(x for x in by if by[x])
+    mixed = [(a, b, by[a][k % len(by[a])] + by[b][k % len(by[b])]) for a in langs for b in langs if a != b for k in range(3)]
+    assert len(mixed) >= 6
+    model = language_id.fit(language_id.held_out(d.select("doc_id", "text", "lang")).where("not held_out"))
+    got = {r.doc_id: r for r in language_id.predict(frame(spark, [(i, " ".join(w)) for i, (_, _, w) in enumerate(mixed)]), model).collect()}
+    right = 0
+    for i, (a, b, w) in enumerate(mixed):
+        runs = got[i].runs
+        assert [r.start for r in runs] == [0, *[r.end for r in runs[:-1]]] and runs[-1].end == len(w) == got[i].n_words
+        assert all(x.lang != y.lang for x, y in zip(runs, runs[1:]))
+        right += sum(min(r.end, 40) - r.start for r in runs if r.lang == a and r.start < 40)
+        right += sum(r.end - max(r.start, 40) for r in runs if r.lang == b and r.end > 40)
+    assert right / (80 * len(mixed)) > 0.9
+
+
+def test_words_get_the_label_of_whole_sequences():
+    r = np.random.default_rng(8)
+    lengths = np.array([0, 1, 63, 64, 65, 500, 0, 3])
+    e, move = r.random((40, 3)) + 0.05, r.random((3, 3)) + 0.05
+    code = r.integers(0, 40, lengths.sum())
+    _, label = language_id.text_posteriors(code, lengths, e, move)
+    runs, at = language_id.language_runs(label, lengths, ["a", "b", "c"]), 0
+    for row, n in zip(runs, lengths):
+        told = [x["lang"] for x in row for _ in range(x["start"], x["end"])]
+        want = language_id.forward_backward(e[code[at:at + n]][None], move)[0][0].round(9).argmax(axis=1) if n else []
+        assert told == ["abc"[k] for k in want]
+        at += n
+
+
 def test_texts_without_letters_are_und(odd):
     got = {(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(odd).collect()}
     assert {(2, "und", 0.0), (3, "und", 0.0), (7, "und", 0.0)} <= got and (1, "en", 1.0) in got
@@ -687,8 +738,22 @@ def test_batches_hold_the_budget(docs, texts):
         assert len(held) * held[0].bucket_len <= 4096 or len(held) == 1
 
 
-def test_coarse_histogram_and_tokenizer(docs, texts):
-    lengths, counts, grain = packing.histogram(packing.token_lengths(docs), bins=50)
-    assert grain > 1 and (lengths % grain == 0).all() and counts.sum() == len(texts)
+def test_histogram_and_tokenizer(docs, texts):
+    lengths, counts = packing.histogram(packing.token_lengths(docs))
+    assert (np.diff(lengths) > 0).all() and counts.sum() == len(texts)
     n = packing.token_lengths(docs.limit(20), "/opt/tokenizers/byte_bpe_50k.json").collect()
     assert len(n) == 20 and all(r.n_tokens > 1 for r in n if texts[r.doc_id])
+
+
+def test_rows_without_ids_are_spread_and_batched(spark, monkeypatch):
+    cells, real = [], packing.numbered
+    monkeypatch.setattr(packing, "numbered", lambda df, group, cell, *a: (cells.append(df.select(cell.alias("c")).distinct().count()), real(df, group, cell, *a))[1])
+    rows = packing.pack(frame(spark, [(None, f"w{i} x y") for i in range(300)] + [(7, "x y z"), (7, "x y z")]), 4, 40).collect()
+    assert cells[0] > 200 and len(rows) == 302
+    places = Counter((r.batch_id, r.place) for r in rows)
+    assert max(places.values()) == 1 and {b for b, _ in places} == set(range(-(-302 // 10)))
+
+
+def test_texts_are_taken_apart_once(docs):
+    plan = packing.pack(docs)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan

@@ -152,7 +152,14 @@ def forward_backward(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def text_shares(code: np.ndarray, lengths: np.ndarray, e: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Mean posterior of each language over the words of each text.
+    """Mean posterior of each language over the words of each text."""
+    return text_posteriors(code, lengths, e, move)[0]
+
+
+def text_posteriors(code: np.ndarray, lengths: np.ndarray, e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean posterior of each language over the words of each text, and the likeliest language of every word.
+
+    Of languages that are equal to nine decimals the first one labels the word.
 
     Texts are cut into blocks.  The product of a block's steps is a small matrix; along these matrices the state at
     every block's edge is exact, so that all blocks then go forward and backward together.
@@ -187,15 +194,33 @@ def text_shares(code: np.ndarray, lengths: np.ndarray, e: np.ndarray, move: np.n
         new /= new.sum(axis=1, keepdims=True)
         now = np.where(real[:, t, None], new, now)
         ahead[t] = now
-    sums, now = np.zeros((total, k)), end
+    sums, now, label = np.zeros((total, k)), end, np.zeros(len(code), np.int64)
     for t in range(BLOCK - 1, -1, -1):
         post = ahead[t] * now
-        sums += np.where(real[:, t, None], post / post.sum(axis=1, keepdims=True), 0.0)
+        post = post / post.sum(axis=1, keepdims=True)
+        sums += np.where(real[:, t, None], post, 0.0)
+        live = real[:, t]
+        label[at[live, t]] = post[live].round(9).argmax(axis=1)
         new = (seen[:, t] * now) @ move.T
         now = np.where(real[:, t, None], new / new.sum(axis=1, keepdims=True), now)
     shares = np.zeros((docs, k))
     np.add.at(shares, owner, sums)
-    return shares / np.maximum(lengths, 1)[:, None]
+    return shares / np.maximum(lengths, 1)[:, None], label
+
+
+def language_runs(label: np.ndarray, lengths: np.ndarray, languages: list[str]) -> list[list[dict]]:
+    """Of each text, its maximal runs of words of one language: lang, start and end (exclusive) as places of words."""
+    edge = np.concatenate([[0], np.cumsum(lengths)])
+    new = np.ones(len(label), bool)
+    new[1:] = label[1:] != label[:-1]
+    new[edge[:-1][lengths > 0]] = True
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(label))
+    owner = np.searchsorted(edge, begin, side="right") - 1
+    out: list[list[dict]] = [[] for _ in lengths]
+    for i, a, b in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
+        out[i].append({"lang": languages[label[a]], "start": a - int(edge[i]), "end": b - int(edge[i])})
+    return out
 
 
 def _parts(found: list[list[str]], size: int = 300_000):
@@ -209,29 +234,33 @@ def _parts(found: list[list[str]], size: int = 300_000):
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, n_words of every row.
+    """doc_id, lang_pred, score, n_words, runs of every row.
+
+    ``runs`` labels the words: maximal runs of one language (lang, start, end), which cover the text's words in order.
 
     ``und`` with score 0 if the text is null or has no letter, or without a model; of equal shares the first language
-    in alphabetical order wins.  Repeated rows get equal results.
+    in alphabetical order wins, of a text as of a word.  Texts without words have no runs.  Very long texts are labelled
+    whole, in blocks whose edges are exact.  Repeated rows get equal results; an empty table gives an empty result.
     """
 
     def each(texts: list) -> dict:
         found = list(map(words, texts))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        named, score = ["und"] * len(texts), np.zeros(len(texts))
+        named, score, runs = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
         if model is not None and lengths.any():
             move = np.exp(model.move - model.move.max())
             for a, b in _parts(found):
                 if not lengths[a:b].any():
                     continue
                 code, names = pd.factorize(np.array([w for x in found[a:b] for w in x], object))
-                shares = text_shares(code, lengths[a:b], _positive(emissions(list(names), model)), move)
+                shares, label = text_posteriors(code, lengths[a:b], _positive(emissions(list(names), model)), move)
+                runs[a:b] = language_runs(label, lengths[a:b], model.languages)
                 best = shares.round(9).argmax(axis=1)
                 for i in np.flatnonzero(lengths[a:b]):
                     named[a + i], score[a + i] = model.languages[best[i]], min(1.0, round(float(shares[i, best[i]]), 6))
-        return {"lang_pred": named, "score": score, "n_words": lengths}
+        return {"lang_pred": named, "score": score, "n_words": lengths, "runs": runs}
 
-    return map_texts(docs, each, "lang_pred string, score double, n_words long")
+    return map_texts(docs, each, "lang_pred string, score double, n_words long, runs array<struct<lang: string, start: int, end: int>>")
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -241,6 +270,6 @@ def held_out(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, n_words of every row; learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score, n_words, runs of every row; learned from the rows that are not held out."""
     model = fit(held_out(docs.select("doc_id", "text", "lang")).where("not held_out"), sample)
-    return held_out(predict(id_and_text(docs), model)).select("doc_id", "held_out", "lang_pred", "score", "n_words")
+    return held_out(predict(id_and_text(docs), model)).select("doc_id", "held_out", "lang_pred", "score", "n_words", "runs")

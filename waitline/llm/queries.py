@@ -32,7 +32,10 @@ def op5_exact_dedup(spark, sf_dir):
 
 
 def op6_language_id(spark, sf_dir):
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    """Runs of one language as lang:start:end, places of words, joined by commas."""
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    text = F.transform("runs", lambda r: F.concat_ws(":", r["lang"], r["start"].cast("string"), r["end"].cast("string")))
+    return found.withColumns({"n_runs": F.size("runs").cast("long"), "runs": F.array_join(text, ",")})
 
 
 def op7_simhash(spark, sf_dir):
