@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from waitline.plans import raw_pages
+from waitline.plans.bindings import OrderTables
 from waitline.sources import pages as P
 from waitline.sources import tables as S
-from waitline.sources.parse import TABLES, parse
+from waitline.sources.parse import TABLES, good_nodes, parse, parsed_pages
 from waitline.streaming import ingest as I
 
 
@@ -166,3 +168,47 @@ def test_absent_tables_are_empty_and_log_is_strict(spark, tmp_path):
         S.log_runs(spark.createDataFrame([("A", "red")], "scenario string, colour string"), str(tmp_path / "log"))
     S.log_runs(spark.createDataFrame([("A", 0.5)], "scenario string, auc_pr double"), str(tmp_path / "log"))
     assert S.read_log(spark, str(tmp_path / "log")).first().auc_pr == 0.5
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_texts_stay_where_they_are_read(spark, collected, tmp_path):
+    """However long the manifest, only digests are shuffled; a page listed twice comes twice, one not listed not at all."""
+    pages_dir, manifest = collected
+    records = P.page_records(P.read_manifest(spark, manifest).where("not torn"))
+    write_page(tmp_path / "raw", 2, 4, [node("n9")])
+    pages = P.read_pages(spark, pages_dir)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        good = P.good_pages(records.unionByName(records.where("page_index = 1")), pages)
+        assert "Exchange hashpartitioning" not in plan_of(good)
+        assert sorted((r.tier, r.page_index) for r in good.collect()) == [(1, 0), (1, 1), (1, 1), (2, 0)]
+        status = P.page_status(records, pages)
+        parsed = parsed_pages(pages)
+        nodes = good_nodes(parsed, status)
+        assert "Exchange hashpartitioning" not in plan_of(nodes)
+        assert sorted((r.tier, r.page_index, r.position) for r in nodes.collect()) == [(1, 0, 0), (1, 0, 2), (1, 1, 0), (1, 1, 1), (2, 0, 0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_raw_pages_move_short_rows(spark, tmp_path):
+    """Only columns of the tables are shuffled for a page, not its nodes; a repeat joins the page whose number it gets."""
+    day = "timestamp'1996-02-03'"
+    spark.sql("select 0L n_nationkey, 'NATION_1' n_name, 0L n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("select 1L c_custkey, 0L c_nationkey, 'A' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql(f"select id o_orderkey, 1L o_custkey, 'F' o_orderstatus, 1.0D o_totalprice, {day} o_orderdate, '5-LOW' o_orderpriority"
+              " from values (3L), (2L), (4500007L) t(id)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(f"select id l_orderkey, 5L l_partkey, 6L l_suppkey, 1L l_linenumber, 2.0D l_quantity, 0.06D l_discount, 0.01D l_tax, flag l_returnflag, 'O' l_linestatus,"
+              f" {day} l_shipdate from values (2L, 'R'), (2L, 'A'), (4500007L, 'N') t(id, flag)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = OrderTables(spark, str(tmp_path))
+    folder, manifest = raw_pages.raw(t)
+    pages, listed = P.read_pages(spark, folder, raw_pages.FOLDERS), P.read_manifest(spark, manifest).where("sha256 is not null")
+    assert {r.status for r in P.page_status(listed, pages).collect()} == {"ok"} and pages.count() == listed.count() == 4
+    got = P.page_nodes(P.good_pages(listed, pages)).select("tier", "page_index", "position", "node.number").collect()
+    assert sorted(got) == [(1, 0, 0, 2), (1, 0, 1, 3), (1, 900, 0, 2), (1, 900, 1, 3), (1, 900, 2, 4500007), (2, 0, 0, 2), (2, 0, 1, 3), (2, 900, 0, 4500007)]
+    moved = [line for line in plan_of(raw_pages._page_rows(t)).splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and "named_struct(id" not in plan_of(raw_pages._page_rows(t))
