@@ -212,3 +212,20 @@ def test_raw_pages_move_short_rows(spark, tmp_path):
     assert sorted(got) == [(1, 0, 0, 2), (1, 0, 1, 3), (1, 900, 0, 2), (1, 900, 1, 3), (1, 900, 2, 4500007), (2, 0, 0, 2), (2, 0, 1, 3), (2, 900, 0, 4500007)]
     moved = [line for line in plan_of(raw_pages._page_rows(t)).splitlines() if "Exchange hashpartitioning" in line]
     assert moved and "named_struct(id" not in plan_of(raw_pages._page_rows(t))
+
+
+def test_earliest_moves_only_what_repeats(spark, tmp_path, monkeypatch):
+    """Rows whose key comes once are not shuffled; null keys are keys, ties go to the least payload, with a long list of repeats as well."""
+    given = [("p", 1, "a", 5, "x"), ("p", 1, "a", 2, "z"), ("p", 1, "a", 2, "y"), ("p", 2, "a", 9, "x"), (None, 1, "b", 3, "u"), (None, 1, "b", 1, "v"),
+             ("p", 1, None, None, None)]
+    rows = spark.createDataFrame(given, I.SCHEMA)
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.schema(I.SCHEMA).parquet(f"{tmp_path}/rows")
+    want = {("p", 1, "a", 2, "y"), ("p", 2, "a", 9, "x"), (None, 1, "b", 1, "v"), ("p", 1, None, None, None)}
+    got = I.earliest(rows)
+    assert "LeftAnti" in plan_of(got) and "SortMergeJoin" not in plan_of(got)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 4
+    # What nobody asks for is not read for the rows that stay.
+    assert "payload" not in plan_of(got.groupBy("project").agg(F.count("*"))).split("Union")[1].split("LeftAnti")[1].split("LeftSemi")[0].split("ReadSchema")[1]
+    monkeypatch.setattr(I, "MOST_REPEATS", 1)
+    assert {tuple(r) for r in I.earliest(rows).collect()} == want
