@@ -225,3 +225,16 @@ def test_each_broken_measure_flips_only_its_check(spark, broken, failed):
     assert {r.id for r in gate.collect() if not r["pass"]} == failed
     if not failed & {5}:
         assert X.gated_verdict(result, gate).count() == (0 if failed & {1, 2} else 1)
+
+
+def test_a_subset_without_any_push_has_figures_but_no_verdict(spark):
+    rows = spark.range(60).selectExpr(
+        "if(id % 2 = 0, 'A', 'B') as scenario", "0L as fold", "concat('p', id div 2 % 6) as project", "id % 5 < 2 as is_slow",
+        "(id % 7) / 7D as p_nlr", "(id % 11) / 11D as p_no_project", "0D as contrib")
+    result = X.paired_bootstrap(rows, 20, 7)
+    gate = spark.createDataFrame([(1, True), (2, True), (5, False)], "id int, pass boolean")
+    r = X.gated_verdict(result, gate).first()
+    assert r.T_lo is None and r.dropped_T == 20 and r.I_lo <= r.I_hi and r.delta_a is not None
+    assert (r.t_outcome, r.i_outcome, r.verdict) == (None, None, None)
+    stopped = spark.createDataFrame([(1, False), (2, True), (5, False)], "id int, pass boolean")
+    assert X.gated_verdict(result, stopped).count() == 0
