@@ -6,6 +6,7 @@ from waitline import registry
 from waitline.conf import Settings
 from waitline.operators import atopen as A
 from waitline.operators import features as X
+from waitline.operators import labels as L
 from waitline.operators import replay as R
 from waitline.plans.bindings import OrderTables
 
@@ -108,3 +109,16 @@ def test_priors_fall_back_to_all_rows(spark):
     rows = spark.createDataFrame([(at("2026-02-01T00:00:00"), True, None), (at("2026-03-01T00:00:00"), False, None)],
                                  "created_at timestamp, is_slow boolean, merged_at timestamp")
     assert tuple(X.priors(rows, s).first()) == (0.5, 0.0)
+
+
+def test_lines_are_shuffled_once_on_their_way_to_labels_and_events(spark, capsys):
+    t = OrderTables(spark, SF)
+    rows = spark.createDataFrame([("1", "c1", at("1996-01-01T00:00:00"))], "id string, actor_login string, created_at timestamp")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (A.timeline_summary(rows, t.timeline(), t.settings), L.first_events(rows, t.responses())):
+            df.explain()
+            assert capsys.readouterr().out.count("Exchange hashpartitioning") == 3  # lines, orders, rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
