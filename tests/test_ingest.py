@@ -214,6 +214,28 @@ def test_raw_pages_move_short_rows(spark, tmp_path):
     assert moved and "named_struct(id" not in plan_of(raw_pages._page_rows(t))
 
 
+def test_orders_and_lines_are_dealt_to_their_page_at_once(spark, tmp_path):
+    """Lines and orders are shuffled once each, whatever their size; of an order row that comes twice each meets both, with all lines."""
+    day = "timestamp'1996-02-03'"
+    spark.sql("select 0L n_nationkey, 'NATION_2' n_name, 0L n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("select 1L c_custkey, 0L c_nationkey, 'A' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql(f"select id o_orderkey, c o_custkey, 'F' o_orderstatus, 1.0D o_totalprice, {day} o_orderdate, p o_orderpriority"
+              " from values (7L, 1L, 'x'), (7L, 9L, 'y'), (8L, 1L, 'z'), (null, 1L, 'z') t(id, c, p)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(f"select id l_orderkey, 5L l_partkey, 6L l_suppkey, 1L l_linenumber, 2.0D l_quantity, 0.06D l_discount, 0.01D l_tax, 'R' l_returnflag, 'O' l_linestatus,"
+              f" {day} l_shipdate from values (7L), (null), (9L) t(id)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = raw_pages._page_rows(OrderTables(spark, str(tmp_path)))
+        moved = [line for line in plan_of(rows).splitlines() if "Exchange hashpartitioning" in line]
+        assert sum("page_index" in m for m in moved) == 1 and not [m for m in moved if "orderkey" in m or "number" in m]
+        page, = rows.collect()
+        assert (page.project, page.page_index, page.tiers) == ("NATION_2", 0, [1, 2])
+        assert [(o.number, o.o_orderpriority, o["items"] and len(o["items"])) for o in page.n] == [(7, "x", 2), (7, "y", 2), (8, "z", None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_earliest_moves_only_what_repeats(spark, tmp_path, monkeypatch):
     """Rows whose key comes once are not shuffled; null keys are keys, ties go to the least payload, with a long list of repeats as well."""
     given = [("p", 1, "a", 5, "x"), ("p", 1, "a", 2, "z"), ("p", 1, "a", 2, "y"), ("p", 2, "a", 9, "x"), (None, 1, "b", 3, "u"), (None, 1, "b", 1, "v"),
