@@ -134,3 +134,17 @@ def test_hit_rate_equals_enumeration_of_rounds(spark):
         rates.append(sum(wins) / len(wins))
     r = D.game_hit_rate(spark.createDataFrame(rows, TRI)).first()
     assert r.n_groups == 2 and r.hit_rate == pytest.approx(sum(rates) / 2)
+
+
+def test_wide_rows_meet_their_roles_once(spark):
+    """Every run reads the same written rows and shuffles none of them; repeated ids come as often as a join gives them."""
+    table = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "id string, n int")
+    given = [("A", 0, "train", "a"), ("A", 0, "train", "a"), ("B", 1, "test", "a"), ("A", 0, "test", "b"), ("A", 0, "test", None)]
+    roles = spark.createDataFrame(given, "scenario string, fold long, role string, id string")
+    held = Mo.with_roles(table, roles)
+    assert Mo.with_roles(held, roles) is held
+    for s, f, role in [("A", 0, "train"), ("A", 0, "test"), ("B", 1, "test"), ("B", 1, "train")]:
+        want = table.join(roles.where((F.col("scenario") == s) & (F.col("fold") == f) & (F.col("role") == role)).select("id"), "id")
+        got = Mo.in_role(held, s, f, role)
+        assert got.columns == table.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
