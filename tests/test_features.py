@@ -122,3 +122,11 @@ def test_lines_are_shuffled_once_on_their_way_to_labels_and_events(spark, capsys
             assert capsys.readouterr().out.count("Exchange hashpartitioning") == 3  # lines, orders, rows
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_no_row_is_shuffled_to_its_project_for_metadata(spark):
+    t = OrderTables(spark, SF)
+    rows = t.subjects()
+    built = X.build(rows, t.history(), t.responses(), t.timeline(), A.commits_at_open(rows, t.commits()), t.project_meta(), t.kept(), t.settings)
+    joins = [x for x in built._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [project#" in x]
+    assert joins and not [x for x in joins if "SortMergeJoin" in x]

@@ -139,3 +139,21 @@ RATE, BACKLOG = "trailing_90d_slow_rate", "open_backlog_at_t"
 ])
 def test_audit_fails_on_any_wrong_missing_or_null_value(spark, monkeypatch, change):
     assert audit(spark, monkeypatch, change)["pass"] is False
+
+
+def test_actors_with_few_rows_move_once(spark):
+    h, l, p = random_frames(spark, 5, 60)
+    plan = R.features_at(h, l, p, Settings(), 0.3, 0.2)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(project#" in x and "actor_key#" in x]) == 1
+
+
+def test_crowded_actors_run_in_two_levels_with_the_same_values(spark, monkeypatch):
+    h, l, p = random_frames(spark, 6)
+    nowhere = spark.createDataFrame([(f"n{i}", None, at("2024-04-01T00:00:00"), "big") for i in range(40)], PROBE)
+    asked, s = p.unionByName(nowhere), Settings().but(actor_bucket_days=20)
+    want = rows_of(R.features_at(h, l, asked, s, 0.3, 0.2))
+    ran, real = [], R.running_totals
+    monkeypatch.setattr(R, "running_totals", lambda df, keys, *a, **k: ran.append(list(keys)) or real(df, keys, *a, **k))
+    monkeypatch.setattr(R, "CROWD", 30)
+    assert rows_of(R.features_at(h, l, asked, s, 0.3, 0.2)) == want and len(want) == 290
+    assert ["project", "actor_key"] in ran
