@@ -127,6 +127,11 @@ def test_lines_are_shuffled_once_on_their_way_to_labels_and_events(spark, capsys
 def test_no_row_is_shuffled_to_its_project_for_metadata(spark):
     t = OrderTables(spark, SF)
     rows = t.subjects()
-    built = X.build(rows, t.history(), t.responses(), t.timeline(), A.commits_at_open(rows, t.commits()), t.project_meta(), t.kept(), t.settings)
-    joins = [x for x in built._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [project#" in x]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        built = X.build(rows, t.history(), t.responses(), t.timeline(), A.commits_at_open(rows, t.commits()), t.project_meta(), t.kept(), t.settings)
+        joins = [x for x in built._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [project#" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert joins and not [x for x in joins if "SortMergeJoin" in x]
