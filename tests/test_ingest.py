@@ -251,3 +251,60 @@ def test_earliest_moves_only_what_repeats(spark, tmp_path, monkeypatch):
     assert "payload" not in plan_of(got.groupBy("project").agg(F.count("*"))).split("Union")[1].split("LeftAnti")[1].split("LeftSemi")[0].split("ReadSchema")[1]
     monkeypatch.setattr(I, "MOST_REPEATS", 1)
     assert {tuple(r) for r in I.earliest(rows).collect()} == want
+
+
+def test_fields_that_are_left_out_change_no_row(spark, tmp_path):
+    """Each entity's own fields give the rows of whole nodes, also where other values are of another type or missing."""
+    odd = {"title": ["x"], "isDraft": "maybe", "reviews": {"totalCount": "60", "nodes": [{"id": {"a": 1}, "state": 3, "submittedAt": 5}, None, {}]},
+           "comments": {"totalCount": 1, "nodes": [{"isMinimized": "no", "createdAt": "2025-01-02T00:00:00Z"}, {}]}, "labels": {"nodes": [None, {"name": "l"}]},
+           "reviewThreads": {"totalCount": 2, "nodes": [{"id": "t", "isResolved": 1, "comments": {"totalCount": 12, "nodes": [{"id": "c"}, None]}}, {}]},
+           "commits": {"totalCount": 1, "nodes": [{"commit": {"oid": 1, "authoredDate": "2024-12-31T00:00:00Z", "additions": "many", "deletions": 7}}, {"commit": None}]},
+           "timelineItems": {"totalCount": 2, "nodes": [{"__typename": "A", "createdAt": "2025-01-03T00:00:00Z", "label": 4}, {"createdAt": "2025-01-02T00:00:00Z"}]}}
+    given = [node("n1"), node("n2", **odd), node("n3", author={"login": 4, "databaseId": "z"}, number="no"), {**node("n4"), "id": None}, node("n5", reviews=[], commits=3)]
+    for tier in (1, 2):
+        write_page(tmp_path, tier, 0, given)
+    pages = P.read_pages(spark, str(tmp_path))
+    whole = lambda *names: {n: P.NODE_FIELDS[n] for n in names}
+    entities = [
+        (P.HISTORY_FIELDS, P.history_rows, 4), (P.SUBJECT_FIELDS, P.subject_rows, 4), (whole("reviews"), P.review_rows, 2), (whole("reviewThreads"), P.thread_comment_rows, 1),
+        (whole("comments"), P.issue_comment_rows, 1), (whole("timelineItems"), P.timeline_rows, 2), (whole("commits"), P.commit_rows, 2),
+        (P.RESPONSE_FIELDS, P.response_rows, 4), (P.CHECKED_FIELDS, P.order_violations, 1), (P.CHECKED_FIELDS, lambda n: n.select("node.id", P.truncated().alias("t")), 8),
+        ({}, lambda n: n.select("tier", "node.id", "position"), 8)]
+    for fields, rows, n in entities:
+        assert len(P.page_schema(fields)) < len(P.PAGE_SCHEMA)
+        want = sorted(map(str, rows(P.page_nodes(pages)).collect()))
+        assert sorted(map(str, rows(P.page_nodes(pages, fields)).collect())) == want and len(want) >= n
+
+
+def test_page_texts_are_hashed_once_and_only_what_is_asked_for_is_parsed(spark, collected, monkeypatch):
+    pages_dir, manifest = collected
+    made, real = {}, P.written
+    monkeypatch.setattr(P, "written", lambda df, name: (made.__setitem__(name, plan_of(df)), real(df, name))[1])
+    good = P.good_pages(P.page_records(P.read_manifest(spark, manifest).where("not torn")), P.read_pages(spark, pages_dir))
+    assert "encode(" in made["digests"] and "encode(" not in made["other-pages"]
+    first = P.first_nodes(P.page_nodes(good, {}))
+    assert "createdAt" not in made["repeats"] and "createdAt" not in plan_of(first)
+    assert sorted((r.tier, r.page_index, r.node.id) for r in first.collect()) == [(1, 0, "n1"), (1, 0, "n2"), (1, 1, "n3"), (2, 0, "n1")]
+
+
+def test_folders_of_pages_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        write_page(tmp_path, i, 0, [node("n1")])
+    name, context = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(name)
+    context.setJobGroup("listing", "")
+    try:
+        pages = P.read_pages(spark, str(tmp_path))
+    finally:
+        context.setJobGroup("", "")
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism < 60 and spark.conf.get(name) == before
+    assert pages.count() == 60
+
+
+def test_raw_pages_lie_side_by_side(spark, tmp_path):
+    """One folder per page and no folders above it; a name with the separator is read back as it is."""
+    import re
+    assert [re.search(raw_pages.FOLDERS, f"/x/page={p}/part-0.txt.gz") and re.search(raw_pages.FOLDERS, f"/x/page={p}/part-0.txt.gz").groups()
+            for p in ("NATION_1-2-30", "a-1-b-2-7", "a-1--7")] == [("NATION_1", "2", "30"), ("a-1-b", "2", "7"), None]
